@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquill.llm import mixing, quality_rules, sharding
+from terraquill.llm import decontamination, language_id, mixing, near_dedup, quality_rules, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +19,25 @@ def op2_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(
+        documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    )
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_groups(documents(spark, sf_dir))
+
+
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.host_quality_rules(documents(spark, sf_dir))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op10_budget_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -30,7 +45,10 @@ def op10_budget_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minimax_sharding": op2_minimax_sharding,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_host_quality_rules": op8_host_quality_rules,
+    "op9_language_id": op9_language_id,
     "op10_budget_mixing": op10_budget_mixing,
 }
 
