@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquill.llm import decontamination, language_id, lm_scoring, mixing, near_dedup, quality_rules, sharding
+from terraquill.llm import decontamination, language_id, license_scan, lm_scoring, mixing, near_dedup, quality_rules, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_class_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.class_scores(documents(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir)).drop("spans")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_groups(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minimax_sharding": op2_minimax_sharding,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_class_lm_scoring": op4_class_lm_scoring,
+    "op5_license_scan": op5_license_scan,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_host_quality_rules": op8_host_quality_rules,
     "op9_language_id": op9_language_id,
