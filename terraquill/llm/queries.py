@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquill.llm import decontamination, language_id, license_scan, lm_scoring, mixing, near_dedup, quality_rules, sharding
+from terraquill.llm import decontamination, language_id, license_scan, lm_scoring, mixing, near_dedup, pii, quality_rules, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,15 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_groups(documents(spark, sf_dir))
 
 
+def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.array_join("base_spans", ",")
+    return pii.find_pii(documents(spark, sf_dir)).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(base, 256).alias("base_sha256"),
+        F.array_join(F.concat("base_spans", "context_spans"), ",").alias("spans"),
+    )
+
+
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.host_quality_rules(documents(spark, sf_dir))
 
@@ -57,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_class_lm_scoring": op4_class_lm_scoring,
     "op5_license_scan": op5_license_scan,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_contextual_pii": op7_contextual_pii,
     "op8_host_quality_rules": op8_host_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_budget_mixing": op10_budget_mixing,
