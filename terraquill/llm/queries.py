@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquill.llm import decontamination, language_id, license_scan, lm_scoring, mixing, near_dedup, pii, quality_rules, sharding
+from terraquill.llm import decontamination, language_id, license_scan, lm_scoring, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(documents(spark, sf_dir), 8)
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
@@ -61,6 +65,7 @@ def op10_budget_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_site_quality": op1_site_quality,
     "op2_minimax_sharding": op2_minimax_sharding,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_class_lm_scoring": op4_class_lm_scoring,
