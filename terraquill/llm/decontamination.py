@@ -170,7 +170,21 @@ def contamination(
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents in which no item was found. Rows that share an id go together."""
-    bad = found.select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("_bad_id"), "left_anti")
+def clean(
+    docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, text_col: str = "text",
+    item_id_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The documents in which no item is found, with all their columns; nothing is joined or shuffled."""
+    place = docs.columns.index(text_col)
+
+    def without(index: Index):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                free = [not contained_items(x, index, threshold) for x in utf8(b.column(place))]
+                yield b.filter(pa.array(free, pa.bool_()))
+
+        return keep
+
+    for block in item_blocks(items, item_id_col, item_text_col):
+        docs = docs.mapInArrow(without(build_index([t for _, t in block])), docs.schema)
+    return docs

@@ -15,7 +15,7 @@ A pair at similarity 0.75 shares no band with probability (1 - 0.75**5)**48 = 2.
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing; a text of fewer than five words
 has one shingle, its whole sequence. Equal sets are one class whatever the texts. Repeated rows each give a
-row; rows that share a doc_id are one document for linking. An empty table gives an empty result. Other columns are ignored.
+row; rows that share a doc_id are one document for linking. A row without a doc_id links nothing, but has the component of equal sets. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terraquill.llm.common import SIMILARITY, Scratch, bounded_broadcast, mix, multipliers, shingle_hashes, utf8
 
@@ -234,5 +235,21 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         sketches.select("doc_id", "n_shingles", "set_key")
         .join(named, "set_key", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The kept document of each group with all its columns; of rows that share an id, one. Rows without an id stay."""
+    scratch = Scratch(docs.sparkSession, "one_of_each")
+    groups = scratch.save(near_duplicate_groups(docs, id_col, text_col).where("doc_id is not null"), "groups")
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(bounded_broadcast(gone, BROADCAST_IDS), F.col(id_col) == F.col("_gone"), "left_anti")
+    twice = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    if twice.isEmpty():
+        return kept
+    same = F.col(id_col) == F.col("_twice")
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    twice = bounded_broadcast(twice, BROADCAST_IDS)
+    first = kept.join(twice, same, "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    return kept.join(twice, same, "left_anti").unionByName(first)
