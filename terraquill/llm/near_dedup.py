@@ -7,8 +7,10 @@
    bucket's smallest and largest id only (a star, linear in the bucket's size).
 3. A candidate pair's bytes are compared in batches. After each batch, the pair goes if the posterior probability that its
    similarity reaches the threshold (uniform prior) is below ``MISS``. Survivors are verified on the full sets.
-4. In the second round, what is not in its bucket's largest component is compared with all members of other components there,
-   so that no candidate link between components stays untested.
+4. In the second round, what is not in its bucket's largest component is compared with the members of other components there,
+   so that no candidate link between components stays untested. An exact bound comes first: a shingle that only one of all these
+   sets has is in no intersection, so x and y can only be linked if the shingles that each shares with any other set are at least 3/7 of
+   |x| + |y| (similarity 0.75). That leaves out far copies of a common text without comparing them.
 5. Components of the verified links come from alternating large and small stars.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75**5)**48 = 2.3e-6; more similar pairs, less.
@@ -121,6 +123,13 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
+            h = np.unique(shingle_hashes((text or b"").lower().split())).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, np.int64)), pa.array(h)], names=["id", "shingle"])
+
+
 def similar_sets(x: np.ndarray, y: np.ndarray, percent: int = round(100 * SIMILARITY)) -> bool:
     """100 * intersection >= percent * union, of sorted distinct hashes."""
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
@@ -171,8 +180,7 @@ def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, scratch: Scra
         f"maybe_{name}",
     )
     ids = maybe.select(F.col("a").alias("id")).union(maybe.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(bounded_broadcast(ids, BROADCAST_IDS), docs["doc_id"] == ids["id"], "left_semi")
-    sets = scratch.save(texts.mapInArrow(_full_sets, "id long, set binary").dropDuplicates(), f"sets_{name}")
+    sets = scratch.save(_texts_of(ids, docs).mapInArrow(_full_sets, "id long, set binary").dropDuplicates(), f"sets_{name}")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"{c}_set"))
     links = scratch.save(
         maybe.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_set", "b_set")
@@ -184,6 +192,17 @@ def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, scratch: Scra
     return links
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    return docs.join(bounded_broadcast(ids, BROADCAST_IDS), docs["doc_id"] == ids["id"], "left_semi")
+
+
+def _own_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, own): of each of these documents, the shingles that no other of them has; only ids that have some."""
+    rows = _texts_of(ids, docs).mapInArrow(_shingle_rows, "id long, shingle long")
+    single = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    return single.groupBy("id").agg(F.count("*").alias("own"))
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id and kept."""
     scratch = Scratch(docs.sparkSession, "near_dedup")
@@ -197,12 +216,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
     heads = sketches.join(
         classes.withColumnRenamed("set_key", "head_key"), (F.col("set_key") == F.col("head_key")) & (F.col("doc_id") == F.col("id"))
-    ).select("id", "bytes", "bands").dropDuplicates(["id", "bytes"])
+    ).select("id", "n_shingles", "bytes", "bands").dropDuplicates(["id", "bytes"])
     keyed = heads.select("id", F.explode("bands").alias("band"))
     buckets = keyed.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     members = scratch.save(keyed.join(buckets, "band"), "members")
     active = members.select("id").distinct()
-    compared = scratch.save(heads.select("id", "bytes").join(active, "id", "left_semi"), "compared")
+    compared = scratch.save(heads.select("id", "n_shingles", "bytes").join(active, "id", "left_semi"), "compared")
     stars = members.select(F.col("low").alias("a"), F.col("id").alias("b")).union(
         members.select(F.col("id").alias("a"), F.col("high").alias("b"))
     )
@@ -217,18 +236,25 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     split = scratch.save(
         labelled.join(mixed.select("band", F.col("main.component").alias("main")), "band"), "split"
     )
-    rest = split.where("component != main").select("band", F.col("id").alias("x"), F.col("component").alias("x_component"))
+    # Only what shares enough shingles with others can be linked at all.
+    own = _own_shingles(split.select("id").distinct(), docs)
+    shared = compared.groupBy("id").agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("least")).join(own, "id", "left")
+    shared = shared.select("id", "n", "least", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+    able = scratch.save(split.join(shared.where("4 * shared >= 3 * least"), "id"), "able")
+    rest = able.where("component != main").select(
+        "band", F.col("id").alias("x"), F.col("component").alias("x_component"),
+        F.col("least").alias("x_least"), F.col("shared").alias("x_shared"),
+    )
     pairs = (
-        rest.join(split.withColumnRenamed("id", "y"), "band")
+        rest.join(able.withColumnRenamed("id", "y"), "band")
         .where("component != x_component and (component = main or x < y)")
+        .where("7 * least(shared, x_shared) >= 3 * (least + x_least)")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
-        # Pairs of the stars have been compared already.
-        .join(stars.where("a < b").distinct(), ["a", "b"], "left_anti")
     )
     second = _links(pairs, compared, docs, scratch, "rest")
     found = scratch.save(components(first.union(second), scratch), "components")
-    for x in ("members", "compared", "split", "parts"):
+    for x in ("members", "compared", "split", "able", "parts"):
         scratch.drop(x)
     named = classes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     return (
