@@ -1 +1 @@
-
+"""File readers and writers."""
