@@ -7,10 +7,11 @@
    bucket's smallest and largest id only (a star, linear in the bucket's size).
 3. A candidate pair's bytes are compared in batches. After each batch, the pair goes if the posterior probability that its
    similarity reaches the threshold (uniform prior) is below ``MISS``. Survivors are verified on the full sets.
-4. In the second round, what is not in its bucket's largest component is compared with the members of other components there,
-   so that no candidate link between components stays untested. An exact bound comes first: a shingle that only one of all these
-   sets has is in no intersection, so x and y can only be linked if the shingles that each shares with any other set are at least 3/7 of
-   |x| + |y| (similarity 0.75). That leaves out far copies of a common text without comparing them.
+4. In the second round, what is not in its bucket's largest component is compared with members of other components, so
+   that no candidate link between components stays untested. Exact bounds come first. Every set's shingles are ranked by one global order: those of a
+   single component, which no other can share, then the rarest. If x and y first meet in a shingle at the ranks p and q, they
+   share at most min(|x| - p, |y| - q), of which a link needs 3/7 of |x| + |y| (similarity 0.75). So only a quarter of each set can
+   bring a pair about, the common shingles of a large group of far copies bring none, and the join is on (shingle, class of set sizes).
 5. Components of the verified links come from alternating large and small stars.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75**5)**48 = 2.3e-6; more similar pairs, less.
@@ -28,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -127,7 +128,10 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         for i, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
             h = np.unique(shingle_hashes((text or b"").lower().split())).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, np.int64)), pa.array(h)], names=["id", "shingle"])
+            same = lambda x: pa.array(np.full(len(h), x, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [same(i), same(np.bitwise_xor.reduce(h) if len(h) else 0), same(len(h)), pa.array(h)], names=["id", "set", "n", "shingle"]
+            )
 
 
 def similar_sets(x: np.ndarray, y: np.ndarray, percent: int = round(100 * SIMILARITY)) -> bool:
@@ -196,11 +200,40 @@ def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(bounded_broadcast(ids, BROADCAST_IDS), docs["doc_id"] == ids["id"], "left_semi")
 
 
-def _own_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, own): of each of these documents, the shingles that no other of them has; only ids that have some."""
-    rows = _texts_of(ids, docs).mapInArrow(_shingle_rows, "id long, shingle long")
-    single = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
-    return single.groupBy("id").agg(F.count("*").alias("own"))
+def _size_class(n: Column) -> Column:
+    """Sizes within about 5 % of each other."""
+    return F.floor(F.log(n) * 20).cast("int")
+
+
+def _met_pairs(members: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of ids of different components that the bounds of the second round leave. ``members``: id,
+    component, apart (whether it is outside the largest component of some bucket); one of a pair is apart."""
+    rows = _texts_of(members.select("id"), docs).mapInArrow(_shingle_rows, "id long, set long, n long, shingle long")
+    rows = scratch.save(rows.join(members, "id"), "rows")
+    common = (
+        rows.groupBy("shingle")
+        .agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("freq"))
+        .select("shingle", F.when(F.col("first") == F.col("last"), 0).otherwise(F.col("freq")).alias("freq"))
+    )
+    rank = F.dense_rank().over(Window.partitionBy("id", "set").orderBy("freq", "shingle")) - 1
+    ranked = scratch.save(
+        rows.join(common, "shingle").withColumn("rank", rank).where("freq > 0 and 4 * (n - rank) >= 3 * n")
+        .select("id", "component", "apart", "n", "rank", "shingle"),
+        "ranked",
+    )
+    # The sizes that a set's partners in this shingle may have.
+    least, most = F.expr("(3 * n + 3) div 4"), F.expr("(7 * (n - rank) - 3 * n) div 3")
+    x = ranked.where("apart").where(most >= least).select(
+        "shingle", F.explode(F.sequence(_size_class(least), _size_class(most))).alias("size_class"),
+        F.col("id").alias("x"), F.col("component").alias("x_component"), F.col("n").alias("x_n"), F.col("rank").alias("x_rank"),
+    )
+    y = ranked.select("shingle", _size_class(F.col("n")).alias("size_class"), F.col("id").alias("y"), "component", "n", "rank")
+    return (
+        x.join(y, ["shingle", "size_class"])
+        .where("component != x_component and 7 * least(n - rank, x_n - x_rank) >= 3 * (n + x_n)")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .distinct()
+    )
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,7 +254,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     buckets = keyed.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     members = scratch.save(keyed.join(buckets, "band"), "members")
     active = members.select("id").distinct()
-    compared = scratch.save(heads.select("id", "n_shingles", "bytes").join(active, "id", "left_semi"), "compared")
+    compared = scratch.save(heads.select("id", "bytes").join(active, "id", "left_semi"), "compared")
     stars = members.select(F.col("low").alias("a"), F.col("id").alias("b")).union(
         members.select(F.col("id").alias("a"), F.col("high").alias("b"))
     )
@@ -233,28 +266,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
     sizes = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    split = scratch.save(
-        labelled.join(mixed.select("band", F.col("main.component").alias("main")), "band"), "split"
-    )
-    # Only what shares enough shingles with others can be linked at all.
-    own = _own_shingles(split.select("id").distinct(), docs)
-    shared = compared.groupBy("id").agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("least")).join(own, "id", "left")
-    shared = shared.select("id", "n", "least", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
-    able = scratch.save(split.join(shared.where("4 * shared >= 3 * least"), "id"), "able")
-    rest = able.where("component != main").select(
-        "band", F.col("id").alias("x"), F.col("component").alias("x_component"),
-        F.col("least").alias("x_least"), F.col("shared").alias("x_shared"),
-    )
-    pairs = (
-        rest.join(able.withColumnRenamed("id", "y"), "band")
-        .where("component != x_component and (component = main or x < y)")
-        .where("7 * least(shared, x_shared) >= 3 * (least + x_least)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
-    second = _links(pairs, compared, docs, scratch, "rest")
+    apart = labelled.join(mixed.select("band", F.col("main.component").alias("main")), "band")
+    apart = apart.groupBy("id", "component").agg(F.bool_or(F.col("component") != F.col("main")).alias("apart"))
+    second = _links(_met_pairs(scratch.save(apart, "apart"), docs, scratch), compared, docs, scratch, "rest")
     found = scratch.save(components(first.union(second), scratch), "components")
-    for x in ("members", "compared", "split", "able", "parts"):
+    for x in ("members", "compared", "apart", "rows", "ranked", "parts"):
         scratch.drop(x)
     named = classes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     return (
