@@ -29,7 +29,7 @@ GRAMS = 400
 CALIBRATION_SHARE = 0.25
 BUCKETS, WIDTH = 1 << 15, 16
 ORDERS = (2, 3, 4)
-EPOCHS, BATCH, RATE = 4, 32, 0.5
+STEPS, BATCH, RATE = 600, 32, 0.5
 #: Share of rightly labelled calibration texts that rejection may cost, and a bound of the score.
 MAX_LOST, MAX_SCORE = 0.0005, 0.5
 
@@ -85,8 +85,9 @@ def fit(grams: np.ndarray, labels: list[str], seed: int = 5) -> Model:
     grams = np.where(grams < 0, BUCKETS, grams)
     n = np.maximum((grams < BUCKETS).sum(1), 1)[:, None].astype(np.float32)
     rows = np.flatnonzero(~held)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = -(-STEPS // -(-len(rows) // BATCH))  # about as many steps for a small sample
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for at in range(0, len(rows), BATCH):
             r = rng.permutation(rows)[:BATCH] if len(rows) <= BATCH else rows[at : at + BATCH]
             mean = emb[grams[r]].sum(1) / n[r]
