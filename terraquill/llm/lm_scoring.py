@@ -1,47 +1,58 @@
 """Language-model scoring with Brown class bigrams.
 
-Words belong to units: each of the ``HEAD`` most frequent words is one, any other word falls into one
-of ``ENDINGS`` units by a hash of its last two bytes, and the end of a text is one. Exchange clustering assigns units to ``CLASSES``
-classes: from an assignment by frequency, units move, one after another, to the class that most
-raises the class-bigram likelihood, until a round moves none or ``ROUNDS`` are done. The end keeps a class of its own.
+Every training word has one of ``CLASSES`` classes, from its own contexts; the end of a text keeps a class of its own.
+
+1. The ``HEAD`` most frequent words are clustered exactly: units move, one after another, to the class that most raises the
+   class-bigram likelihood, until a round moves none or ``ROUNDS`` are done. All other words start in ``ENDINGS`` units by a
+   hash of their last two bytes, which move along.
+2. In ``PASSES`` rounds over the whole vocabulary, every other word's neighbours are counted by class and side, and
+   the word moves to the class under which its contexts are likeliest by the class bigrams of the round before, its own pairs left
+   out. All words of a round move at once, so only the class matrix goes to the tasks; neighbours below the
+   ``CACHED`` most frequent words meet their classes in a join.
 
     log10 P(word | class before) = log10 P(class | class before) + log10 P(word | class)
 
 Class transitions are interpolated with class frequencies (additive weight ``PRIOR``); emission is (c + 1) / (N_class + V_class + 1), which
 leaves each class one share for words that were never seen.
 
-Counts cover all training documents: words are counted in each task and summed by a shuffle; unit bigrams
-likewise. Counts of the ``CACHED`` most frequent words travel with the tasks (a fixed bound); all
-other words of a document meet their counts in a join.
+Counts cover all training documents: words are counted in each task and summed by a shuffle; contexts
+likewise. Counts and classes of the ``CACHED`` most frequent words travel with the tasks (a fixed bound); all
+other words of a document meet theirs in a join.
 
 Defined cases: a null text is empty and scores as one end. An empty table gives an empty result; without training documents
-every count is 0. Rows with a null doc_id are held out. Repeated rows count and give rows each. Ties in frequency go by the word's bytes. Other columns are ignored.
+every count is 0. A word that no training document holds has no contexts and takes the class of its ending. Rows with a null doc_id
+are held out. Repeated rows count and give rows each. Ties in frequency go by the word's bytes. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraquill.llm.common import Scratch, utf8
 
 HEAD, ENDINGS, CLASSES, ROUNDS = 1024, 256, 48, 6
+#: Rounds over the whole vocabulary.
+PASSES = 2
 CACHED = 100_000
 PRIOR = 10.0
 #: Entries after which a task passes on its partial counts.
 FLUSH = 300_000
+#: Tokens after which a task passes on its partial contexts.
+FLUSH_TOKENS = 1_500_000
 #: The end of a text; no word can be empty.
 END = b""
 
 
 class Units(dict):
-    """Word to unit: frequent words by table, others by their ending."""
+    """Word to starting unit: frequent words by table, others by their ending."""
 
     def __missing__(self, word: bytes) -> int:
         return HEAD + 1 + (word[-1] * 31 + (word[-2] if len(word) > 1 else 0)) % ENDINGS
@@ -51,11 +62,25 @@ N_UNITS = HEAD + 1 + ENDINGS
 _END_UNIT = HEAD
 
 
+class Classes(dict):
+    """Word to class: the most frequent words by table, others by the class of their ending."""
+
+    def __init__(self, known: dict[bytes, int], units: Units, of: np.ndarray):
+        super().__init__(known)
+        self.units, self.of = units, of
+
+    def __missing__(self, word: bytes) -> int:
+        return int(self.of[self.units[word]])
+
+    def __reduce__(self):
+        return Classes, (dict(self), self.units, self.of)
+
+
 @dataclass(frozen=True)
 class Model:
-    units: Units
-    transition: np.ndarray  # log10 P(class | class before)
-    class_of: np.ndarray
+    units: Classes
+    transition: np.ndarray | None  # log10 P(class | class before)
+    class_of: np.ndarray  # the class of what ``units`` gives: itself
     class_tokens: np.ndarray  # N_class + V_class + 1
     cached: dict[bytes, int]
     n: int
@@ -151,8 +176,162 @@ def exchange_classes(pairs: np.ndarray, classes: int = CLASSES, rounds: int = RO
     return of
 
 
-def train(training: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model and the table of all word counts (word binary, n long)."""
+def _smoothed(joint: np.ndarray) -> np.ndarray:
+    """P(class | class before), interpolated with class frequencies."""
+    share = _share(joint)
+    return (joint + PRIOR * share) / (joint.sum(1, keepdims=True) + PRIOR)
+
+
+def _share(joint: np.ndarray) -> np.ndarray:
+    return (joint.sum(0) + 1) / (joint.sum() + CLASSES)
+
+
+class _Local(dict):
+    """Word to a number within the task; ``classes`` by number, -1 where the task doesn't know it."""
+
+    def __init__(self, known: Classes, endings: bool):
+        self.known, self.endings, self.words, self.classes = known, endings, [], []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = k = len(self.words)
+        self.words.append(word)
+        self.classes.append(self.known[word] if self.endings or word in self.known else -1)
+        return k
+
+
+def _contexts(known: Classes, endings: bool):
+    """Partial contexts: word, and how often a class stands after it (slot: the class) or before it (slot: CLASSES + the class).
+    A neighbour whose class the task doesn't know is given in ``near``, with slot 0 or CLASSES."""
+
+    def rows(local: _Local, pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words, of = pa.array(local.words, pa.binary()), np.array(local.classes, np.int64)
+        first, second = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        known_after, known_before = of[second] >= 0, of[first] >= 0
+        key, n = np.unique(
+            np.concatenate([
+                first[known_after] * 2 * CLASSES + of[second[known_after]],
+                second[known_before] * 2 * CLASSES + CLASSES + of[first[known_before]],
+            ]),
+            return_counts=True,
+        )
+        word, starts = np.unique(key // (2 * CLASSES), return_index=True)
+        offsets = pa.array(np.append(starts, len(key)), pa.int32())
+        yield batch(words.take(pa.array(word)), pa.nulls(len(word), pa.binary()), offsets, key % (2 * CLASSES), n)
+        key, n = np.unique(
+            np.concatenate([
+                (first[~known_after] * len(words) + second[~known_after]) * 2,
+                (second[~known_before] * len(words) + first[~known_before]) * 2 + 1,
+            ]),
+            return_counts=True,
+        )
+        word, near = np.divmod(key // 2, len(words))
+        for at in range(0, len(key), FLUSH):
+            part = slice(at, at + FLUSH)
+            offsets = pa.array(np.arange(len(key[part]) + 1), pa.int32())
+            yield batch(words.take(pa.array(word[part])), words.take(pa.array(near[part])), offsets, key[part] % 2 * CLASSES, n[part])
+
+    def batch(word, near, offsets, slots, n) -> pa.RecordBatch:
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((slots, pa.int32()), (n, pa.int64()))]
+        return pa.RecordBatch.from_arrays([word, near, *lists], names=["word", "near", "slots", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local, pairs, n = _Local(known, endings), [], 0
+        for b in batches:
+            texts = utf8(b.column(0))
+            for at in range(0, len(texts), 256):
+                u = [local[END]]
+                for text in texts[at : at + 256]:
+                    u.extend(map(local.__getitem__, _tokens(text)))
+                u = np.array(u, np.int64)
+                pairs.append((u[:-1], u[1:]))
+                n += len(u)
+                if n >= FLUSH_TOKENS or len(local) >= FLUSH:
+                    yield from rows(local, pairs)
+                    local, pairs, n = _Local(known, endings), [], 0
+        if pairs:
+            yield from rows(local, pairs)
+
+    return count
+
+
+def _dense(b: pa.RecordBatch) -> np.ndarray:
+    """Contexts by word and slot, of the list columns slots and counts."""
+    slots, counts = (b.column(b.schema.get_field_index(k)) for k in ("slots", "counts"))
+    row = np.repeat(np.arange(b.num_rows), np.diff(slots.offsets.to_numpy()))
+    size = b.num_rows * 2 * CLASSES
+    return np.bincount(row * 2 * CLASSES + slots.flatten().to_numpy(), counts.flatten().to_numpy(), size).reshape(-1, 2 * CLASSES)
+
+
+def _joint_of_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    joint = np.zeros((CLASSES, CLASSES))
+    for b in batches:
+        np.add.at(joint, b.column(b.schema.get_field_index("class")).to_numpy(), _dense(b)[:, :CLASSES])
+    yield _cells(joint)
+
+
+def _cells(joint: np.ndarray) -> pa.RecordBatch:
+    cell = np.flatnonzero(joint)
+    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(joint.ravel()[cell].astype(np.int64))], names=["cell", "n"])
+
+
+def _collected(cells: DataFrame) -> np.ndarray:
+    found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    joint = np.zeros(CLASSES * CLASSES)
+    joint[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return joint.reshape(CLASSES, CLASSES)
+
+
+def best_classes(contexts: np.ndarray, n: np.ndarray, home: np.ndarray, joint: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The likeliest class of each word, by its contexts; its own pairs and tokens are left out of its present class."""
+    after, before = contexts[:, :CLASSES], contexts[:, CLASSES:]
+    log = np.log(_smoothed(joint))
+    score = after @ log.T + before @ log - n[:, None] * np.log(size)
+    share, total = _share(joint), joint.sum(1)
+    bare = np.maximum(joint[home] - after, 0)
+    own = (after * np.log((bare + PRIOR * share) / (bare.sum(1, keepdims=True) + PRIOR))).sum(1)
+    bare = np.maximum(joint.T[home] - before, 0)
+    own += (before * np.log((bare + PRIOR * share[home][:, None]) / (total + PRIOR))).sum(1)
+    own -= n * np.log(np.maximum(size[home] - n - 1, 1))
+    score[np.arange(len(home)), home] = own
+    score[:, CLASSES - 1] = -np.inf
+    return score.argmax(1)
+
+
+def _choose(fixed: frozenset[bytes], joint: np.ndarray, size: np.ndarray):
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            word, n, home = (b.column(b.schema.get_field_index(k)) for k in ("word", "n", "class"))
+            home_of = home.to_numpy().astype(np.int64)
+            best = best_classes(_dense(b), n.to_numpy(), home_of, joint, size)
+            stays = np.fromiter((w in fixed for w in word.to_pylist()), bool, b.num_rows)
+            yield pa.RecordBatch.from_arrays([word, n, pa.array(np.where(stays, home_of, best), pa.int32())], names=["word", "n", "class"])
+
+    return choose
+
+
+def _starting(known: Classes):
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = np.fromiter(map(known.__getitem__, b.column(0).to_pylist()), np.int32, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(of)], names=["word", "n", "class"])
+
+    return start
+
+
+def _sizes(words: DataFrame) -> np.ndarray:
+    size = np.ones(CLASSES)
+    for r in words.groupBy("class").agg((F.sum("n") + F.count("*")).alias("n")).collect():
+        size[r["class"]] += r["n"]
+    return size
+
+
+def _known(words: DataFrame, units: Units, of: np.ndarray) -> Classes:
+    top = words.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(CACHED).select("word", "class")
+    return Classes({bytes(r["word"]): r["class"] for r in top.toLocalIterator()} | {END: CLASSES - 1}, units, of)
+
+
+def cluster(training: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model without its transitions, and the table of all words (word binary, n long, class int)."""
     texts = training.select(F.col(text_col).alias("text"))
     counts = scratch.save(
         texts.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts"
@@ -172,75 +351,168 @@ def train(training: DataFrame, scratch: Scratch, text_col: str = "text") -> tupl
     of = exchange_classes(pairs)
     joint = np.zeros((CLASSES, CLASSES))
     np.add.at(joint, (of[:, None], of[None, :]), pairs)
-    share = (joint.sum(0) + 1) / (joint.sum() + CLASSES)
-    transition = np.log10((joint + PRIOR * share) / (joint.sum(1, keepdims=True) + PRIOR))
-    # Words and tokens of each class, over the whole vocabulary; the units of rare words by their last bytes.
-    by_unit = counts.mapInArrow(_unit_sums(units), "unit long, n long, words long").groupBy("unit").agg(
-        F.sum("n").alias("n"), F.sum("words").alias("words")
-    )
-    size = np.ones(CLASSES)
-    for r in by_unit.collect():
-        size[of[r["unit"]]] += r["n"] + r["words"]
-    return Model(units, transition, of, size, cached, n, v), counts
-
-
-def _unit_sums(units: Units):
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, words = np.zeros(N_UNITS, np.int64), np.zeros(N_UNITS, np.int64)
-        for b in batches:
-            u = np.fromiter(map(units.__getitem__, b.column(0).to_pylist()), np.int64, b.num_rows)
-            np.add.at(n, u, b.column(1).to_numpy())
-            words += np.bincount(u, minlength=N_UNITS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_UNITS)), pa.array(n), pa.array(words)], names=["unit", "n", "words"])
-
-    return sums
+    known = Classes({w: int(of[units[w]]) for w in cached}, units, of)
+    words = scratch.save(counts.mapInArrow(_starting(known), "word binary, n long, class int"), "words0")
+    for k in range(PASSES):
+        # In the first round a word's class follows from the word; later, rare neighbours meet theirs in a join.
+        found = scratch.save(
+            texts.mapInArrow(_contexts(known, endings=not k), "word binary, near binary, slots array<int>, counts array<bigint>"), "contexts"
+        )
+        parts = found.where("near is null").select("word", "slots", "counts")
+        if k:
+            near = words.select(F.col("word").alias("near"), F.col("class").alias("near_class"))
+            met = (
+                found.where("near is not null").join(near, "near")
+                .select("word", (F.col("slots")[0] + F.col("near_class")).alias("slot"), F.col("counts")[0].alias("n"))
+                .groupBy("word", "slot").agg(F.sum("n").alias("n"))
+            )
+            parts = parts.union(met.select("word", F.array("slot").alias("slots"), F.array("n").alias("counts")))
+        grouped = parts.groupBy("word").agg(
+            F.flatten(F.collect_list(F.struct("slots", "counts"))["slots"]).alias("slots"),
+            F.flatten(F.collect_list(F.struct("slots", "counts"))["counts"]).alias("counts"),
+        )
+        grouped = scratch.save(grouped.join(words, "word"), "grouped")
+        scratch.drop("contexts")
+        if k:
+            joint = _collected(grouped.mapInArrow(_joint_of_contexts, "cell long, n long"))
+        words = scratch.save(
+            grouped.mapInArrow(_choose(frozenset(units), joint, _sizes(words)), "word binary, n long, class int"), f"words{k + 1}"
+        )
+        scratch.drop("grouped")
+        known = _known(words, units, of)
+    return Model(known, None, np.arange(CLASSES), _sizes(words), cached, n, v), words
 
 
-def _score(model: Model):
-    """Per document, what the tasks know by themselves (part 1: sums over cached words and classes), and rows of its other words."""
+def _spell(model: Model):
+    """Per document, the classes that the tasks know by themselves (255 for others) and the sum of its cached words'
+    logarithms; and rows of its other words with their places."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, cached = model.units, model.cached
-        base_of = np.log10(model.n + 1.0 * (model.v + 1))
-        log_size = np.log10(model.class_tokens)
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, cached, done = model.units, model.cached, TaskContext.get().partitionId() << 33
         for b in batches:
-            texts = utf8(b.column(1))
-            rows, n_tokens, known, base, own, words, repeats = [], [], [], [], [], [], []
-            for row, text in enumerate(texts):
+            rows, n_known, sums, classes, words, endings, places = [], [], [], [], [], [], []
+            for row, text in enumerate(utf8(b.column(2))):
                 t = _tokens(text)
-                u = np.fromiter(map(units.__getitem__, t), np.int64, len(t))
-                c = model.class_of[u]
                 counts = np.fromiter((cached.get(w, -1) for w in t), np.int64, len(t))
                 have = counts >= 0
-                sums = np.log10(counts[have] + 1.0).sum()
-                before = np.concatenate([model.class_of[_END_UNIT : _END_UNIT + 1], c[:-1]])
                 rows.append(row)
-                n_tokens.append(len(t))
-                known.append(int((counts > 0).sum()))
-                base.append(sums - base_of * len(t))
-                own.append(model.transition[before, c].sum() - log_size[c].sum() + sums)
+                n_known.append(int((counts > 0).sum()))
+                sums.append(float(np.log10(counts[have] + 1.0).sum()))
+                classes.append(np.fromiter((known.get(w, 255) for w in t), np.uint8, len(t)).tobytes())
                 words.append(None)
-                repeats.append(0)
-                if not have.all():
-                    for w, k in Counter(t[i] for i in np.flatnonzero(~have)).items():
-                        rows.append(row)
-                        words.append(w)
-                        repeats.append(k)
-                        n_tokens.append(0)
-                        known.append(0)
-                        base.append(0.0)
-                        own.append(0.0)
+                endings.append(None)
+                places.append(None)
+                at = defaultdict(list)
+                for i in np.flatnonzero(~have).tolist():
+                    at[t[i]].append(i)
+                for w, i in at.items():
+                    rows.append(row)
+                    n_known.append(None)
+                    sums.append(None)
+                    classes.append(None)
+                    words.append(w)
+                    endings.append(known[w])
+                    places.append(i)
+            index = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(b.column(k).take(pa.array(rows, pa.int64())) for k in (0, 2, 3)),
-                    pa.array(n_tokens, pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(own, pa.float64()),
+                    pa.array(np.array(rows, np.int64) + done),
+                    *(b.column(k).take(index) for k in (0, 1)),
+                    pa.array(n_known, pa.int64()),
+                    pa.array(sums, pa.float64()),
+                    pa.array(classes, pa.binary()),
                     pa.array(words, pa.binary()),
-                    pa.array(repeats, pa.int64()),
+                    pa.array(endings, pa.int32()),
+                    pa.array(places, pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "place", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "repeats"],
+                names=["row", "doc_id", "held_out", "n_known", "sums", "classes", "word", "ending", "places"],
+            )
+            done += b.num_rows
+
+    return spell
+
+
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for classes, others in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
+            c = np.frombuffer(classes, np.uint8).copy()
+            for x in others or ():
+                c[x["places"]] = x["class"]
+            out.append(c.tobytes())
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(out, pa.binary())], names=["doc_id", "held_out", "n_known", "sums", "classes"])
+
+
+def spelled(slim: DataFrame, model: Model, words: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents as classes: doc_id, held_out, n_known, sums (of log10(count + 1)) and classes (a byte for each token)."""
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    rows = scratch.save(
+        slim.select("doc_id", "held_out", "text").mapInArrow(
+            _spell(model),
+            f"row long, doc_id {kind}, held_out boolean, n_known long, sums double, classes binary, word binary, ending int, places array<int>",
+        ),
+        "spelled",
+    )
+    count = F.coalesce("n", F.lit(0))
+    others = (
+        rows.where("word is not null").select("row", "word", "ending", "places")
+        .join(words, "word", "left")
+        .groupBy("row")
+        .agg(
+            F.sum(F.when(count > 0, F.size("places")).otherwise(0)).alias("more_known"),
+            F.sum(F.size("places") * F.log10(count + 1.0)).alias("more"),
+            F.collect_list(F.struct(F.coalesce("class", "ending").alias("class"), "places")).alias("others"),
+        )
+    )
+    joined = rows.where("word is null").drop("word", "ending", "places").join(others, "row", "left").select(
+        "doc_id", "held_out",
+        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (F.col("sums") + F.coalesce("more", F.lit(0.0))).alias("sums"), "classes", "others",
+    )
+    filled = scratch.save(joined.mapInArrow(_fill, f"doc_id {kind}, held_out boolean, n_known long, sums double, classes binary"), "filled")
+    scratch.drop("spelled")
+    return filled
+
+
+def _joint_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    joint = np.zeros(CLASSES * CLASSES, np.int64)
+    for b in batches:
+        # Every text ends with the end's class, which so stands before the next text.
+        c = np.frombuffer(bytes([CLASSES - 1]) + b"".join(b.column(0).to_pylist()), np.uint8).astype(np.int64)
+        joint += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
+    yield _cells(joint)
+
+
+def with_transitions(model: Model, filled: DataFrame) -> Model:
+    training = filled.where(~F.col("held_out")).select("classes")
+    joint = _collected(training.mapInArrow(_joint_of_texts, "cell long, n long"))
+    return replace(model, transition=np.log10(_smoothed(joint)))
+
+
+def train(training: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model and the table of all words (word binary, n long, class int)."""
+    model, words = cluster(training, scratch, text_col)
+    slim = training.select(F.lit(0).alias("doc_id"), F.lit(False).alias("held_out"), F.col(text_col).alias("text"))
+    return with_transitions(model, spelled(slim, model, words, scratch)), words
+
+
+def _score(model: Model):
+    """Scores of documents that are spelled as classes."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base_of = np.log10(model.n + 1.0 * (model.v + 1))
+        log_size = np.log10(model.class_tokens)
+        for b in batches:
+            n_tokens, base, own = [], [], []
+            for text, sums in zip(b.column(4).to_pylist(), b.column(3).to_pylist()):
+                c = np.frombuffer(text, np.uint8)
+                before = np.concatenate([np.array([CLASSES - 1], np.uint8), c[:-1]])
+                n_tokens.append(len(c))
+                base.append(sums - base_of * len(c))
+                own.append(float(model.transition[before, c].sum() - log_size[c].sum() + sums))
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(k) for k in range(3)), pa.array(n_tokens, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())],
+                names=["doc_id", "held_out", "n_known", "n_tokens", "base_score", "score"],
             )
 
     return score
@@ -253,42 +525,15 @@ def class_scores(
     scratch = Scratch(docs.sparkSession, "lm_scoring")
     ids = F.col(id_col).cast("string")
     held_out = F.coalesce(F.pmod(F.crc32(ids), F.lit(folds)) == held_fold, F.lit(True))
-    slim = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-        F.xxhash64(text_col).alias("place"), held_out.alias("held_out"),
-    )
-    model, counts = train(slim.where(~F.col("held_out")), scratch)
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
+    model, words = cluster(slim.where(~F.col("held_out")), scratch)
+    filled = spelled(slim, model, words, scratch)
+    model = with_transitions(model, filled)
     kind = slim.schema["doc_id"].dataType.simpleString()
-    scored = scratch.save(
-        slim.mapInArrow(
-            _score(model),
-            f"doc_id {kind}, place long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, repeats long",
-        ),
-        "scored",
-    )
-    # The rest of the words: their logarithms by document. Rows that repeat count as often on both sides, so they are divided.
-    rest = (
-        scored.where("word is not null")
-        .join(counts.withColumnRenamed("n", "c"), "word")
-        .groupBy("doc_id", "place")
-        .agg(F.sum("repeats").alias("more_known"), F.sum(F.col("repeats") * F.log10(F.col("c") + 1.0)).alias("more"))
-    )
-    own = scored.where("word is null").drop("word", "repeats")
-    copies = own.groupBy("doc_id", "place").agg(F.count("*").alias("copies"))
-    rest = rest.withColumnRenamed("doc_id", "r_id").withColumnRenamed("place", "r_place")
-    copies = copies.withColumnRenamed("doc_id", "c_id").withColumnRenamed("place", "c_place").where("copies > 1")
-    joined = (
-        own.join(rest, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("place") == F.col("r_place")), "left")
-        .join(copies, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("place") == F.col("c_place")), "left")
-        .withColumn("copies", F.coalesce("copies", F.lit(1)))
+    scored = filled.mapInArrow(
+        _score(model), f"doc_id {kind}, held_out boolean, n_known long, n_tokens long, base_score double, score double"
     )
-    more = F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0))
-    score = F.col("score") + more
-    return joined.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce(F.expr("more_known div copies"), F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more).alias("base_score"),
-        score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )

@@ -435,6 +435,33 @@ def test_class_model_sums_to_one(spark):
         assert m + 1 / model.class_tokens[c] == pytest.approx(1)
 
 
+def test_rare_words_have_classes_of_their_own_contexts(spark):
+    """Words below the head with one ending and two kinds of contexts don't share a class."""
+    from terraquill.llm.common import Scratch
+
+    rng = random.Random(7)
+    x, y = ([f"{s}{k}" for k in range(560)] for s in "xy")
+    texts = []
+    for k in range(1200):
+        a, b = f"a{k % 300}_zz", f"b{k % 300}_zz"
+        words = [rng.choice((x, y)[j % 2]) for j in range(16)]
+        words[6], words[11] = a, b  # one stands where an x stands, one where a y does
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, words = lm_scoring.train(docs, Scratch(spark, "t"))
+    of = {bytes(r["word"]).decode(): r["class"] for r in words.collect()}
+    kinds = [collections.Counter(of[f"{s}{k}_zz"] for k in range(300)) for s in "ab"]
+    assert sum((kinds[0] & kinds[1]).values()) < 30
+    assert len(of) == len({w for t in texts for w in t.split()}) + 1
+
+
+def test_classes_do_not_depend_on_what_travels(real, monkeypatch):
+    whole = sorted(lm_scoring.class_scores(real).collect())
+    monkeypatch.setattr(lm_scoring, "CACHED", lm_scoring.HEAD + 100)
+    for a, b in zip(whole, sorted(lm_scoring.class_scores(real).collect()), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+
+
 def test_language(docs, real):
     found = by_id(language_id.identify(docs, language_id.train(docs)))
     assert found[0]["lang_pred"] == found[1]["lang_pred"] == found[15]["lang_pred"] == "und"
