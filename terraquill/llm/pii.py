@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 1. Base rules find the seed entities: e-mail addresses, IPv4 addresses, card numbers and phone numbers.
-2. Every white-space token with a digit or @ is a candidate instance. Its lexical patterns are the two words before it,
-   and the word before it with the token's shape.
+2. Every white-space token with a digit or @ is a candidate instance. Its lexical patterns are the two words before it in
+   the text, which may be candidates themselves, and the word before it with the token's shape.
 3. The bipartite graph of patterns and distinct instances is scored in rounds: a pattern's score is the
    mean confidence of its instances, seeds having 1; a pattern with at least ``MIN_SUPPORT`` known instances and a
    score of at least ``MIN_SCORE`` is accepted and gives its score to its other instances.
@@ -98,12 +98,21 @@ def _matched(text: Column, kind: str) -> list[Column]:
         F.transform(gaps, F.length).alias(f"{kind}_gap"),
     ]
     if kind == "cand":
-        out.append(
-            F.transform(gaps, lambda g: F.regexp_extract(F.right(g, F.lit(REACH)), _CONTEXT, 0)).alias("cand_left")
-        )
+        out.append(F.transform(gaps, lambda g: F.right(g, F.lit(REACH))).alias("cand_tail"))
     return out
 
 
+def _left() -> Column:
+    """The context before each candidate: gaps end at candidates, so two words reach back over two candidates at most."""
+
+    def read(tail: Column, i: Column) -> Column:
+        token = lambda k: F.coalesce(F.right(F.get("cand_text", i - k), F.lit(REACH)), F.lit(""))
+        before = F.concat(token(2), F.coalesce(F.get("cand_tail", i - 1), F.lit("")), token(1), tail)
+        return F.regexp_extract(F.right(before, F.lit(REACH)), _CONTEXT, 0)
+
+    return F.transform("cand_tail", read).alias("cand_left")
+
+
 def _with_starts(df: DataFrame, kind: str) -> DataFrame:
     """Adds the column of the kind: spans with start, end (code points), text. Lengths are summed in steps, so that the
     work stays nearly linear in the number of matches."""
@@ -147,7 +156,7 @@ def spotted(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
         ),
         "found",
     )
-    lengths = scratch.save(found.select("*", *(c for k in kinds for c in _steps(k))), "lengths")
+    lengths = scratch.save(found.select("*", _left(), *(c for k in kinds for c in _steps(k))), "lengths")
     summed = scratch.save(lengths.select("*", *(_sums(k) for k in kinds)), "summed")
     for k in kinds:
         summed = _with_starts(summed, k)

@@ -387,6 +387,26 @@ def test_pii_contexts_find_what_rules_miss(spark):
     assert rows[31]["context_spans"] == [] and rng
 
 
+def test_pii_contexts_over_candidates_side_by_side(spark):
+    texts = [f"please call desk 7 under {k} user{k}@mail.example.org for help" for k in range(30)]
+    texts.append("please call desk 7 under 24 user77(at)host9")
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    start = texts[30].index("user77")
+    assert rows[30]["context_spans"] == [f"context:{start}:{start + len('user77(at)host9')}"]
+
+
+def test_pii_left_contexts(spark):
+    from terraquill.llm.common import Scratch
+
+    rng = random.Random(3)
+    texts = [" \n"[k % 2].join(rng.choices(["a1", "22", "b", "cc", "x@y", "d,"], k=12)) for k in range(60)]
+    spans = pii.spotted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark, "t"))
+    for r in spans.collect():
+        words = texts[r["doc_id"]].split()
+        want = [words[max(0, j - 2) : j] for j, w in enumerate(words) if re.search("[0-9@]", w)]
+        assert [c["left"].split() for c in r["cand"]] == want
+
+
 # --- models -----------------------------------------------------------------------------------------------------
 
 
