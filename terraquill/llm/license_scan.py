@@ -2,8 +2,10 @@
 
 All rolling three-word grams of every text are joined, by hash and then by their words, to the grams of
 the license templates. A gram at word p of the text and word q of a template votes for the diagonal p - q. Votes are
-counted by (document, template, diagonal); neighbouring diagonals, at most ``MAX_SHIFT`` apart, are merged, so that a
-word left out or put in doesn't cut a match; a merged span is verified by the share of the template's grams that it holds and by its length.
+counted by (document, template, diagonal); neighbouring diagonals, at most ``MAX_SHIFT`` apart, form a chain, so that a
+word left out or put in doesn't cut a match. From each diagonal of a chain on, the diagonals within the greatest length of a match are merged
+to a span, so that repeated notices and stray votes can't make it too long; it is verified by the share of the template's grams that it holds.
+All verified spans count for labels and score; of those that overlap, the first is listed.
 
 The three base phrases are templates like the others; on one diagonal with all of a phrase's grams, the
 phrase's words stand consecutively, so such diagonals are exactly its places.
@@ -89,6 +91,38 @@ def diagonal_votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def notices(chained: DataFrame, match: list[str]) -> DataFrame:
+    """Verified spans of the templates, of diagonals with their chains; ``listed`` if no listed one before overlaps."""
+    longest = int(MAX_STRETCH * max(len(text.split(" ")) for _, text in TEMPLATES))
+    placed = chained.select(
+        *match, "span", "label", "is_base", "n_grams", (F.col("diagonal") + F.col("first")).cast("long").alias("start"),
+        (F.col("diagonal") + F.col("last") + GRAM).alias("end"), "places",
+    )
+    ahead = Window.partitionBy(*match, "span").orderBy("start").rangeBetween(0, longest)
+    limit = F.col("start") + MAX_STRETCH * (F.col("n_grams") + GRAM - 1)
+    fitting = (
+        placed.withColumn("limit", limit)
+        .withColumn("ahead", F.collect_list(F.struct("end", "places")).over(ahead))
+        .withColumn("ahead", F.filter("ahead", lambda d: d["end"] <= F.col("limit")))
+        .withColumn("cover", F.size(F.array_distinct(F.flatten(F.col("ahead.places")))) / F.col("n_grams"))
+        .where(F.col("cover") >= MIN_COVER)
+        .groupBy(*match, "label", "is_base", "n_grams", F.col("start").cast("int").alias("start"))
+        .agg(F.max("cover").alias("cover"), F.max(F.array_max("ahead.end")).alias("end"))
+    )
+    key = [*match, "label", "is_base", "n_grams"]
+    sorted_spans = fitting.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "cover"))).alias("s"))
+    # One walk over the starts: the end of the last listed span, and the starts that are listed.
+    listed = F.expr(
+        """aggregate(s, named_struct('end', -1, 'starts', cast(array() as array<int>)),
+            (a, x) -> if(x.start >= a.end, named_struct('end', x.end, 'starts', array_append(a.starts, x.start)), a), a -> a.starts)"""
+    )
+    walked = sorted_spans.withColumn("starts", listed).select(*key, "starts", F.explode("s").alias("x"))
+    return walked.select(
+        *key, F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.cover").alias("cover"),
+        F.array_contains("starts", F.col("x.start")).alias("listed"),
+    )
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
@@ -100,10 +134,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # A diagonal opens a new span if it is more than MAX_SHIFT after the one before.
     along = Window.partitionBy(*match).orderBy("diagonal")
     opens = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > MAX_SHIFT, F.lit(True))
-    spans = (
+    chained = (
         diagonals.withColumn("opens", opens.cast("int"))
         .withColumn("span", F.sum("opens").over(along))
         .withColumn("whole", F.size("places") == F.col("n_grams"))
+    )
+    based = (
+        chained.where("is_base")
         .groupBy(*match, "span", "label", "is_base", "n_grams")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"),
@@ -115,8 +152,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         )
         .withColumn("cover", F.col("votes") / F.col("n_grams"))
     )
-    fits = (F.col("cover") >= MIN_COVER) & (F.col("end") - F.col("start") <= MAX_STRETCH * (F.col("n_grams") + GRAM - 1))
-    verified = spans.where(F.when(F.col("is_base"), F.col("n_whole") > 0).otherwise(fits))
+    verified = based.where("n_whole > 0").withColumn("listed", F.lit(True)).unionByName(notices(chained.where("not is_base"), match), allowMissingColumns=True)
     base = lambda c: F.when(F.col("is_base"), c)
     found = verified.groupBy(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key")).agg(
         F.sum(base(F.col("n_whole"))).alias("n_base"),
@@ -125,7 +161,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.array_join(F.array_sort(F.collect_set(base(F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max(F.when(F.col("is_base"), F.lit(1.0)).otherwise(F.col("cover"))).alias("score"),
-        F.sort_array(F.collect_list(F.struct("start", "end", "label", "cover"))).alias("spans"),
+        F.sort_array(F.collect_list(F.when(F.col("listed"), F.struct("start", "end", "label", "cover")))).alias("spans"),
     )
     n_words = F.coalesce(F.regexp_count("text", F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long")
     same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key"))

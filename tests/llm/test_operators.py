@@ -337,6 +337,15 @@ def test_license_notice_with_words_left_out(spark):
     assert (row[0]["labels"], row[0]["base_labels"], row[1]["labels"]) == ("mit", "", "")
 
 
+def test_license_notices_repeated_or_chained_by_strays(spark):
+    gpl = license_scan.TEMPLATES[5][1].split()
+    part = " ".join(gpl[:14] + gpl[15:])
+    texts = ["All rights reserved. All rights reserved.", "All rights reserved.\n" * 5, f"{part} {part}", "x all rights reserved y"]
+    rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["labels"] for r in rows] == ["all-rights-reserved", "all-rights-reserved", "gpl", "all-rights-reserved"]
+    assert [[(s["start"], s["end"]) for s in r["spans"]] for r in rows] == [[(0, 3), (3, 6)], [(3 * k, 3 * k + 3) for k in range(5)], [(0, 28), (28, 56)], [(1, 4)]]
+
+
 RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
