@@ -1,11 +1,15 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-1. Base rules find the seed entities: e-mail addresses, IPv4 addresses, card numbers and phone numbers.
-2. Every white-space token with a digit or @ is a candidate instance. Its lexical patterns are the two words before it in
-   the text, which may be candidates themselves, and the word before it with the token's shape.
-3. The bipartite graph of patterns and distinct instances is scored in rounds: a pattern's score is the
-   mean confidence of its instances, seeds having 1; a pattern with at least ``MIN_SUPPORT`` known instances and a
-   score of at least ``MIN_SCORE`` is accepted and gives its score to its other instances.
+1. Seed entities come from the base rules (e-mail addresses, IPv4 addresses, card numbers, phone numbers) and from ``SECRET``, the
+   plain form of a key: 32 to 64 lower-case hexadecimal digits, letters and figures among them. A secret seed is evidence only: it is
+   no span unless an accepted pattern holds it.
+2. Candidates are white-space tokens with a digit or @, or up to six numeric tokens with single spaces between them. Of
+   ``key=value``, the key is context and the value the instance. The lexical patterns of a candidate, digits folded and A-Z lowered: the two words before
+   it; the word before it with its shape (runs of digits, of letters, and of 16 or more of both); the words on both
+   sides. Context words may be candidates themselves; a candidate at the start of a text has no pattern.
+3. The bipartite graph of patterns and distinct instances is scored in rounds. An instance's confidence is 1 for seeds, else
+   the best score of its accepted patterns. A pattern's score is the confidence of its instances over their number plus one, so that
+   few instances count less; it is accepted from ``MIN_SCORE`` on, with ``MIN_SUPPORT`` known instances or more.
 4. Candidates of accepted patterns that don't touch a base span are added as spans of kind ``context``.
 
 Regular expressions are anchored at the starts of runs, or stop at the first place where the rule ends, so that a very long run is
@@ -14,7 +18,6 @@ read once; their matches are those of the plain rules.
 Defined cases: a null text is empty and has no spans. Repeated rows each give the same row; their
 instances count once, since graph nodes are distinct. An empty table gives an empty result. Other columns are ignored.
 """
-
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -24,11 +27,16 @@ from terraquill.llm.common import Scratch, bounded_broadcast, lower_ascii
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT = 5
-MIN_SCORE = 0.9
+MIN_SCORE = 0.8
+#: The plain form of a secret, as a seed.
+SECRET = "^(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,64}$"
 ROUNDS = 3
 #: Patterns that are broadcast; more are joined by a shuffle.
 BROADCAST_PATTERNS = 100_000
 
+_WORD = r"[^\x20\x09-\x0D]"
+#: A token of digits and signs of numbers.
+_NUMERIC = rf"[().+-]*+[0-9][0-9().+-]*+(?!{_WORD})"
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: By kind: what a text must hold for the rule to be tried, and the rule.
 RULES = {
@@ -38,12 +46,14 @@ RULES = {
     # [0-9]([ -]?[0-9])+ : up to the first digit that no [ -]?[0-9] follows.
     "card": ("", r"[0-9](?=[\x20-]?[0-9])[0-9\x20-]*?[0-9](?![\x20-]?[0-9])"),
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "cand": ("", r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"),
+    "cand": (
+        "",
+        rf"(?<!{_WORD})(?:{_NUMERIC}(?:\x20{_NUMERIC}){{1,5}}|[^\x20\x09-\x0D0-9@]*+[0-9@]{_WORD}*+)",
+    ),
 }
 _OCTET = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-_CONTEXT = r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$"
-#: Context read before a token, in code points.
-REACH = 64
+_GAP = r"[\x20\x09-\x0D]"
+_FIRST, _FIRST_TWO = rf"^{_GAP}*+{_WORD}++", rf"^{_GAP}*+{_WORD}++(?:{_GAP}++{_WORD}++)?"
 _STEP = 64
 
 
@@ -98,19 +108,26 @@ def _matched(text: Column, kind: str) -> list[Column]:
         F.transform(gaps, F.length).alias(f"{kind}_gap"),
     ]
     if kind == "cand":
-        out.append(F.transform(gaps, lambda g: F.right(g, F.lit(REACH))).alias("cand_tail"))
+        out += [
+            F.transform(gaps, lambda g: F.reverse(F.regexp_extract(F.reverse(g), _FIRST_TWO, 0))).alias("cand_tail"),
+            F.transform(gaps, lambda g: F.regexp_extract(g, _FIRST, 0)).alias("cand_head"),
+        ]
     return out
 
 
-def _left() -> Column:
-    """The context before each candidate: gaps end at candidates, so two words reach back over two candidates at most."""
+def _split(*parts: Column) -> Column:
+    return F.array_remove(F.split(F.concat_ws(" ", *parts), rf"{_GAP}+"), "")
+
+
+def _contexts() -> Column:
+    """The two words before each candidate and the one after. A gap ends at candidates, so two words reach back over two of them at most."""
 
-    def read(tail: Column, i: Column) -> Column:
-        token = lambda k: F.coalesce(F.right(F.get("cand_text", i - k), F.lit(REACH)), F.lit(""))
-        before = F.concat(token(2), F.coalesce(F.get("cand_tail", i - 1), F.lit("")), token(1), tail)
-        return F.regexp_extract(F.right(before, F.lit(REACH)), _CONTEXT, 0)
+    def read(token: Column, i: Column) -> Column:
+        before = _split(F.get("cand_text", i - 2), F.get("cand_tail", i - 1), F.get("cand_text", i - 1), F.get("cand_tail", i))
+        after = _split(F.get("cand_head", i + 1), F.get("cand_text", i + 1))
+        return F.struct(F.reverse(F.slice(F.reverse(before), 1, 2)).alias("before"), F.get(after, F.lit(0)).alias("after"))
 
-    return F.transform("cand_tail", read).alias("cand_left")
+    return F.transform("cand_text", read).alias("cand_context")
 
 
 def _with_starts(df: DataFrame, kind: str) -> DataFrame:
@@ -146,7 +163,7 @@ def _sums(kind: str) -> Column:
 
 
 def spotted(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, one array of valid spans for each kind, cand: candidate tokens with their left contexts)."""
+    """(doc_id, text_key, one array of valid spans for each kind, cand: candidates with the words around them)."""
     kinds = (*KINDS, "cand")
     text = F.coalesce(F.col("text"), F.lit(""))
     # Written tables between the steps, so that no array is computed anew inside a lambda.
@@ -156,40 +173,56 @@ def spotted(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
         ),
         "found",
     )
-    lengths = scratch.save(found.select("*", _left(), *(c for k in kinds for c in _steps(k))), "lengths")
+    lengths = scratch.save(found.select("*", _contexts(), *(c for k in kinds for c in _steps(k))), "lengths")
     summed = scratch.save(lengths.select("*", *(_sums(k) for k in kinds)), "summed")
     for k in kinds:
         summed = _with_starts(summed, k)
     checked = [F.filter(k, _valid_span(k)).alias(k) for k in KINDS]
-    left = F.zip_with("cand", F.slice("cand_left", F.lit(1), F.size("cand")), lambda s, c: s.withField("left", c))
+    left = F.zip_with("cand", "cand_context", lambda s, c: s.withField("before", c["before"]).withField("after", c["after"]))
     out = scratch.save(summed.select("doc_id", "text_key", *checked, left.alias("cand")), "spotted")
     for name in ("found", "lengths", "summed"):
         scratch.drop(name)
     return out
 
 
+def _folded(words: Column) -> Column:
+    return F.regexp_replace(lower_ascii(words), "[0-9]+", "9")
+
+
+def _shape(instance: Column) -> Column:
+    mixed = F.regexp_replace(instance, "(?<![0-9A-Za-z])(?=[0-9]*[A-Za-z])(?=[A-Za-z]*[0-9])[0-9A-Za-z]{16,}", "~")
+    return F.regexp_replace(F.regexp_replace(mixed, "[0-9]+", "9"), "[A-Za-z]+", "a")
+
+
 def candidates(spans: DataFrame) -> DataFrame:
-    """Candidate tokens: doc_id, text_key, start, end, instance, patterns, seed (it touches a base span)."""
-    seeds = F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS))
-    rows = spans.where(F.size("cand") > 0).select("doc_id", "text_key", seeds.alias("seeds"), "cand")
-    rows = rows.select("doc_id", "text_key", "seeds", F.explode("cand").alias("c"))
+    """Candidates: doc_id, text_key, start, end, instance, patterns, based (it touches a base span), seed."""
+    bases = F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS))
+    rows = spans.where(F.size("cand") > 0).select("doc_id", "text_key", bases.alias("bases"), F.explode("cand").alias("c"))
     token = F.col("c.text")
-    head = F.length(F.regexp_extract(token, r"^[^A-Za-z0-9+]*", 0))
-    core = F.regexp_replace(F.regexp_replace(token, r"^[^A-Za-z0-9+]+", ""), r"[^A-Za-z0-9]+$", "")
-    before = F.regexp_replace(F.regexp_replace(lower_ascii(F.trim("c.left")), "[0-9]", "9"), r"[\x20\x09-\x0D]+", " ")
-    shape = F.regexp_replace(F.regexp_replace(F.col("instance"), "[0-9]", "9"), "[A-Za-z]+", "a")
-    last = F.substring_index("before", " ", -1)
-    return (
-        rows.withColumn("instance", core)
-        .withColumn("before", before)
-        .where("length(instance) > 3 and instance rlike '[0-9@]' and before != ''")
-        .withColumn("start", F.col("c.start") + head)
-        .withColumn("end", F.col("c.start") + head + F.length("instance"))
-        .select(
-            "doc_id", "text_key", "start", "end", "instance",
-            F.exists("seeds", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))).alias("seed"),
-            F.array(F.concat(F.lit("words "), F.col("before")), F.concat(F.lit("shape "), last, F.lit(" "), F.substring(shape, 1, 64))).alias("patterns"),
-        )
+    key = F.regexp_extract(token, r"^([^=0-9@]*+=)[^0-9@]*+[0-9@]", 1)
+    rows = (
+        rows.withColumn("key", key)
+        .withColumn("value", F.substring(token, F.length("key") + 1, F.length(token)))
+        .withColumn("head", F.length("key") + F.length(F.regexp_extract("value", r"^[^A-Za-z0-9+]*", 0)))
+        .withColumn("instance", F.regexp_replace(F.regexp_replace("value", r"^[^A-Za-z0-9+]+", ""), r"[^A-Za-z0-9]+$", ""))
+        .withColumn("before", F.concat("c.before", F.when(F.col("key") == "", F.array().cast("array<string>")).otherwise(F.array("key"))))
+        .where("length(instance) > 3 and instance rlike '[0-9@]' and size(before) > 0")
+        .withColumn("start", F.col("c.start") + F.col("head"))
+        .withColumn("end", F.col("c.start") + F.col("head") + F.length("instance"))
+        .withColumn("last", _folded(F.try_element_at("before", F.lit(-1))))
+        .withColumn("two", _folded(F.array_join(F.reverse(F.slice(F.reverse("before"), 1, 2)), " ")))
+        .withColumn("based", F.exists("bases", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
+    )
+    tagged = lambda kind, *parts: F.concat_ws(" ", F.lit(kind), *parts)
+    return rows.select(
+        "doc_id", "text_key", "start", "end", "instance",
+        F.array(
+            tagged("words", F.col("two")),
+            tagged("shape", F.col("last"), _shape(F.col("instance"))),
+            tagged("around", F.col("last"), F.lit("_"), _folded(F.coalesce("c.after", F.lit("")))),
+        ).alias("patterns"),
+        "based",
+        (F.col("based") | F.col("instance").rlike(SECRET)).alias("seed"),
     )
 
 
@@ -204,7 +237,7 @@ def accepted_patterns(tokens: DataFrame, scratch: Scratch) -> DataFrame:
     known = scratch.save(known, "known0")
     for k in range(ROUNDS):
         scored = graph.join(known, "instance", "left").groupBy("pattern").agg(
-            F.avg(F.coalesce("confidence", F.lit(0.0))).alias("score"), F.count("confidence").alias("support")
+            (F.sum(F.coalesce("confidence", F.lit(0.0))) / (F.count("*") + 1)).alias("score"), F.count("confidence").alias("support")
         )
         patterns = scratch.save(scored.where((F.col("score") >= MIN_SCORE) & (F.col("support") >= MIN_SUPPORT)).select("pattern", "score"), f"patterns{k}")
         if k + 1 < ROUNDS:
@@ -222,7 +255,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tokens = candidates(spans)
     patterns = bounded_broadcast(accepted_patterns(tokens, scratch), BROADCAST_PATTERNS)
     added = (
-        tokens.where("not seed")
+        tokens.where("not based")
         .select("doc_id", "text_key", "start", "end", F.explode("patterns").alias("pattern"))
         .join(patterns, "pattern")
         .groupBy(F.col("doc_id").alias("a_id"), F.col("text_key").alias("a_key"))

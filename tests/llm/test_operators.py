@@ -408,12 +408,51 @@ def test_pii_left_contexts(spark):
     from terraquill.llm.common import Scratch
 
     rng = random.Random(3)
-    texts = [" \n"[k % 2].join(rng.choices(["a1", "22", "b", "cc", "x@y", "d,"], k=12)) for k in range(60)]
+    texts = [" \n"[k % 2].join(rng.choices(["a1", "22", "(3)", "b", "cc", "x@y", "d,"], k=12)) for k in range(60)]
     spans = pii.spotted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark, "t"))
     for r in spans.collect():
-        words = texts[r["doc_id"]].split()
-        want = [words[max(0, j - 2) : j] for j, w in enumerate(words) if re.search("[0-9@]", w)]
-        assert [c["left"].split() for c in r["cand"]] == want
+        text = texts[r["doc_id"]]
+        tokens = list(re.finditer(r"(?:(?<!\S)[().+-]*\d[\d().+-]*(?:\x20[().+-]*\d[\d().+-]*(?!\S)){1,5})|\S*[0-9@]\S*", text))
+        assert [(c["start"], c["text"]) for c in r["cand"]] == [(m.start(), m[0]) for m in tokens]
+        for c, m in zip(r["cand"], tokens):
+            assert c["before"] == text[: m.start()].split()[-2:]
+            assert c["after"] == (text[m.end() :].split() or [None])[0]
+
+
+def context_texts(spark, texts: list[str]) -> list[list[str]]:
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    ends = [[tuple(map(int, x.split(":")[1:])) for x in r["context_spans"]] for r in rows]
+    return [[t[a:b] for a, b in e] for t, e in zip(texts, ends)]
+
+
+def test_pii_contexts_of_secrets_and_parted_numbers(spark):
+    rng = random.Random(5)
+    key = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    known = [f'w{k % 3} token = "{key()}" and more' for k in range(12)] + [f"ring me on +1 (614) 555-80{k} today" for k in range(10, 30)]
+    known += [f"api_key={key()} is set" for k in range(12)] + [f"x api_key={key()}" for k in range(12)]
+    shout, lone, plain = f'TOKEN = "{key().upper()}"!!', key(), "AKIA0123-QQ"
+    unseen = [shout, f"w token = {plain}.", "ring me on 614 555 8001", f"the sum {lone} of a file", f"here api_key='{plain}'"]
+    clean = ["in 2019 there were 44123 people", "version 2.0 of level 17", "ring me on Monday", "token = none", ""]
+    found = context_texts(spark, known + unseen + clean)
+    assert found[len(known) : len(known) + 5] == [[shout[9:49]], [plain], ["614 555 8001"], [], [plain]]
+    assert found[len(known) + 5 :] == [[]] * 5
+    assert all(x for x in found[:12])  # seeds of secrets are spans where a pattern holds them
+
+
+def test_pii_contexts_on_documents(spark):
+    """The planted secrets, which no base rule finds, and nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = {(i, f"context:{m.start(1)}:{m.end(1)}") for i, t in texts.items() for m in re.finditer(r'token = "([0-9a-fA-F]{40})"', t or "", re.I)}
+    assert len(want) > 10
+    assert {(r["doc_id"], x) for r in pii.find_pii(docs).collect() for x in r["context_spans"]} == want
+
+
+def test_pii_scores_count_support(spark):
+    """Few known instances, or many unknown ones, make no pattern."""
+    few = [f"ask for u{k}@x.org now" for k in range(4)] + ["ask for 4711-9"]
+    mixed = [f"sent by u{k}@x.org now" for k in range(9)] + [f"sent by 4711-{k} now" for k in range(9)]
+    assert context_texts(spark, few + mixed) == [[]] * len(few + mixed)
 
 
 # --- models -----------------------------------------------------------------------------------------------------
