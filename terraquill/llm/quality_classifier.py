@@ -2,15 +2,18 @@
 
 A document classifier (logistic regression on bounded text features, fitted on a bounded seeded sample of labelled rows) gives each
 document a probability of being bad. Sites are counted at two levels, host and path within the host: the
-sums of these probabilities. The global prior is the mean over all documents; a host's posterior is shrunk towards it, and a
-path's posterior towards its host's, each with a weight estimated from the spread of its level by moments. The
-site's posterior shifts the document's log odds from the global rate to the site's, by at most ``SITE_WEIGHT`` log odds, so that a site can't condemn a plainly clean document.
+sums of these probabilities. A host's posterior is shrunk towards the mean of all hosts, and a path's towards its host's, each with the
+weight that the spread of its level beyond noise gives (``shrinkage``). A document's own evidence is left out of its site's sums,
+and enters by Bayes' rule: the log odds of its evidence, shifted from the global rate to its site's.
+
+``site_col`` names the site: a URL, or host/path. What stands before the first ``/`` is the host, the next segment the path. A site without a path
+has the host level only. ``documents`` has no URL; its ``source`` is the host there, and the path level is empty.
 
 Labels are quality 0/1 (1: good) and, where the table has it, toxic 0/1 (1: toxic). Toxicity has a head of its own, which sites
 don't shift; its words are learned from the sample: words whose share in toxic rows is far above that in others. A
 document is kept if both heads stay below the threshold.
 
-Defined cases: a null text counts as empty. Null hosts or paths are sites of their own. Labels without a document, or null, are
+Defined cases: a null text counts as empty. Null sites form one host. Labels without a document, or null, are
 not learned from. Without any labels all documents score 0 and are kept; a head whose labels are all alike scores near that label. Repeated rows each count and
 give a row. An empty table gives an empty result. Other columns are ignored.
 """
@@ -22,17 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraquill.llm.common import Scratch, bounded_broadcast, utf8
+from terraquill.llm import shrinkage
+from terraquill.llm.common import Scratch, lower_ascii, utf8
 from terraquill.llm.quality_rules import repeated_words
 
 MAX_TRAIN = 8000
-MIN_TOXIC_ROWS, MIN_TOXIC_RATIO = 8, 20.0
+MIN_TOXIC_ROWS, MIN_TOXIC_RATIO = 4, 20.0
 STEPS, RATE, DECAY = 400, 0.5, 1e-4
-SITE_WEIGHT = 1.0
-BROADCAST_SITES = 100_000
 THRESHOLD = 0.5
 
 _SYMBOLS = b"#*$%&|<>!{}[]~^=+_"
@@ -69,7 +71,7 @@ def features(text: bytes | None, toxic: frozenset[bytes]) -> list[float]:
     digits = len(text) - len(text.translate(None, b"0123456789"))
     symbols = len(text) - len(text.translate(None, _SYMBOLS))
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
-    bad = sum(w in toxic for w in plain_words(text)) if toxic else 0
+    bad = [w for w in plain_words(text) if w in toxic] if toxic else []
     return [
         np.log1p(len(words)) / 5,
         min(chars / n, 40.0) / 10,
@@ -80,8 +82,8 @@ def features(text: bytes | None, toxic: frozenset[bytes]) -> list[float]:
         repeated_words(words) / n,
         (len(lines) - len(set(lines))) / max(len(lines), 1),
         min(text.count(b"|") / n, 1.0),
-        float(bad > 0),
-        min(100 * bad / n, 5.0),
+        min(len(set(bad)), 3) / 3,
+        min(100 * len(bad) / n, 5.0),
     ]
 
 
@@ -151,49 +153,55 @@ def train(
     return fit(np.array([r["x"] for r in rows]), np.clip(y, 0, 1), listed)
 
 
-def prior_weight(mean: float | None, spread: float | None) -> float:
-    """Documents that a prior counts for: m(1 - m)/v - 1 by moments, between 2 and 1000."""
-    if not spread or mean is None:
-        return 1000.0
-    return min(max(mean / spread - 1, 2.0), 1000.0)
-
-
-def site_posteriors(scored: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
-    """(s_host, s_path, posterior) for each path, and the global rate. ``scored``: host, path, bad (probability)."""
-    paths = scratch.save(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("bad").alias("f")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("h_n"), F.sum("f").alias("h_f"))
-    total, failed = paths.agg(F.sum("n"), F.sum("f")).first()
-    rate = min(max(failed / total, 1e-4), 1 - 1e-4) if total else 0.5
-    spread = hosts.agg(F.avg(F.pow(F.col("h_f") / F.col("h_n") - rate, 2.0))).first()[0]
-    host_weight = prior_weight(rate * (1 - rate), spread)
-    posterior = (F.col("h_f") + host_weight * rate) / (F.col("h_n") + host_weight)
-    named = hosts.select(F.col("host").alias("h_host"), posterior.alias("h_post"))
-    joined = scratch.save(
-        paths.join(bounded_broadcast(named, BROADCAST_SITES), F.col("host").eqNullSafe(F.col("h_host"))), "sites"
-    )
-    mean, spread = joined.agg(
-        F.avg(F.col("h_post") * (1 - F.col("h_post"))), F.avg(F.pow(F.col("f") / F.col("n") - F.col("h_post"), 2.0))
-    ).first()
-    path_weight = prior_weight(mean, spread)
+def site_parts(site: Column) -> tuple[Column, Column]:
+    """Host and first path segment (null if there is none) of a URL or a host/path."""
+    head = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)"
+    host = lower_ascii(F.regexp_extract(site, head, 1))
+    return host, F.nullif(F.regexp_extract(site, head + "/+([^/?#]+)", 2), F.lit(""))
+
+
+def with_site_rates(scored: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
+    """``scored`` (host, path, bad: probability) with ``host_rate`` and ``site_rate``, posteriors that leave the row itself out; and the global rate."""
+    sums = F.count("*").alias("n"), F.sum("bad").alias("f"), F.sum(F.col("bad") * F.col("bad")).alias("q")
+    paths = scratch.save(scored.groupBy("host", "path").agg(*sums), "paths")
+    hosts = scratch.save(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("f").alias("f"), F.sum("q").alias("q")), "hosts")
+    rate, host_weight = shrinkage.prior(hosts)
+    # Within hosts: how far paths stand from their host's rate, of hosts with several paths.
+    inside = paths.where("path is not null")
+    _, path_weight = shrinkage.prior(_centred(inside, hosts))
+    h = hosts.select(F.col("host").alias("h_host"), F.col("n").alias("h_n"), F.col("f").alias("h_f"))
+    p = inside.select(F.col("host").alias("p_host"), F.col("path").alias("p_path"), F.col("n").alias("p_n"), F.col("f").alias("p_f"))
+    joined = shrinkage.join_groups(scored, h, {"host": "h_host"}, "h_n")
+    placed = shrinkage.join_groups(joined.where("path is not null"), p, {"host": "p_host", "path": "p_path"}, "p_n")
+    joined = placed.unionByName(joined.where("path is null"), allowMissingColumns=True)
+    own = F.col("bad")
+    host_rate = shrinkage.posterior(F.col("h_f") - own, F.col("h_n") - 1, rate, host_weight)
+    path_rate = shrinkage.posterior(F.col("p_f") - own, F.col("p_n") - 1, F.col("host_rate"), path_weight)
     return (
-        joined.select(
-            F.col("host").alias("s_host"), F.col("path").alias("s_path"),
-            ((F.col("f") + path_weight * F.col("h_post")) / (F.col("n") + path_weight)).alias("site_rate"),
-        ),
+        joined.withColumn("host_rate", host_rate)
+        .withColumn("site_rate", F.coalesce(path_rate, F.col("host_rate")))
+        .drop("h_n", "h_f", "p_n", "p_f"),
         rate,
     )
 
 
+def _centred(paths: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Paths' sums (n, f, q) with their host's rate moved to one half, so that only the spread inside hosts is left."""
+    h = hosts.select(F.col("host").alias("c_host"), F.col("n").alias("c_n"), (F.col("f") / F.col("n") - 0.5).alias("c"))
+    met = shrinkage.join_groups(paths, h, {"host": "c_host"}, "c_n")
+    n, f, q, c = (F.col(x) for x in ("n", "f", "q", "c"))
+    return met.select("n", (f - n * c).alias("f"), (q - 2 * c * f + n * c * c).alias("q"))
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    host_col: str = "source",
-    path_col: str = "lang",
+    site_col: str = "source",
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """One row for each document: doc_id, evidence (classifier), site_rate, bad (posterior), quality, toxic and kept."""
+    """One row for each document: doc_id, evidence (classifier), host_rate, site_rate, bad (posterior), quality, toxic and kept."""
     scratch = Scratch(docs.sparkSession, "quality_classifier")
     model = train(docs, labels, scratch, id_col, text_col)
 
@@ -206,22 +214,16 @@ def classify(
                 names=["doc_id", "host", "path", "bad", "toxic"],
             )
 
-    slim = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"),
-        F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"),
-    )
+    host, path = site_parts(F.col(site_col).cast("string"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), host.alias("host"), path.alias("path"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     scored = scratch.save(
         slim.mapInArrow(score, f"doc_id {kind}, host string, path string, bad double, toxic double"), "scored"
     )
-    sites, rate = site_posteriors(scored, scratch)
-    same = F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path"))
+    rated, rate = with_site_rates(scored, scratch)
     logit = lambda p: F.log(p / (1 - p))
     site = F.least(F.greatest(F.col("site_rate"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    shift = F.least(F.greatest(logit(site) - float(np.log(rate / (1 - rate))), F.lit(-SITE_WEIGHT)), F.lit(SITE_WEIGHT))
-    bad = 1 / (1 + F.exp(-(logit(F.col("bad")) + shift)))
-    return (
-        scored.join(bounded_broadcast(sites, BROADCAST_SITES), same, "left")
-        .select("doc_id", F.col("bad").alias("evidence"), "site_rate", bad.alias("bad"), (1 - bad).alias("quality"), "toxic")
-        .withColumn("kept", (F.col("bad") < threshold) & (F.col("toxic") < threshold))
-    )
+    bad = 1 / (1 + F.exp(-(logit(F.col("bad")) + logit(site) - float(np.log(rate / (1 - rate))))))
+    return rated.select(
+        "doc_id", F.col("bad").alias("evidence"), "host_rate", "site_rate", bad.alias("bad"), (1 - bad).alias("quality"), "toxic"
+    ).withColumn("kept", (F.col("bad") < threshold) & (F.col("toxic") < threshold))

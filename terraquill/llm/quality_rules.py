@@ -1,12 +1,17 @@
 """Quality rules with host verdicts.
 
-Every text is held against fixed rules; failures are counted by host, host failure rates are shrunk
-with an empirical beta prior, and the host's verdict goes back to its documents: on a host whose shrunk
-rate is high, a document that breaks any soft rule goes too. A document that breaks none stays
-whatever its host is, and one that fails the base rule goes whatever its host is.
+Every text is held against fixed rules. Rule failures are counted by host, and each host's rate is shrunk with an empirical beta
+prior (``shrinkage``: the spread of the hosts' rates beyond their noise). A host's verdict follows from its posterior,
+a document's own outcome left out, against the prior's mean; both bounds are of ``certainty`` standard deviations:
 
-Defined cases: a null text counts as empty (0 words, base rule failed). A null host is a host of its own.
-Repeated rows each count and each give a row. An empty table gives an empty result. Other columns of the
+- ``trusted``: the rate is surely below the mean / ``factor``. Its rare soft failures are forgiven.
+- ``bad``: the rate is surely above the mean * ``factor``. Its documents are held against soft rules of ``strict`` times the thresholds.
+- ``ordinary``: all others, among them hosts too sparse to say. The soft rules hold as they are.
+
+A document that fails a base rule goes whatever its host is, and one far from all rules stays whatever its host is.
+
+Defined cases: a null text counts as empty (0 words, base rule failed). A null host is a host of its own; a host of one
+document is ordinary, for nothing is known of it but that document. Repeated rows each count and each give a row. An empty table gives an empty result. Other columns of the
 input are ignored.
 """
 
@@ -17,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraquill.llm.common import Scratch, bounded_broadcast, utf8
+from terraquill.llm import shrinkage
+from terraquill.llm.common import Scratch, utf8
 
 _SYMBOLS = b"#*$%&|<>"
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -28,7 +34,7 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_re
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds: base rule, soft rules of a document, and the shrunk host rate from which a host is bad."""
+    """Thresholds of the base rule and of the soft rules, and what sets a host apart from the others."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -36,8 +42,9 @@ class Rules:
     min_mean_word: float = 3.0
     max_mean_word: float = 12.0
     max_dup_line_share: float = 0.3
-    max_host_rate: float = 0.5
-    broadcast_hosts: int = 100_000
+    factor: float = 2.0
+    certainty: float = 1.645
+    strict: float = 0.5
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -81,51 +88,57 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
+def soft_failed(rules: Rules, times: float = 1.0) -> Column:
+    """Whether a text breaks a soft rule; with thresholds at ``times`` their distance from a plain text's."""
+    n = F.col("n_words")
+    mean = F.col("word_chars") / F.nullif(n, F.lit(0))
+    middle = (rules.min_mean_word + rules.max_mean_word) / 2
+    reach = (rules.max_mean_word - rules.min_mean_word) / 2 * (1 + times) / 2
+    return (
+        (F.col("n_symbols") > times * rules.max_symbols_per_word * n)
+        | F.coalesce(F.abs(mean - middle) > reach, F.lit(True))
+        | (F.col("n_dup_lines") > times * rules.max_dup_line_share * F.col("n_lines"))
+    )
+
+
+def host_verdicts(counted: DataFrame, rules: Rules, scratch: Scratch) -> DataFrame:
+    """``counted`` with ``host_rate`` (posterior, the document itself left out) and ``host_verdict``."""
+    outcome = F.col("soft_failed").cast("double")
+    hosts = scratch.save(counted.groupBy("host").agg(F.count("*").alias("n"), F.sum(outcome).alias("f"), F.sum(outcome).alias("q")), "hosts")
+    mean, weight = shrinkage.prior(hosts)
+    named = hosts.select(F.col("host").alias("h_host"), F.col("n").alias("h_n"), F.col("f").alias("h_f"))
+    n = F.col("h_n") - 1
+    rate = shrinkage.posterior(F.col("h_f") - outcome, n, mean, weight)
+    margin = rules.certainty * shrinkage.deviation(F.col("host_rate"), n, weight)
+    verdict = (
+        F.when(F.col("host_rate") - margin > rules.factor * mean, "bad")
+        .when(F.col("host_rate") + margin < mean / rules.factor, "trusted")
+        .otherwise("ordinary")
+    )
+    joined = shrinkage.join_groups(counted, named, {"host": "h_host"}, "h_n")
+    return joined.withColumn("host_rate", rate).withColumn("host_verdict", verdict).drop("h_n", "h_f")
+
+
 def host_quality_rules(
     docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
 ) -> DataFrame:
-    """One row for each document: counts, ``base_failed``, ``soft_failed``, ``host_rate`` and ``kept``."""
+    """One row for each document: counts, ``base_failed``, ``soft_failed`` (or a base rule), ``host_rate``, ``host_verdict``, ``kept``."""
     scratch = Scratch(docs.sparkSession, "quality_rules")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, host {slim.schema['host'].dataType.simpleString()}, "
     n = F.col("n_words")
     base = (n < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * n)
-    mean = F.col("word_chars") / F.nullif(n, F.lit(0))
-    soft = (
-        base
-        | (F.col("n_symbols") > rules.max_symbols_per_word * n)
-        | F.coalesce((mean < rules.min_mean_word) | (mean > rules.max_mean_word), F.lit(True))
-        | (F.col("n_dup_lines") > rules.max_dup_line_share * F.col("n_lines"))
-    )
     counted = scratch.save(
         slim.mapInArrow(_count_batches, schema + ", ".join(f"{c} long" for c in _COUNTS))
         .withColumn("base_failed", base)
-        .withColumn("soft_failed", soft),
+        .withColumn("soft_failed", base | soft_failed(rules)),
         "counted",
     )
-    hosts = counted.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("soft_failed").cast("long")).alias("f"))
-    alpha, beta = beta_prior(hosts)
-    verdicts = hosts.select(
-        F.col("host").alias("verdict_host"), ((F.col("f") + alpha) / (F.col("n") + alpha + beta)).alias("host_rate")
+    judged = host_verdicts(counted, rules, scratch)
+    failed = (
+        F.when(F.col("host_verdict") == "trusted", F.lit(False))
+        .when(F.col("host_verdict") == "bad", F.col("soft_failed") | soft_failed(rules, rules.strict))
+        .otherwise(F.col("soft_failed"))
     )
-    joined = counted.join(
-        bounded_broadcast(verdicts, rules.broadcast_hosts), F.col("host").eqNullSafe(F.col("verdict_host")), "left"
-    )
-    bad_host = F.col("host_rate") > rules.max_host_rate
-    return joined.drop("verdict_host").withColumn(
-        "kept", ~F.col("base_failed") & ~(bad_host & F.col("soft_failed"))
-    )
-
-
-def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """Beta parameters from the mean and variance of the hosts' rates (columns n, f), by moments.
+    return judged.withColumn("kept", ~F.col("base_failed") & ~failed)
 
-    The prior's weight lies between 2 and 1000 documents, so that hosts that all agree don't make it infinite.
-    """
-    rate = F.col("f") / F.col("n")
-    m, v, total, failed = hosts.agg(F.avg(rate), F.var_samp(rate), F.sum("n"), F.sum("f")).first()
-    if not total:
-        return 1.0, 1.0
-    m = min(max(failed / total, 1e-3), 1 - 1e-3)
-    weight = min(max(m * (1 - m) / v - 1, 2.0), 1000.0) if v else 1000.0
-    return m * weight, (1 - m) * weight

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terraquill.llm import (
     decontamination,
@@ -311,6 +312,46 @@ def test_bad_hosts_lose_soft_failures(spark):
     assert not any(kept[k] for k in range(60)) and kept[100] and kept[500] and kept[200]
 
 
+def test_hosts_of_one_document_are_not_judged_by_it(spark):
+    good, soft = " ".join(f"word{k}" for k in range(80)), " ".join(f"word{k}#####" for k in range(80))
+    rows = [(k, soft if k % 2 else good, f"host{k}") for k in range(600)]
+    found = quality_rules.host_quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["host_verdict"] for r in found} == {"ordinary"} and {round(r["host_rate"], 6) for r in found} == {0.5}
+
+
+def test_verdicts_of_hosts_planted_among_the_documents(spark):
+    """Among the tables' sources, a host of failures and one that hardly has any; only what is near a rule changes its verdict."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = by_id(quality_rules.host_quality_rules(real))
+    assert {r["host_verdict"] for r in before.values()} == {"ordinary"}
+    failed = sorted(i for i, r in before.items() if r["soft_failed"] and not r["base_failed"])
+    plain = sorted(i for i, r in before.items() if not r["soft_failed"])
+    near = " ".join(f"word{k}" + "#" * (k % 20 == 3) for k in range(100)) + "###"
+    site = F.when(F.col("doc_id").isin(failed[:40] + plain[:20]), "bad").when(F.col("doc_id").isin(failed[40:41] + plain[20:320]), "good").otherwise(F.col("source"))
+    more = spark.createDataFrame([(-1, near, "bad"), (-2, near, "src3"), (-3, near, "good")], "doc_id long, text string, source string")
+    rows = by_id(quality_rules.host_quality_rules(real.select("doc_id", "text", site.alias("source")).union(more)))
+    assert [rows[i]["host_verdict"] for i in (failed[0], failed[40], -2)] == ["bad", "trusted", "ordinary"]
+    assert not any(rows[i]["kept"] for i in failed[:40]) and rows[failed[40]]["kept"] and not before[failed[40]]["kept"]
+    assert [rows[i]["kept"] for i in (-1, -2, -3)] == [False, True, True]
+    lost = [i for i in plain if not rows[i]["kept"]]
+    assert len(lost) <= 3 and set(lost) <= set(plain[:20])
+    assert all(rows[i]["kept"] == before[i]["kept"] for i in before if before[i]["host"] == rows[i]["host"])
+
+
+def test_prior_subtracts_noise(spark):
+    """Groups drawn with one rate have no spread however small they are; unlike ones have theirs."""
+    from terraquill.llm import shrinkage
+
+    rng = np.random.default_rng(1)
+    n = rng.integers(1, 9, 4000)
+    for p, mean, low, high in ((np.full(4000, 0.3), 0.3, 50, 1e16), (rng.beta(3, 7, 4000), 0.3, 7, 14), (np.full(4000, 0.0), 0.0, 1e15, 1e16)):
+        f = rng.binomial(n, p)
+        rows = spark.createDataFrame([(int(a), float(b), float(b)) for a, b in zip(n, f)], "n long, f double, q double")
+        found = shrinkage.prior(rows)
+        assert found[0] == pytest.approx(mean, abs=0.02) and low < found[1] < high or found[1] == low
+    assert shrinkage.prior(rows.where("n > 99")) == (0.5, shrinkage.NO_SPREAD)
+
+
 # --- license, PII ---------------------------------------------------------------------------------------------
 
 
@@ -556,13 +597,53 @@ def test_quality(spark, docs, real):
     assert quality_classifier.classify(docs, odd).count() == docs.count()
 
 
+def test_quality_of_held_out_labels(spark):
+    real, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = {r["doc_id"]: r for r in labels.where("doc_id % 4 = 1").collect()}
+    rows = by_id(quality_classifier.classify(real, labels.where("doc_id % 4 <> 1")))
+    right = sum((rows[i]["bad"] < 0.5) == (r["quality"] == 1) for i, r in held.items())
+    assert right >= 0.95 * len(held) and len(held) > 600
+    toxic = [r["toxic"] for r in held.values()]
+    assert sum(rows[i]["toxic"] >= 0.5 for i, r in held.items() if r["toxic"]) >= 0.92 * sum(toxic)
+    assert sum(rows[i]["toxic"] >= 0.5 for i, r in held.items() if not r["toxic"]) <= 0.01 * len(held)
+
+
+def test_sites_move_documents(spark):
+    """On a bad host, documents in doubt go; elsewhere they stay; documents beyond doubt never move."""
+    real, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    plain = by_id(quality_classifier.classify(real, labels))
+    bad = sorted((i for i, r in plain.items() if r["evidence"] > 0.9))[:60]
+    doubt = sorted(plain, key=lambda i: abs(plain[i]["evidence"] - 0.4))[:3]
+    clean = [i for i, r in plain.items() if r["evidence"] < 0.001][:5]
+    site = F.when(F.col("doc_id").isin(bad + doubt + clean), F.lit("http://Bad.example/x/1")).otherwise(F.concat("source", F.lit("/a")))
+    rows = by_id(quality_classifier.classify(real.withColumn("source", site), labels))
+    moved = [i for i in rows if rows[i]["kept"] != plain[i]["kept"]]
+    assert not any(rows[i]["kept"] for i in doubt) and all(rows[i]["kept"] == plain[i]["kept"] for i in clean)
+    assert set(doubt) & set(moved) and len(moved) < 0.02 * len(rows)
+    assert rows[bad[0]]["site_rate"] > 0.5 > 0.3 > rows[next(i for i in rows if i not in bad + doubt + clean)]["site_rate"]
+
+
 def test_sites_shrink(spark):
     from terraquill.llm.common import Scratch
 
-    rows = [("big", "a", 0.9)] * 300 + [("big", "b", 0.1)] * 300 + [("small", "a", 1.0)] + [("other", None, 0.2)] * 300
-    sites, rate = quality_classifier.site_posteriors(spark.createDataFrame(rows, "host string, path string, bad double"), Scratch(spark, "t"))
-    found = {(r["s_host"], r["s_path"]): r["site_rate"] for r in sites.collect()}
-    assert found["big", "a"] > 0.7 and found["big", "b"] < 0.3 and abs(found["small", "a"] - rate) < 0.5
+    rows = [("big", "a", 0.9)] * 300 + [("big", "b", 0.1)] * 300 + [("small", "a", 1.0)] + [("other", None, 0.2)] * 300 + [(None, None, 0.5)]
+    rated, rate = quality_classifier.with_site_rates(spark.createDataFrame(rows, "host string, path string, bad double"), Scratch(spark, "t"))
+    assert rated.count() == len(rows)
+    found = {(r["host"], r["path"]): r["site_rate"] for r in rated.collect()}
+    assert found["big", "a"] > 0.7 and found["big", "b"] < 0.3 and found["small", "a"] == pytest.approx(rate) == pytest.approx(found[None, None])
+    urls = ["https://A.example/p/q?x", "a.example", "src1", "a/b", "a//b/c", None, ""]
+    parts = spark.createDataFrame([(u,) for u in urls], "u string").select(*quality_classifier.site_parts(F.col("u"))).collect()
+    assert [tuple(r) for r in parts] == [("a.example", "p"), ("a.example", None), ("src1", None), ("a", "b"), ("a", "b"), (None, None), ("", None)]
+
+
+def test_many_groups_are_joined_without_one_task_of_the_hot_one(spark, monkeypatch):
+    from terraquill.llm import shrinkage
+
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'hot', if(id % 3 = 1, null, concat('h', id))) host")
+    groups = rows.groupBy(F.col("host").alias("g")).agg(F.count("*").alias("n"))
+    want = sorted((r["id"], r["n"]) for r in shrinkage.join_groups(rows, groups, {"host": "g"}, "n").collect())
+    monkeypatch.setattr(shrinkage, "BROADCAST_SITES", 10)
+    assert sorted((r["id"], r["n"]) for r in shrinkage.join_groups(rows, groups, {"host": "g"}, "n").collect()) == want and len(want) == 3000
 
 
 # --- all --------------------------------------------------------------------------------------------------------
