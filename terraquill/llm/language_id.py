@@ -1,9 +1,14 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
-The model is fitted by stochastic gradient descent in numpy on a bounded seeded sample of labelled rows
-(``MAX_TRAIN`` rows, ``GRAMS`` subwords of each, drawn from the whole text). Part of the sample calibrates it: a temperature
-for the scores, then the score below which a prediction is rejected, set so that hardly any
-rightly labelled text is. Prediction averages the subwords of the whole text.
+The model is fitted by stochastic gradient descent in numpy on a bounded seeded sample of labelled rows (``MAX_TRAIN``
+rows; all subwords of each whole text). Beside the languages it has one class for text of none of them, learned from texts made of the
+sample: letters shuffled, letters replaced by others throughout, and random strings. Short runs of words of each
+sampled text take part, so that short texts are judged too.
+
+A part of the sample calibrates the model and is not fitted on: a temperature by log loss with smoothed targets, then the score below
+which a prediction is rejected, between the scores of wrong or made-up texts and those of rightly named ones, at no more than
+``MAX_LOST`` of the latter. Prediction averages the subwords of the whole text; the score is the probability of
+the best language, so that it falls with the evidence of none.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected. Rows without a language or a doc_id are
 never learned from. Without labelled rows every text is ``und`` with score 0 and nothing is rejected but
@@ -19,19 +24,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraquill.llm.common import utf8
 
-MAX_TRAIN = 6000
-GRAMS = 400
+MAX_TRAIN = 1500
 CALIBRATION_SHARE = 0.25
 BUCKETS, WIDTH = 1 << 15, 16
 ORDERS = (2, 3, 4)
-STEPS, BATCH, RATE = 600, 32, 0.5
-#: Share of rightly labelled calibration texts that rejection may cost, and a bound of the score.
-MAX_LOST, MAX_SCORE = 0.0005, 0.5
+STEPS, BATCH, RATE = 700, 32, 0.5
+#: Share of rightly named calibration texts that rejection may cost.
+MAX_LOST = 0.001
+#: Letters of made-up texts: code points of the scripts in common use.
+_SCRIPTS = ((0x61, 0x7B), (0xE0, 0x180), (0x3B1, 0x3CA), (0x430, 0x450), (0x5D0, 0x5EB), (0x627, 0x64B), (0x905, 0x93A), (0x4E00, 0x9FA6))
 
 _LETTER = re.compile(r"[^\W\d_]")
 _PRIMES = np.array([1, 131, 17_161, 2_248_091], np.uint32)
@@ -39,7 +46,7 @@ _PRIMES = np.array([1, 131, 17_161, 2_248_091], np.uint32)
 
 @dataclass(frozen=True)
 class Model:
-    """Per bucket, each language's share of the logits; bias; temperature; least accepted score."""
+    """Per bucket, each class's share of the logits (the last class is none of the languages); bias; temperature; least accepted score."""
 
     languages: tuple[str, ...]
     table: np.ndarray
@@ -71,66 +78,127 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def fit(grams: np.ndarray, labels: list[str], seed: int = 5) -> Model:
-    """``grams``: rows of subword buckets, -1 where a text has fewer; one label for each row."""
-    languages = tuple(sorted(set(labels)))
-    y = np.array([languages.index(x) for x in labels])
+@dataclass(frozen=True)
+class Bags:
+    """Rows of subword buckets with their counts, end to end; ``starts`` has one more entry than there are rows."""
+
+    bucket: np.ndarray
+    weight: np.ndarray  # share of the row's subwords
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, np.ndarray]]) -> Bags:
+        weight = [(n / n.sum()).astype(np.float32) for _, n in rows]
+        return cls(np.concatenate([b for b, _ in rows]), np.concatenate(weight), np.cumsum([0] + [len(w) for w in weight]))
+
+    def take(self, rows: np.ndarray) -> Bags:
+        sizes = self.starts[rows + 1] - self.starts[rows]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(starts[-1]) + np.repeat(self.starts[rows] - starts[:-1], sizes)
+        return Bags(self.bucket[at], self.weight[at], starts)
+
+    def mean(self, table: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(table[self.bucket] * self.weight[:, None], self.starts[:-1])
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str | None], groups: list[int], seed: int = 5) -> Model:
+    """``rows``: subword buckets of a text and their counts; ``labels``: None for text of no language; rows of a group (of one document) are
+    fitted on or calibrated with together."""
+    languages = tuple(sorted({x for x in labels if x is not None}))
+    y = np.array([len(languages) if x is None else languages.index(x) for x in labels])
     rng = np.random.default_rng(seed)
-    held = rng.random(len(y)) < CALIBRATION_SHARE
+    held = (rng.random(max(groups) + 1) < CALIBRATION_SHARE)[np.array(groups)]
     if not (~held).any() or not held.any():
         held[:] = False
-    emb = rng.normal(0, 0.1, (BUCKETS + 1, WIDTH)).astype(np.float32)
-    emb[BUCKETS] = 0  # the bucket of the padding
-    top, bias = rng.normal(0, 0.1, (WIDTH, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
-    grams = np.where(grams < 0, BUCKETS, grams)
-    n = np.maximum((grams < BUCKETS).sum(1), 1)[:, None].astype(np.float32)
-    rows = np.flatnonzero(~held)
-    epochs = -(-STEPS // -(-len(rows) // BATCH))  # about as many steps for a small sample
-    for epoch in range(epochs):
-        rate = RATE * (1 - epoch / epochs)
-        for at in range(0, len(rows), BATCH):
-            r = rng.permutation(rows)[:BATCH] if len(rows) <= BATCH else rows[at : at + BATCH]
-            mean = emb[grams[r]].sum(1) / n[r]
-            slope = softmax(mean @ top + bias)
-            slope[np.arange(len(r)), y[r]] -= 1
-            slope /= len(r)
-            back = (slope @ top.T) / n[r] * len(r) * 8  # embeddings are averages, so their slopes are small
-            top -= rate * (mean.T @ slope)
-            bias -= rate * slope.sum(0)
-            flat = grams[r].ravel()
-            used, inverse = np.unique(flat, return_inverse=True)
-            step = np.zeros((len(used), WIDTH), np.float32)
-            for k in range(WIDTH):
-                step[:, k] = np.bincount(inverse, np.repeat(back[:, k], grams.shape[1]), len(used))
-            emb[used] -= rate * step
-            emb[BUCKETS] = 0
-        rng.shuffle(rows)
+    bags = Bags.of(rows)
+    emb = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
+    top, bias = rng.normal(0, 0.1, (WIDTH, len(languages) + 1)).astype(np.float32), np.zeros(len(languages) + 1, np.float32)
+    fitted = np.flatnonzero(~held)
+    order = np.empty(0, np.int64)
+    for step in range(STEPS):
+        if len(order) < min(BATCH, len(fitted)):
+            order = rng.permutation(fitted)
+        r, order = order[:BATCH], order[BATCH:]
+        rate = RATE * (1 - step / STEPS)
+        batch = bags.take(r)
+        mean = batch.mean(emb)
+        slope = softmax(mean @ top + bias)
+        slope[np.arange(len(r)), y[r]] -= 1
+        back = slope @ top.T * 8  # embeddings are averages, so their slopes are small
+        slope /= len(r)
+        top -= rate * (mean.T @ slope)
+        bias -= rate * slope.sum(0)
+        used, inverse = np.unique(batch.bucket, return_inverse=True)
+        spread = np.repeat(back, np.diff(batch.starts), axis=0) * batch.weight[:, None]
+        for k in range(WIDTH):
+            emb[used, k] -= rate * np.bincount(inverse, spread[:, k], len(used)).astype(np.float32)
     if not held.any():
-        return Model(languages, (emb @ top)[:BUCKETS], bias)
-    logits = emb[grams[held]].sum(1) / n[held] @ top + bias
-    temperature, least = calibrate(logits, y[held])
-    return Model(languages, (emb @ top)[:BUCKETS], bias, temperature, least)
+        return Model(languages, emb @ top, bias)
+    temperature, least = calibrate(bags.take(np.flatnonzero(held)).mean(emb) @ top + bias, y[held])
+    return Model(languages, emb @ top, bias, temperature, least)
 
 
 def calibrate(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """The temperature of least log loss, and the least accepted score."""
-    grid = np.geomspace(0.05, 20, 61)
-    loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
-    t = float(grid[int(np.argmin(loss))])
-    p = softmax(logits / t)
-    right = p.max(1)[p.argmax(1) == y]
-    return t, float(min(np.quantile(right, MAX_LOST), MAX_SCORE)) if len(right) else 0.0
-
-
-def _sample_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The temperature of least smoothed log loss, and the least accepted score. The last class is text of no language."""
+    n, classes = logits.shape
+    target = np.full((n, classes), 1 / (n + 2) / (classes - 1))
+    target[np.arange(n), y] = 1 - 1 / (n + 2)
+    grid = np.geomspace(1e-3, 1e3, 241)
+    t = float(grid[int(np.argmin([-(target * np.log(np.maximum(softmax(logits / t), 1e-300))).sum() for t in grid]))])
+    p = softmax(logits / t)[:, :-1]
+    score, right = p.max(1), p.argmax(1) == y
+    if not right.any() or right.all():
+        return t, 0.0
+    good, wrong = np.sort(score[right]), np.sort(score[~right])
+    # From the bar of least loss on, a lost right text weighing as ten wrong ones accepted; in the middle of its gap.
+    bars = np.unique(score)
+    cost = 10 * np.searchsorted(good, bars) / len(good) + 1 - np.searchsorted(wrong, bars) / len(wrong)
+    k = int(np.argmin(cost))
+    bar = (bars[k] + bars[k - 1]) / 2 if k else 0.0
+    return t, float(min(bar, np.quantile(good, MAX_LOST)))
+
+
+def made_up(text: str, rng: np.random.Generator) -> str:
+    """Text of no language, from the words of one: shuffled, written in other letters, or random strings."""
+    kind = rng.integers(4)
+    words = np.array(text.split() or [text])
+    first = int(rng.integers(len(words)))
+    text = " ".join(words[first : first + 3 + int(rng.geometric(0.01))])
+    if kind == 0:
+        letters = [c for c in text if c != " "]
+        rng.shuffle(letters)
+        left = iter(letters)
+        return "".join(c if c == " " else next(left) for c in text)
+    if kind == 1:  # the same words in other letters of a script
+        low, high = _SCRIPTS[rng.integers(len(_SCRIPTS))]
+        letters = sorted({c for c in text.lower() if c.isalpha()})
+        return text.lower().translate({ord(c): chr(x) for c, x in zip(letters, rng.integers(low, high, len(letters)))})
+    if kind == 2:  # letters of a script at random
+        low, high = _SCRIPTS[rng.integers(len(_SCRIPTS))]
+        return "".join(c if c == " " else chr(x) for c, x in zip(text, rng.integers(low, high, len(text))))
+    signs = np.array(list("0123456789abcdef" if rng.integers(2) else "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/=_-(){};<>"))
+    return "".join(c if c == " " and rng.integers(2) else x for c, x in zip(text, rng.choice(signs, len(text))))
+
+
+def _sample_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every text: the whole, a short run of its words, and a made-up text (lang null)."""
     for b in batches:
-        rows = []
-        for text in utf8(b.column(1)):
-            g = subwords(text).astype(np.int32)
-            if len(g) > GRAMS:  # spread over the whole text
-                g = g[np.random.default_rng(len(g)).integers(0, len(g), GRAMS)]
-            rows.append(np.concatenate([g, np.full(GRAMS - len(g), -1, np.int32)]).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["lang", "grams"])
+        langs, keys, buckets, counts = [], [], [], []
+        for lang, raw in zip(b.column(0).to_pylist(), utf8(b.column(1))):
+            key = xxhash.xxh3_64_intdigest(raw) >> 1
+            rng = np.random.default_rng(key)
+            words = raw.split()
+            first, n = int(rng.integers(len(words))), 2 + int(rng.integers(24))
+            for of, text in ((lang, raw), (lang, b" ".join(words[first : first + n])), (None, made_up(raw.decode("utf-8", "replace"), rng).encode())):
+                bucket, count = np.unique(subwords(text), return_counts=True)
+                langs.append(of)
+                keys.append(key)
+                buckets.append(bucket.astype(np.uint16))
+                counts.append(count.astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(langs, pa.string()), pa.array(keys, pa.int64()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (buckets, counts))],
+            names=["lang", "key", "buckets", "counts"],
+        )
 
 
 def train(
@@ -142,16 +210,16 @@ def train(
         docs.where((F.pmod(F.crc32(ids), F.lit(folds)) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
         .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(3), ids).alias("dice"), ids.alias("id"))
     )
-    # The sample is found without its texts, which follow by a semi join.
-    chosen = rows.select("dice", "id").orderBy("dice", "id").limit(MAX_TRAIN)
-    last = chosen.agg(F.max("dice")).first()[0]
+    # The sample is found without its texts, which follow by their dice; repeated ids are told apart by what they hold.
+    last = rows.select("dice").orderBy("dice").limit(MAX_TRAIN).agg(F.max("dice")).first()[0]
     if last is None:
         return None
-    sample = rows.where(F.col("dice") <= last).select("lang", "text").limit(MAX_TRAIN)
-    found = sorted((r["lang"], bytes(r["grams"])) for r in sample.mapInArrow(_sample_grams, "lang string, grams binary").collect())
-    order = np.random.default_rng(9).permutation(len(found))
-    grams = np.stack([np.frombuffer(found[k][1], np.int32) for k in order])
-    return fit(grams, [found[k][0] for k in order])
+    sample = rows.where(F.col("dice") <= last).orderBy("dice", "id", F.xxhash64("text"), "lang").limit(MAX_TRAIN).select("lang", "text")
+    found = sample.repartition(8).mapInArrow(_sample_bags, "lang string, key long, buckets binary, counts binary").collect()
+    found = sorted((r["key"], r["lang"] or "", bytes(r["buckets"]), bytes(r["counts"]), r["lang"]) for r in found)
+    group = {key: g for g, key in enumerate(sorted({r[0] for r in found}))}
+    bags = [(np.frombuffer(r[2], np.uint16).astype(np.int64), np.frombuffer(r[3], np.int32)) for r in found]
+    return fit(bags, [r[4] for r in found], [group[r[0]] for r in found])
 
 
 def predict(text: bytes | None, model: Model | None) -> tuple[str, float, bool]:
@@ -161,7 +229,7 @@ def predict(text: bytes | None, model: Model | None) -> tuple[str, float, bool]:
         return "und", 0.0, False
     g = subwords(text)
     logits = model.table[g].sum(0, dtype=np.float64) / len(g) + model.bias
-    p = softmax(logits / model.temperature)
+    p = softmax(logits / model.temperature)[:-1]
     best = int(p.argmax())
     return model.languages[best], float(p[best]), bool(p[best] < model.least)
 

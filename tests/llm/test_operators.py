@@ -584,6 +584,42 @@ def test_language(docs, real):
     assert language_id.accepted(docs, language_id.train(docs)).columns == docs.columns
 
 
+#: Other languages, code, keys and keyboard noise.
+FOREIGN = (
+    "Wszystkie szczęśliwe rodziny są do siebie podobne, każda nieszczęśliwa rodzina jest nieszczęśliwa na swój sposób",
+    "Bütün mutlu aileler birbirine benzer, her mutsuz aile kendine göre mutsuzdur ve bu böyle sürer gider",
+    "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему",
+    "Όλες οι ευτυχισμένες οικογένειες μοιάζουν μεταξύ τους, κάθε δυστυχισμένη οικογένεια",
+    "幸福な家庭はすべて互いに似かよったものであり、不幸な家庭はどこもその不幸のおもむきが異なっているものである",
+    "qwrtp zxcvb plkjh mnbvc xzqwk jhgfd wqzxj kjhgf vbnmz xcvqw ptrwq zzxxc",
+    "4f2a9c81b7e3 0d6655aa91c7 bbee01f3a9d2 77c0e4d1f2b8 a1b2c3d4e5f6 09f8e7d6c5b4",
+    "def f(x): return [y*2 for y in x if y%3==0]; import sys; print(f(range(10)))",
+    "SGVsbG8gd29ybGQhIFRoaXMgaXMgYmFzZTY0IGVuY29kZWQgdGV4dC4gUGxlYXNlIGRlY29kZSBpdA==",
+)
+
+
+def test_language_rejects_what_is_none(spark):
+    """Foreign and random texts go, documents stay, and the stage acts on it."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(real)
+    rows = language_id.identify(real, model).collect()
+    assert sum(r["rejected"] for r in rows) <= 0.002 * len(rows)
+    truth = {r["doc_id"]: r["lang"] for r in real.collect()}
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.99 * len(held)
+    assert len({round(r["score"], 3) for r in rows}) > 20  # scores tell texts apart
+    odd = spark.createDataFrame([(-k, t, None, "web", 1) for k, t in enumerate(FOREIGN, 1)], real.schema)
+    kept = {r["doc_id"] for r in language_id.accepted(real.union(odd), model).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in rows if not r["rejected"]}
+
+
+def test_language_sample_is_the_same_for_reruns_and_repeated_ids(spark, real, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_TRAIN", 12)
+    twice = real.union(real.withColumn("text", F.reverse("text"))).union(real)
+    models = [language_id.train(df) for df in (twice, twice.repartition(7), twice.orderBy("n_chars"))]
+    assert all(np.array_equal(m.table, models[0].table) and m.least == models[0].least for m in models)
+
+
 def test_quality(spark, docs, real):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = by_id(quality_classifier.classify(real, labels))
