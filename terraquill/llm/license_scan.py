@@ -1,14 +1,16 @@
 """License scan by diagonal voting, in DataFrame operations only.
 
 All rolling three-word grams of every text are joined, by hash and then by their words, to the grams of
-the license templates. A gram at word p of the text and word q of a template votes for the diagonal p - q. Votes are
-counted by (document, template, diagonal); neighbouring diagonals, at most ``MAX_SHIFT`` apart, form a chain, so that a
-word left out or put in doesn't cut a match. From each diagonal of a chain on, the diagonals within the greatest length of a match are merged
-to a span, so that repeated notices and stray votes can't make it too long; it is verified by the share of the template's grams that it holds.
-All verified spans count for labels and score; of those that overlap, the first is listed.
+the license templates. A gram at word p of the text and word q of a template votes for the diagonal p - q. Votes on one
+diagonal, at most ``MAX_HOLE`` places apart, form a run. From each run on, runs of neighbouring diagonals are merged where text and template both
+go on: each begins after the last place of the one before, at most ``MAX_SHIFT`` diagonals from it, and within the
+template's length times ``MAX_STRETCH``. So a word left out or put in doesn't cut a match, and repeated notices stay apart.
+
+A span is verified by its grams: ``MIN_COVER`` of the template's, or ``MIN_RUN`` of a long template's with that density. Spans that overlap
+compete: the one with most grams is kept, of equals the first, of these the first template. Kept spans give labels, score and the listed spans.
 
 The three base phrases are templates like the others; on one diagonal with all of a phrase's grams, the
-phrase's words stand consecutively, so such diagonals are exactly its places.
+phrase's words stand consecutively, so such diagonals are exactly its places. They don't compete.
 
 Defined cases: a null text is empty and has no words. Repeated rows each give the same row. Texts of fewer than three words match
 nothing. An empty table gives an empty result. Other columns are ignored.
@@ -20,11 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terraquill.llm.common import lower_ascii
+from terraquill.llm.common import Scratch, lower_ascii
 
 GRAM = 3
+MAX_HOLE = 8
 MAX_SHIFT = 3
 MIN_COVER = 0.6
+MIN_RUN = 24
 MAX_STRETCH = 1.5
 
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,16 +40,27 @@ BASE_PHRASES = (
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-#: Openings of public license notices.
+#: Public license texts and notices, as words of ``license_words``.
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl-3", "licensed under the gnu general public license version 3"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
     ("all-rights-reserved", "all rights reserved"),
 )
 
@@ -91,77 +106,75 @@ def diagonal_votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def notices(chained: DataFrame, match: list[str]) -> DataFrame:
-    """Verified spans of the templates, of diagonals with their chains; ``listed`` if no listed one before overlaps."""
-    longest = int(MAX_STRETCH * max(len(text.split(" ")) for _, text in TEMPLATES))
-    placed = chained.select(
-        *match, "span", "label", "is_base", "n_grams", (F.col("diagonal") + F.col("first")).cast("long").alias("start"),
-        (F.col("diagonal") + F.col("last") + GRAM).alias("end"), "places",
+def runs(votes: DataFrame, key: list[str]) -> DataFrame:
+    """Runs of votes on one diagonal: diagonal, first and last template place, start and end in the text, n (votes)."""
+    along = Window.partitionBy(*key, "diagonal").orderBy("t_place")
+    opens = F.coalesce(F.col("t_place") - F.lag("t_place").over(along) > MAX_HOLE, F.lit(True)).cast("int")
+    placed = votes.withColumn("opens", opens).withColumn("run", F.sum("opens").over(along))
+    first, last = F.min("t_place"), F.max("t_place")
+    return placed.groupBy(*key, "diagonal", "run").agg(
+        first.alias("first"), last.alias("last"), F.count("*").cast("int").alias("n"),
+        (F.col("diagonal") + first).alias("start"), (F.col("diagonal") + last + GRAM).alias("end"),
     )
-    ahead = Window.partitionBy(*match, "span").orderBy("start").rangeBetween(0, longest)
-    limit = F.col("start") + MAX_STRETCH * (F.col("n_grams") + GRAM - 1)
-    fitting = (
-        placed.withColumn("limit", limit)
-        .withColumn("ahead", F.collect_list(F.struct("end", "places")).over(ahead))
-        .withColumn("ahead", F.filter("ahead", lambda d: d["end"] <= F.col("limit")))
-        .withColumn("cover", F.size(F.array_distinct(F.flatten(F.col("ahead.places")))) / F.col("n_grams"))
-        .where(F.col("cover") >= MIN_COVER)
-        .groupBy(*match, "label", "is_base", "n_grams", F.col("start").cast("int").alias("start"))
-        .agg(F.max("cover").alias("cover"), F.max(F.array_max("ahead.end")).alias("end"))
+
+
+def notices(votes: DataFrame, match: list[str]) -> DataFrame:
+    """Verified spans of the templates: start, end, n (grams), cover, label."""
+    key = [*match, "label", "n_grams"]
+    longest = int(MAX_STRETCH * max(len(text.split(" ")) for _, text in TEMPLATES))
+    ahead = Window.partitionBy(*match).orderBy("start").rangeBetween(0, longest)
+    parts = F.collect_list(F.struct("first", "start", "last", "end", "n", "diagonal")).over(ahead)
+    merged = F.expr(
+        f"""aggregate(
+            filter(ahead, x -> x.end <= start + {MAX_STRETCH} * (n_grams + {GRAM - 1})),
+            named_struct('last', last, 'end', end, 'n', n, 'diagonal', diagonal),
+            (a, x) -> if(x.first > a.last and x.start > a.end - {GRAM} and abs(x.diagonal - a.diagonal) <= {MAX_SHIFT},
+                named_struct('last', x.last, 'end', x.end, 'n', a.n + x.n, 'diagonal', x.diagonal), a))"""
     )
-    key = [*match, "label", "is_base", "n_grams"]
-    sorted_spans = fitting.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "cover"))).alias("s"))
-    # One walk over the starts: the end of the last listed span, and the starts that are listed.
-    listed = F.expr(
-        """aggregate(s, named_struct('end', -1, 'starts', cast(array() as array<int>)),
-            (a, x) -> if(x.start >= a.end, named_struct('end', x.end, 'starts', array_append(a.starts, x.start)), a), a -> a.starts)"""
+    words = F.col("end") - F.col("start") - (GRAM - 1)
+    return (
+        runs(votes, key)
+        .withColumn("ahead", F.array_sort(parts))
+        .withColumn("m", merged)
+        .select(*key, "start", F.col("m.end").alias("end"), F.col("m.n").alias("n"))
+        .withColumn("cover", F.col("n") / F.col("n_grams"))
+        .where((F.col("cover") >= MIN_COVER) | ((F.col("n") >= MIN_RUN) & (F.col("n") >= MIN_COVER * words)))
     )
-    walked = sorted_spans.withColumn("starts", listed).select(*key, "starts", F.explode("s").alias("x"))
-    return walked.select(
-        *key, F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.cover").alias("cover"),
-        F.array_contains("starts", F.col("x.start")).alias("listed"),
+
+
+def kept_spans(spans: DataFrame, document: list[str]) -> DataFrame:
+    """Of spans that overlap, directly or by others, those kept in order of grams. One row for each island of them."""
+    along = Window.partitionBy(*document).orderBy("start", "end", "template")
+    before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    islands = spans.withColumn("opens", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int")).withColumn("island", F.sum("opens").over(along))
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("rank"), "start", "template", "end", "label", "cover")))
+    walk = F.expr(
+        """aggregate(ranked, slice(ranked, 1, 1), (kept, x) -> if(exists(kept, k -> k.start < x.end and x.start < k.end), kept, array_append(kept, x)))"""
     )
+    return islands.groupBy(*document, "island").agg(ranked.alias("ranked")).select(*document, F.inline(walk)).select(*document, "start", "end", "label", "cover")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
+    scratch = Scratch(docs.sparkSession, "license_scan")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    votes = diagonal_votes(slim.where(F.col("text").isNotNull()), template_grams(docs.sparkSession))
-    match = ["doc_id", "text_key", "template"]
-    diagonals = votes.groupBy(*match, "label", "is_base", "n_grams", "diagonal").agg(
-        F.collect_set("t_place").alias("places"), F.min("t_place").alias("first"), F.max("t_place").alias("last")
-    )
-    # A diagonal opens a new span if it is more than MAX_SHIFT after the one before.
-    along = Window.partitionBy(*match).orderBy("diagonal")
-    opens = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > MAX_SHIFT, F.lit(True))
-    chained = (
-        diagonals.withColumn("opens", opens.cast("int"))
-        .withColumn("span", F.sum("opens").over(along))
-        .withColumn("whole", F.size("places") == F.col("n_grams"))
-    )
+    votes = scratch.save(diagonal_votes(slim.where(F.col("text").isNotNull()), template_grams(docs.sparkSession)), "votes")
+    document = ["doc_id", "text_key"]
+    match = [*document, "template"]
     based = (
-        chained.where("is_base")
-        .groupBy(*match, "span", "label", "is_base", "n_grams")
-        .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"),
-            F.min(F.col("diagonal") + F.col("first")).alias("start"),
-            (F.max(F.col("diagonal") + F.col("last")) + GRAM).alias("end"),
-            F.sum(F.col("whole").cast("long")).alias("n_whole"),
-            F.min(F.when(F.col("whole"), F.col("diagonal"))).alias("first_whole"),
-            F.max(F.when(F.col("whole"), F.col("diagonal"))).alias("last_whole"),
-        )
-        .withColumn("cover", F.col("votes") / F.col("n_grams"))
+        votes.where("is_base").groupBy(*match, "label", "n_grams", "diagonal").agg(F.count("*").alias("n"))
+        .where("n = n_grams")
+        .select(*document, "label", F.col("diagonal").cast("long").alias("place"), F.lit(1.0).alias("cover"))
     )
-    verified = based.where("n_whole > 0").withColumn("listed", F.lit(True)).unionByName(notices(chained.where("not is_base"), match), allowMissingColumns=True)
-    base = lambda c: F.when(F.col("is_base"), c)
-    found = verified.groupBy(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key")).agg(
-        F.sum(base(F.col("n_whole"))).alias("n_base"),
-        F.min(base(F.col("first_whole"))).cast("long").alias("first_word"),
-        F.max(base(F.col("last_whole"))).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(base(F.col("label")))), ",").alias("base_labels"),
+    kept = kept_spans(notices(votes.where("not is_base"), match), document)
+    found = based.unionByName(kept, allowMissingColumns=True)
+    base = F.col("place").isNotNull()
+    found = found.groupBy(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key")).agg(
+        F.count("place").alias("n_base"), F.min("place").alias("first_word"), F.max("place").alias("last_word"),
+        F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-        F.max(F.when(F.col("is_base"), F.lit(1.0)).otherwise(F.col("cover"))).alias("score"),
-        F.sort_array(F.collect_list(F.when(F.col("listed"), F.struct("start", "end", "label", "cover")))).alias("spans"),
+        F.max("cover").alias("score"),
+        F.sort_array(F.collect_list(F.when(~base, F.struct("start", "end", "label", "cover")))).alias("spans"),
     )
     n_words = F.coalesce(F.regexp_count("text", F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long")
     same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key"))

@@ -371,15 +371,19 @@ def test_license_scan(docs, real):
             assert 0 <= r["score"] <= 1
 
 
+def template(label: str, k: int = 0) -> str:
+    return [text for name, text in license_scan.TEMPLATES if name == label][k]
+
+
 def test_license_notice_with_words_left_out(spark):
-    words = license_scan.TEMPLATES[0][1].split()
+    words = template("mit").split()
     text = "some code here " + " ".join(words[:12] + words[13:]) + " the end"
     row = license_scan.license_scan(spark.createDataFrame([(1, text), (2, "all rights")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert (row[0]["labels"], row[0]["base_labels"], row[1]["labels"]) == ("mit", "", "")
 
 
 def test_license_notices_repeated_or_chained_by_strays(spark):
-    gpl = license_scan.TEMPLATES[5][1].split()
+    gpl = template("gpl").split()
     part = " ".join(gpl[:14] + gpl[15:])
     texts = ["All rights reserved. All rights reserved.", "All rights reserved.\n" * 5, f"{part} {part}", "x all rights reserved y"]
     rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
@@ -387,6 +391,59 @@ def test_license_notices_repeated_or_chained_by_strays(spark):
     assert [[(s["start"], s["end"]) for s in r["spans"]] for r in rows] == [[(0, 3), (3, 6)], [(3 * k, 3 * k + 3) for k in range(5)], [(0, 28), (28, 56)], [(1, 4)]]
 
 
+def brute_notices(words: list[str]) -> list[tuple[int, int, str]]:
+    """Votes, runs, merged spans and the best of those that overlap, by plain loops."""
+    spans = []
+    for k, (label, text) in enumerate(license_scan.TEMPLATES):
+        t = text.split()
+        n_grams = len(t) - 2
+        places = collections.defaultdict(list)
+        for q in range(n_grams):
+            for p in range(len(words) - 2):
+                if words[p : p + 3] == t[q : q + 3]:
+                    places[p - q].append(q)
+        runs = []
+        for d, qs in places.items():
+            run = [qs[0]]
+            for q in [*qs[1:], 10**9]:
+                if q - run[-1] > license_scan.MAX_HOLE:
+                    runs.append((run[0], d + run[0], run[-1], d + run[-1] + 3, len(run), d))
+                    run = []
+                run.append(q)
+        for first, start, last, end, n, d in runs:
+            for f2, s2, l2, e2, n2, d2 in sorted(r for r in runs if r[1] >= start and r[3] <= start + license_scan.MAX_STRETCH * len(t)):
+                if f2 > last and s2 > end - 3 and abs(d2 - d) <= license_scan.MAX_SHIFT:
+                    last, end, n, d = l2, e2, n + n2, d2
+            if n >= license_scan.MIN_COVER * n_grams or (n >= license_scan.MIN_RUN and n >= license_scan.MIN_COVER * (end - start - 2)):
+                spans.append((-n, start, k + len(license_scan.BASE_PHRASES), end, label))
+    kept = []
+    for _, start, _, end, label in sorted(spans):
+        if all(b <= start or end <= a for a, b, _ in kept):
+            kept.append((start, end, label))
+    return sorted(kept)
+
+
+def test_license_notices_against_brute_force(spark):
+    """Every template whole, twice in a row, cut to half, with words lost, put in and changed, and interleaved with others."""
+    rng = random.Random(9)
+    texts = []
+    for label, text in license_scan.TEMPLATES:
+        w = text.split()
+        lost = [x for x in w if rng.random() > 0.06]
+        more = [y for x in w for y in ([x, "zz"] if rng.random() < 0.05 else [x])]
+        other = rng.choice(license_scan.TEMPLATES)[1].split()
+        texts += [text, f"{text} {text}", " ".join(w[len(w) // 2 :]), " ".join(lost), " ".join(more), " ".join(w[:9] + other + w[9:]), " ".join(w[::-1])]
+        texts.append(f"a {text} and {' '.join(other[: len(other) * 3 // 4])} " * 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_scan.license_scan(docs).collect():
+        want = brute_notices(texts[r["doc_id"]].split())
+        assert [(s["start"], s["end"], s["label"]) for s in r["spans"] or []] == want, texts[r["doc_id"]]
+    whole = {r["doc_id"] // 8: r["labels"] for r in license_scan.license_scan(docs.where("doc_id % 8 = 0")).collect()}
+    assert all(label in whole[k].split(",") for k, (label, _) in enumerate(license_scan.TEMPLATES))
+    nc = whole[[label for label, _ in license_scan.TEMPLATES].index("cc-by-nc")]
+    assert nc == "cc-by-nc"  # not cc-by, whose words it holds too
+
+
 RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
