@@ -5,10 +5,10 @@ Every training word has one of ``CLASSES`` classes, from its own contexts; the e
 1. The ``HEAD`` most frequent words are clustered exactly: units move, one after another, to the class that most raises the
    class-bigram likelihood, until a round moves none or ``ROUNDS`` are done. All other words start in ``ENDINGS`` units by a
    hash of their last two bytes, which move along.
-2. In ``PASSES`` rounds over the whole vocabulary, every other word's neighbours are counted by class and side, and
-   the word moves to the class under which its contexts are likeliest by the class bigrams of the round before, its own pairs left
-   out. All words of a round move at once, so only the class matrix goes to the tasks; neighbours below the
-   ``CACHED`` most frequent words meet their classes in a join.
+2. In a round over the whole vocabulary, every other word's neighbours are counted by class and side, and
+   the word moves to the class under which its contexts are likeliest by the class bigrams found so far, its own pairs left
+   out. All words of the round move at once, so only the class matrix goes to the tasks. (A second such round, with the classes of the first,
+   lowered the held-out likelihood slightly and cost twice the shuffle.)
 
     log10 P(word | class before) = log10 P(class | class before) + log10 P(word | class)
 
@@ -39,8 +39,6 @@ from pyspark.sql import functions as F
 from terraquill.llm.common import Scratch, utf8
 
 HEAD, ENDINGS, CLASSES, ROUNDS = 1024, 256, 48, 6
-#: Rounds over the whole vocabulary.
-PASSES = 2
 CACHED = 100_000
 PRIOR = 10.0
 #: Entries after which a task passes on its partial counts.
@@ -187,55 +185,33 @@ def _share(joint: np.ndarray) -> np.ndarray:
 
 
 class _Local(dict):
-    """Word to a number within the task; ``classes`` by number, -1 where the task doesn't know it."""
+    """Word to a number within the task; ``classes`` by number."""
 
-    def __init__(self, known: Classes, endings: bool):
-        self.known, self.endings, self.words, self.classes = known, endings, [], []
+    def __init__(self, known: Classes):
+        self.known, self.words, self.classes = known, [], []
 
     def __missing__(self, word: bytes) -> int:
         self[word] = k = len(self.words)
         self.words.append(word)
-        self.classes.append(self.known[word] if self.endings or word in self.known else -1)
+        self.classes.append(self.known[word])
         return k
 
 
-def _contexts(known: Classes, endings: bool):
-    """Partial contexts: word, and how often a class stands after it (slot: the class) or before it (slot: CLASSES + the class).
-    A neighbour whose class the task doesn't know is given in ``near``, with slot 0 or CLASSES."""
+def _contexts(known: Classes):
+    """Partial contexts: word, and how often a class stands after it (slot: the class) or before it (slot: CLASSES + the class)."""
 
-    def rows(local: _Local, pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def rows(local: _Local, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         words, of = pa.array(local.words, pa.binary()), np.array(local.classes, np.int64)
         first, second = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-        known_after, known_before = of[second] >= 0, of[first] >= 0
-        key, n = np.unique(
-            np.concatenate([
-                first[known_after] * 2 * CLASSES + of[second[known_after]],
-                second[known_before] * 2 * CLASSES + CLASSES + of[first[known_before]],
-            ]),
-            return_counts=True,
-        )
+        keys = [first * 2 * CLASSES + of[second], second * 2 * CLASSES + CLASSES + of[first]]
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
         word, starts = np.unique(key // (2 * CLASSES), return_index=True)
         offsets = pa.array(np.append(starts, len(key)), pa.int32())
-        yield batch(words.take(pa.array(word)), pa.nulls(len(word), pa.binary()), offsets, key % (2 * CLASSES), n)
-        key, n = np.unique(
-            np.concatenate([
-                (first[~known_after] * len(words) + second[~known_after]) * 2,
-                (second[~known_before] * len(words) + first[~known_before]) * 2 + 1,
-            ]),
-            return_counts=True,
-        )
-        word, near = np.divmod(key // 2, len(words))
-        for at in range(0, len(key), FLUSH):
-            part = slice(at, at + FLUSH)
-            offsets = pa.array(np.arange(len(key[part]) + 1), pa.int32())
-            yield batch(words.take(pa.array(word[part])), words.take(pa.array(near[part])), offsets, key[part] % 2 * CLASSES, n[part])
-
-    def batch(word, near, offsets, slots, n) -> pa.RecordBatch:
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((slots, pa.int32()), (n, pa.int64()))]
-        return pa.RecordBatch.from_arrays([word, near, *lists], names=["word", "near", "slots", "counts"])
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((key % (2 * CLASSES), pa.int16()), (n, pa.int32()))]
+        yield pa.RecordBatch.from_arrays([words.take(pa.array(word)), *lists], names=["word", "slots", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local, pairs, n = _Local(known, endings), [], 0
+        local, pairs, n = _Local(known), [], 0
         for b in batches:
             texts = utf8(b.column(0))
             for at in range(0, len(texts), 256):
@@ -247,7 +223,7 @@ def _contexts(known: Classes, endings: bool):
                 n += len(u)
                 if n >= FLUSH_TOKENS or len(local) >= FLUSH:
                     yield from rows(local, pairs)
-                    local, pairs, n = _Local(known, endings), [], 0
+                    local, pairs, n = _Local(known), [], 0
         if pairs:
             yield from rows(local, pairs)
 
@@ -262,13 +238,6 @@ def _dense(b: pa.RecordBatch) -> np.ndarray:
     return np.bincount(row * 2 * CLASSES + slots.flatten().to_numpy(), counts.flatten().to_numpy(), size).reshape(-1, 2 * CLASSES)
 
 
-def _joint_of_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    joint = np.zeros((CLASSES, CLASSES))
-    for b in batches:
-        np.add.at(joint, b.column(b.schema.get_field_index("class")).to_numpy(), _dense(b)[:, :CLASSES])
-    yield _cells(joint)
-
-
 def _cells(joint: np.ndarray) -> pa.RecordBatch:
     cell = np.flatnonzero(joint)
     return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(joint.ravel()[cell].astype(np.int64))], names=["cell", "n"])
@@ -297,30 +266,39 @@ def best_classes(contexts: np.ndarray, n: np.ndarray, home: np.ndarray, joint: n
     return score.argmax(1)
 
 
-def _choose(fixed: frozenset[bytes], joint: np.ndarray, size: np.ndarray):
+def _choose(known: Classes, fixed: frozenset[bytes], joint: np.ndarray, size: np.ndarray):
+    """Words with their number and class, of their contexts; every token but the end has one token after it."""
+
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            word, n, home = (b.column(b.schema.get_field_index(k)) for k in ("word", "n", "class"))
-            home_of = home.to_numpy().astype(np.int64)
-            best = best_classes(_dense(b), n.to_numpy(), home_of, joint, size)
-            stays = np.fromiter((w in fixed for w in word.to_pylist()), bool, b.num_rows)
-            yield pa.RecordBatch.from_arrays([word, n, pa.array(np.where(stays, home_of, best), pa.int32())], names=["word", "n", "class"])
+            words = b.column(b.schema.get_field_index("word"))
+            contexts, listed = _dense(b), words.to_pylist()
+            n = contexts[:, :CLASSES].sum(1)
+            home = np.fromiter(map(known.__getitem__, listed), np.int64, b.num_rows)
+            best = best_classes(contexts, n, home, joint, size)
+            stays = np.fromiter((w in fixed for w in listed), bool, b.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [words, pa.array(n.astype(np.int64)), pa.array(np.where(stays, home, best), pa.int32())], names=["word", "n", "class"]
+            )
 
     return choose
 
 
-def _starting(known: Classes):
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _starting_sizes(known: Classes):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.zeros(CLASSES, np.int64)
         for b in batches:
-            of = np.fromiter(map(known.__getitem__, b.column(0).to_pylist()), np.int32, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(of)], names=["word", "n", "class"])
+            of = np.fromiter(map(known.__getitem__, b.column(0).to_pylist()), np.int64, b.num_rows)
+            size += np.bincount(of, b.column(1).to_numpy() + 1.0, CLASSES).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(size)], names=["class", "n"])
 
-    return start
+    return add
 
 
-def _sizes(words: DataFrame) -> np.ndarray:
+def _sizes(found: DataFrame) -> np.ndarray:
+    """N_class + V_class + 1 of rows (class, n: tokens and words)."""
     size = np.ones(CLASSES)
-    for r in words.groupBy("class").agg((F.sum("n") + F.count("*")).alias("n")).collect():
+    for r in found.groupBy("class").agg(F.sum("n").alias("n")).collect():
         size[r["class"]] += r["n"]
     return size
 
@@ -352,35 +330,20 @@ def cluster(training: DataFrame, scratch: Scratch, text_col: str = "text") -> tu
     joint = np.zeros((CLASSES, CLASSES))
     np.add.at(joint, (of[:, None], of[None, :]), pairs)
     known = Classes({w: int(of[units[w]]) for w in cached}, units, of)
-    words = scratch.save(counts.mapInArrow(_starting(known), "word binary, n long, class int"), "words0")
-    for k in range(PASSES):
-        # In the first round a word's class follows from the word; later, rare neighbours meet theirs in a join.
-        found = scratch.save(
-            texts.mapInArrow(_contexts(known, endings=not k), "word binary, near binary, slots array<int>, counts array<bigint>"), "contexts"
-        )
-        parts = found.where("near is null").select("word", "slots", "counts")
-        if k:
-            near = words.select(F.col("word").alias("near"), F.col("class").alias("near_class"))
-            met = (
-                found.where("near is not null").join(near, "near")
-                .select("word", (F.col("slots")[0] + F.col("near_class")).alias("slot"), F.col("counts")[0].alias("n"))
-                .groupBy("word", "slot").agg(F.sum("n").alias("n"))
-            )
-            parts = parts.union(met.select("word", F.array("slot").alias("slots"), F.array("n").alias("counts")))
-        grouped = parts.groupBy("word").agg(
-            F.flatten(F.collect_list(F.struct("slots", "counts"))["slots"]).alias("slots"),
-            F.flatten(F.collect_list(F.struct("slots", "counts"))["counts"]).alias("counts"),
-        )
-        grouped = scratch.save(grouped.join(words, "word"), "grouped")
-        scratch.drop("contexts")
-        if k:
-            joint = _collected(grouped.mapInArrow(_joint_of_contexts, "cell long, n long"))
-        words = scratch.save(
-            grouped.mapInArrow(_choose(frozenset(units), joint, _sizes(words)), "word binary, n long, class int"), f"words{k + 1}"
-        )
-        scratch.drop("grouped")
-        known = _known(words, units, of)
-    return Model(known, None, np.arange(CLASSES), _sizes(words), cached, n, v), words
+    size = _sizes(counts.mapInArrow(_starting_sizes(known), "class int, n long"))
+    grouped = (
+        texts.mapInArrow(_contexts(known), "word binary, slots array<smallint>, counts array<int>")
+        .where(F.length("word") > 0)
+        .groupBy("word")
+        .agg(F.collect_list(F.struct("slots", "counts")).alias("parts"))
+        .select("word", F.flatten("parts.slots").alias("slots"), F.flatten("parts.counts").alias("counts"))
+    )
+    chosen = grouped.mapInArrow(_choose(known, frozenset(units), joint, size), "word binary, n long, class int")
+    end = counts.where(F.length("word") == 0).select("word", "n", F.lit(CLASSES - 1).alias("class"))
+    words = scratch.save(chosen.union(end), "words")
+    scratch.drop("counts")
+    size = _sizes(words.select("class", (F.col("n") + 1).alias("n")))
+    return Model(_known(words, units, of), None, np.arange(CLASSES), size, cached, n, v), words
 
 
 def _spell(model: Model):
