@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -23,9 +22,12 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of this machine only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a folder of its own; a cluster is
+    refused, since no folder is known that all of its machines share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="terraquill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -35,25 +37,40 @@ class Scratch:
     """Intermediate tables of one operator call, written to the shared folder.
 
     A written table cuts the lineage: an executor lost later costs no recomputation.
-    Tables go when the operator drops them, and all that is left at exit.
+    Tables go when the operator drops them. Those that a result still reads stay until the driver's JVM ends, which deletes them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/terraquill/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
+        self.marked = False
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        if not self.marked:
+            files, root = self._at("")
+            self.marked = files.deleteOnExit(root)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
-        jvm = self.spark._jvm
-        if jvm is None or self.spark.sparkContext._jsc is None:
-            return
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = self._at(name)
+        files.delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of the table has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def lower_ascii(text: Column) -> Column:

@@ -10,8 +10,8 @@ A minimum can only agree where the window holds a shingle of the item, so only w
 item get signatures. An item spread over several places of a document counts at each of them: with
 containment 0.75 the miss probability is about exp(-0.75 * PERMUTATIONS / 5) = 6e-9.
 
-The items are the query set: they are taken in blocks of bounded bytes, each of which goes to all
-documents. Documents are neither shuffled nor joined.
+The items are the query set: they are taken in blocks of ``BLOCK_BYTES``, each of which goes to all
+documents; ``contamination`` reads the documents once for each block, ``clean`` once in all. Documents are neither shuffled nor joined.
 
 Defined cases: null texts and texts without words neither match nor are matched. An item of fewer than five words is one
 shingle, its whole sequence, looked for as such a run of words. Repeated documents or items each give their rows; an empty
@@ -34,7 +34,7 @@ from terraquill.llm.common import SHINGLE, SIMILARITY, multipliers, shingle_hash
 
 PERMUTATIONS = 128
 SMALLEST = 4
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 _FACTORS = multipliers(PERMUTATIONS, 30_011)
 
 

@@ -5,7 +5,9 @@ subset-sum problem over exact token lengths: a seeded share of every length firs
 dynamic program over the lengths' remaining counts. Which documents of a length are taken is decided by
 a seeded hash, so reruns agree.
 
-Defined cases: a null text has size 0; a document of size 0 is never taken. Null sources form one source, last in order.
+The dynamic program holds one bit set and one table of the steps that first reach each sum, for sums up to four times the longest document.
+
+Defined cases: a null text has size 0; a document of size 0 is never taken. Documents with a null id are told apart by their texts. Null sources form one source, last in order.
 Repeated rows are separate documents (equal rows are interchangeable). An empty table gives an
 empty result. Other columns are ignored by ``mix_sources`` and kept by ``expand_mix``.
 """
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terraquill.llm.common import WORD, Scratch, bounded_broadcast
+from terraquill.llm.common import WORD, Scratch, bounded_broadcast, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
@@ -27,8 +29,6 @@ MAX_COPIES = 2
 MAX_SOURCES = 1_000_000
 #: Hash slices of a (source, length) group: of each group, one slice at most is ranked in a window.
 SLICES = 4096
-#: Words up to which the dynamic program fits the rest of a budget.
-MAX_KNAPSACK = 1 << 21
 
 
 def fair_targets(
@@ -68,29 +68,34 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     # Exact integers: products of counts and budgets can pass 2**63.
     take = np.array([int(c) * budget // total for c in counts], np.int64)
     rest = budget - int((lengths * take).sum())
-    bound = min(MAX_KNAPSACK, 4 * int(lengths.max()))
+    bound = 4 * int(lengths.max())
     for j in np.argsort(-lengths, kind="stable"):
         if rest <= bound:
             break
         k = min(int(counts[j] - take[j]), (rest - bound) // int(lengths[j]))
         take[j] += k
         rest -= k * int(lengths[j])
+    # Bit s of ``reach``: some choice sums to s. ``first[s]``: the step that first reached it; steps before that reach the rest of it.
     mask = (1 << (rest + 1)) - 1
-    reach, steps = 1, []
+    reach, steps, first = 1, [], np.full(rest + 1, -1, np.int32)
     for j in np.argsort(-lengths, kind="stable"):
         left, k = min(int(counts[j] - take[j]), rest // int(lengths[j])), 1
         while left > 0 and not reach >> rest & 1:
             k = min(k, left)
-            steps.append((int(j), k, reach))
-            reach |= reach << (k * int(lengths[j])) & mask
+            new = (reach << (k * int(lengths[j]))) & mask & ~reach
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8), bitorder="little")
+                first[np.flatnonzero(bits)] = len(steps)
+                steps.append((int(j), k))
+                reach |= new
             left, k = left - k, 2 * k
         if reach >> rest & 1:
             break
     at = reach.bit_length() - 1
-    for j, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[j] += k
-            at -= k * int(lengths[j])
+    while at:
+        j, k = steps[first[at]]
+        take[j] += k
+        at -= k * int(lengths[j])
     return take
 
 
@@ -128,7 +133,7 @@ def mix_sources(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("dice"),
+        F.xxhash64(F.lit(seed), F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))).alias("dice"),
     ).withColumn("slice", F.pmod("dice", F.lit(SLICES)).cast("int"))
     sized = scratch.save(sized, "sized")
     spread = sized.groupBy("source", "size", "slice").agg(F.count("*").alias("n"))
@@ -202,18 +207,16 @@ def expand_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> Dat
 
     Rows that share an id are taken as often in all as the mix takes them together.
     """
-    per_id = mixed.groupBy(F.col("doc_id").alias("_mix_id")).agg(
-        F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_rows")
-    )
-    joined = docs.join(per_id, docs[id_col].eqNullSafe(F.col("_mix_id")))
-    repeated = Window.partitionBy("_mix_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    mix_id, copies, rows, rank, copy = unused(docs, "_mix_id", "_mix_copies", "_mix_rows", "_mix_rank", "_mix_copy")
+    per_id = mixed.groupBy(F.col("doc_id").alias(mix_id)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    joined = docs.join(per_id, F.col(f"`{id_col}`").eqNullSafe(F.col(mix_id)))
+    repeated = Window.partitionBy(mix_id).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     # Only ids that occur more than once need a rank; for the others it is 1.
-    once = joined.where("_mix_rows = 1").withColumn("_mix_rank", F.lit(1))
-    more = joined.where("_mix_rows > 1").withColumn("_mix_rank", F.row_number().over(repeated))
-    share = F.expr("_mix_copies div _mix_rows + if(_mix_rank <= _mix_copies % _mix_rows, 1, 0)").cast("int")
+    once = joined.where(F.col(rows) == 1).withColumn(rank, F.lit(1))
+    more = joined.where(F.col(rows) > 1).withColumn(rank, F.row_number().over(repeated))
+    share = F.expr(f"{copies} div {rows} + if({rank} <= {copies} % {rows}, 1, 0)").cast("int")
     return (
         once.unionByName(more)
-        .withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), share)))
+        .withColumn(copy, F.explode(F.array_repeat(F.lit(1), share)))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
-

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terraquill.llm.common import SIMILARITY, Scratch, bounded_broadcast, mix, multipliers, shingle_hashes, utf8
+from terraquill.llm.common import SIMILARITY, Scratch, bounded_broadcast, mix, multipliers, shingle_hashes, unused, utf8
 
 BANDS, ROWS = 48, 5
 BATCH = 40
@@ -273,9 +273,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     for x in ("members", "compared", "apart", "rows", "ranked", "parts"):
         scratch.drop(x)
     named = classes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
+    # Empty texts have no set; they would all meet on one null key.
+    slim = sketches.select("doc_id", "n_shingles", "set_key")
+    linked = slim.where("n_shingles > 0").join(named, "set_key").drop("set_key")
+    alone = slim.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     return (
-        sketches.select("doc_id", "n_shingles", "set_key")
-        .join(named, "set_key", "left")
+        linked.unionByName(alone)
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
@@ -284,14 +287,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The kept document of each group with all its columns; of rows that share an id, one. Rows without an id stay."""
     scratch = Scratch(docs.sparkSession, "one_of_each")
+    gone_id, twice_id, row = unused(docs, "_gone", "_twice", "_row")
     groups = scratch.save(near_duplicate_groups(docs, id_col, text_col).where("doc_id is not null"), "groups")
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(bounded_broadcast(gone, BROADCAST_IDS), F.col(id_col) == F.col("_gone"), "left_anti")
-    twice = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct()
+    kept = docs.join(bounded_broadcast(gone, BROADCAST_IDS), F.col(id_col) == F.col(gone_id), "left_anti")
+    twice = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(twice_id))
     if twice.isEmpty():
         return kept
-    same = F.col(id_col) == F.col("_twice")
+    same = F.col(id_col) == F.col(twice_id)
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
     twice = bounded_broadcast(twice, BROADCAST_IDS)
-    first = kept.join(twice, same, "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    first = kept.join(twice, same, "left_semi").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row)
     return kept.join(twice, same, "left_anti").unionByName(first)

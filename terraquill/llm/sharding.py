@@ -161,7 +161,7 @@ def assign_shards(
         size.alias("size"),
         F.crc32(text).alias("text_crc32"),
         place.alias("place"),
-        F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(SLICES)).cast("int").alias("slice"),
+        F.pmod(F.when(F.col(id_col).isNull(), place).otherwise(F.xxhash64(F.col(id_col), F.lit(11))), F.lit(SLICES)).cast("int").alias("slice"),
     ).withColumn("shard", shard)
     # Slots: a bounded table of counts by shard and slice, and a rank inside each slice.
     counts = placed.groupBy("shard", "slice").agg(F.count("*").alias("n"))

@@ -739,6 +739,29 @@ def test_many_groups_are_joined_without_one_task_of_the_hot_one(spark, monkeypat
     assert sorted((r["id"], r["n"]) for r in shrinkage.join_groups(rows, groups, {"host": "g"}, "n").collect()) == want and len(want) == 3000
 
 
+def test_null_ids(spark):
+    """Rows without an id are told apart by their texts, and each is in the result."""
+    rows = [(None, f"some words of text {k} and more {k}", "a") for k in range(60)] + [(None, None, None), (None, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed = sharding.assign_shards(df, 4).collect()
+    assert len(placed) == 62 and all(sorted(r["slot"] for r in placed if r["shard"] == s) == list(range(sum(r["shard"] == s for r in placed))) for s in range(4))
+    mixed = mixing.mix_sources(df)
+    assert mixed.count() == 62 and sum(r["taken"] for r in mixed.collect()) == round(1.5 * 60 * 8)
+    groups = near_dedup.near_duplicate_groups(df).collect()
+    assert len(groups) == 62 and sum(r["n_shingles"] == 0 for r in groups) == 2
+    assert near_dedup.one_of_each(df).count() == 62
+
+
+def test_knapsack_of_many_long_texts_stays_small():
+    import tracemalloc
+
+    lengths = np.arange(2, 20_002, 2, dtype=np.int64)
+    tracemalloc.start()
+    take = mixing.fit_budget(lengths, np.full(len(lengths), 1), 50_000_001)
+    assert tracemalloc.get_traced_memory()[1] < 20e6 and int((take * lengths).sum()) == 50_000_000
+    tracemalloc.stop()
+
+
 # --- all --------------------------------------------------------------------------------------------------------
 
 
