@@ -29,9 +29,11 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -351,31 +353,33 @@ def _spell(model: Model):
     logarithms; and rows of its other words with their places."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cached, done = model.units, model.cached, TaskContext.get().partitionId() << 33
+        known, done = model.units, TaskContext.get().partitionId() << 33
+        at_of = {w: k for k, w in enumerate(model.cached)}
+        # By number of the word, the last entry for words that the tasks don't know.
+        count_of = np.array([*model.cached.values(), -1], np.int64)
+        class_of = np.array([*(known.get(w, 255) for w in model.cached), 255], np.uint8)
+        log_of = np.log10(np.maximum(count_of, 0) + 1.0)
         for b in batches:
             rows, n_known, sums, classes, words, endings, places = [], [], [], [], [], [], []
             for row, text in enumerate(utf8(b.column(2))):
                 t = _tokens(text)
-                counts = np.fromiter((cached.get(w, -1) for w in t), np.int64, len(t))
-                have = counts >= 0
+                k = np.fromiter(map(at_of.get, t, repeat(-1)), np.int32, len(t))
                 rows.append(row)
-                n_known.append(int((counts > 0).sum()))
-                sums.append(float(np.log10(counts[have] + 1.0).sum()))
-                classes.append(np.fromiter((known.get(w, 255) for w in t), np.uint8, len(t)).tobytes())
+                n_known.append(int((count_of[k] > 0).sum()))
+                sums.append(float(log_of[k].sum()))
+                classes.append(class_of[k].tobytes())
                 words.append(None)
                 endings.append(None)
                 places.append(None)
                 at = defaultdict(list)
-                for i in np.flatnonzero(~have).tolist():
+                for i in np.flatnonzero(k < 0).tolist():
                     at[t[i]].append(i)
-                for w, i in at.items():
-                    rows.append(row)
-                    n_known.append(None)
-                    sums.append(None)
-                    classes.append(None)
-                    words.append(w)
-                    endings.append(known[w])
-                    places.append(i)
+                rows.extend([row] * len(at))
+                for column in (n_known, sums, classes):
+                    column.extend([None] * len(at))
+                words.extend(at)
+                endings.extend(map(known.__getitem__, at))
+                places.extend(at.values())
             index = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -396,13 +400,17 @@ def _spell(model: Model):
 
 
 def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the classes of the joined words at their places."""
     for b in batches:
-        out = []
-        for classes, others in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
-            c = np.frombuffer(classes, np.uint8).copy()
-            for x in others or ():
-                c[x["places"]] = x["class"]
-            out.append(c.tobytes())
+        texts, others = b.column(4).to_pylist(), b.column(5)
+        c = np.frombuffer(b"".join(texts), np.uint8).copy()
+        starts = np.cumsum([0, *map(len, texts)])
+        listed = pc.fill_null(pc.list_value_length(others), 0).to_numpy()
+        found = pc.list_flatten(others)
+        per_word = pc.list_value_length(found.field("places")).to_numpy(zero_copy_only=False)
+        first = np.repeat(np.repeat(starts[:-1], listed), per_word)
+        c[first + pc.list_flatten(found.field("places")).to_numpy()] = np.repeat(found.field("class").to_numpy(), per_word)
+        out = [c[x:y].tobytes() for x, y in zip(starts[:-1], starts[1:])]
         yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(out, pa.binary())], names=["doc_id", "held_out", "n_known", "sums", "classes"])
 
 
