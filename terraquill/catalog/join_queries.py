@@ -17,9 +17,9 @@ def keep_first(spark, sf_dir):
     return L.keep_first(p, ["key"], [-F.col("price"), F.col("plan")]).drop("price")
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS row_id FROM part WHERE p_partkey % 3 <> 1")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) AS row_id FROM part")
 def row_ids(spark, sf_dir):
-    return L.row_ids(table(spark, sf_dir, "part").where("p_partkey % 3 <> 1").select("p_partkey"), [F.col("p_partkey")])
+    return L.row_ids(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), [F.col("p_brand"), F.col("p_partkey")]).drop("p_brand")
 
 
 @query("""SELECT s_nationkey, s_suppkey, CAST(sum(1 + s_suppkey % 5) OVER w AS BIGINT) AS high, CAST(sum(1 + s_suppkey % 5) OVER w - s_suppkey % 5 AS BIGINT) AS low,
@@ -57,12 +57,12 @@ def source_existence(spark, sf_dir):
 
 
 @query("""SELECT c_custkey AS key, coalesce(CASE WHEN o.k IS NOT NULL THEN o.status END, c_mktsegment) AS a, nullif(concat_ws(':', c_name, o.status), '') AS b, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE o.status END AS c
-FROM customer LEFT JOIN (SELECT o_custkey AS k, max(o_orderpriority) AS status FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1) o ON c_custkey = o.k""")
+FROM customer LEFT JOIN (SELECT o_custkey AS k, max(o_orderpriority) AS status FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) o ON c_custkey = o.k""")
 def update_coalesce(spark, sf_dir):
     base = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("a"), F.col("c_name").alias("b"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("c")
     )
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderpriority").alias("a"))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderpriority").alias("a"))
     return L.update_from(base, o.withColumn("b", F.col("a")).withColumn("c", F.col("a")), ["key"], ["a"], ["b"], ["c"])
 
 

@@ -49,25 +49,25 @@ def gridded_tracking(spark, sf_dir):
     return out.select("key", "day_2", "day_2_cumm", F.round("final_coverage", 6).alias("final_coverage"), "track_count", "settlement_coverage", "time_spent")
 
 
-@query(f"""WITH {SETTLEMENTS}, t AS (SELECT CAST(event_id * 53 % 1000 AS DOUBLE) AS px, CAST(event_id * 17 % 1000 AS DOUBLE) AS py FROM events WHERE event_id % 400 = 0)
-SELECT key, CASE WHEN EXISTS (SELECT 1 FROM t WHERE sqrt((x - px) * (x - px) + (y - py) * (y - py)) <= 100) THEN 'Visited' ELSE 'Not Yet Visited' END AS visitation FROM settlements""")
+@query(f"""WITH {SETTLEMENTS}, t AS (SELECT DISTINCT CAST(event_id * 53 % 1000 AS DOUBLE) AS px, CAST(event_id * 17 % 1000 AS DOUBLE) AS py FROM events WHERE value / 50 < 1 AND hour(ts) BETWEEN 7 AND 16)
+SELECT key, CASE WHEN EXISTS (SELECT 1 FROM t WHERE sqrt((x - px) * (x - px) + (y - py) * (y - py)) <= 12) THEN 'Visited' ELSE 'Not Yet Visited' END AS visitation FROM settlements""")
 def buffer_tracking(spark, sf_dir):
-    t = tracks(spark, sf_dir).where("event_id % 400 = 0")
-    return tracking.buffer_tracking(settlements(spark, sf_dir), t, "key", "event_id", tracking.Day(1), 100.0).select("key", "visitation")
+    t = tracking.valid_tracks(tracks(spark, sf_dir).withColumn("speed", F.col("value") / 50))
+    return tracking.buffer_tracking(settlements(spark, sf_dir), t, "key", "event_id", tracking.Day(1), 12.0).select("key", "visitation")
 
 
-@query(f"""WITH {SETTLEMENTS}, {PLANS}, t AS (SELECT CAST(event_id * 53 % 1000 AS DOUBLE) AS px, CAST(event_id * 17 % 1000 AS DOUBLE) AS py FROM events WHERE event_id % 500 = 0),
+@query(f"""WITH {SETTLEMENTS}, {PLANS}, t AS (SELECT DISTINCT CAST(event_id * 53 % 1000 AS DOUBLE) AS px, CAST(event_id * 17 % 1000 AS DOUBLE) AS py FROM events WHERE event_type = 'click'),
 h AS (SELECT key, EXISTS (SELECT 1 FROM plans p WHERE p.key = s.key AND round = 1996 AND status = 'Visited') AS a, EXISTS (SELECT 1 FROM plans p WHERE p.key = s.key AND round = 1997 AND status = 'Visited') AS b,
-  EXISTS (SELECT 1 FROM t WHERE sqrt((x - px) * (x - px) + (y - py) * (y - py)) <= 60) AS c FROM settlements s)
+  EXISTS (SELECT 1 FROM t WHERE sqrt((x - px) * (x - px) + (y - py) * (y - py)) <= 12) AS c FROM settlements s)
 SELECT key, nullif(concat_ws(' | ', CASE WHEN a THEN 'form' END, CASE WHEN b THEN 'survey' END, CASE WHEN c THEN 'GTS' END), '') AS sources, CAST(a::INTEGER + b::INTEGER + c::INTEGER AS BIGINT) AS reach,
   CASE WHEN a OR b OR c THEN 'Visited' ELSE 'Not Visited' END AS status FROM h""")
 def triangulation(spark, sf_dir):
     p = plans(spark, sf_dir).where("status = 'Visited'").select("plan", "key", "round")
     sources = {
         "form": p.where("round = 1996").drop("round"), "survey": p.where("round = 1997").drop("round"),
-        "GTS": tracks(spark, sf_dir).where("event_id % 500 = 0").select(F.col("event_id").alias("plan"), "x", "y"),
+        "GTS": tracks(spark, sf_dir).where("event_type = 'click'").select(F.col("event_id").alias("plan"), "x", "y"),
     }
-    out = tracking.triangulate(settlements(spark, sf_dir), sources, "key", "plan", 60.0)
+    out = tracking.triangulate(settlements(spark, sf_dir), sources, "key", "plan", 12.0)
     return out.select("key", "sources", F.col("reach").cast("long").alias("reach"), "status")
 
 

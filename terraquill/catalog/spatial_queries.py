@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terraquill.catalog.base import SETTLEMENTS, TRACKS, query, settlements, table, tracks
 from terraquill.functions import geometry as G
 from terraquill.functions import rules as R
-from terraquill.operators import graph, spatial, tessellation
+from terraquill.operators import spatial, tessellation
 
 #: Extents: a square of 150 m for each nation.
 _EXTENTS = "extents AS (SELECT n_nationkey AS extent, CAST(n_nationkey * 173 % 850 AS DOUBLE) AS x0, CAST(n_nationkey * 311 % 850 AS DOUBLE) AS y0 FROM nation)"
@@ -35,13 +35,12 @@ def extent_track_count(spark, sf_dir):
     return spatial.count_points(extents(spark, sf_dir), t, "extent", "ring").select("extent", "n")
 
 
-@query(f"""WITH {TRACKS}, c AS (SELECT DISTINCT CAST(floor(x / 50) AS BIGINT) AS i, CAST(floor(y / 50) AS BIGINT) AS j FROM tracks WHERE event_id % 97 = 0),
-g AS (SELECT i, j FROM (SELECT unnest(range(20)) AS i), (SELECT unnest(range(20)) AS j)) SELECT g.i, g.j, c.i IS NOT NULL AS hit FROM g LEFT JOIN c ON g.i = c.i AND g.j = c.j""")
+@query(f"""WITH {TRACKS}, c AS (SELECT DISTINCT CAST(floor(x / 20) AS BIGINT) AS i, CAST(floor(y / 20) AS BIGINT) AS j FROM tracks),
+g AS (SELECT i, j FROM (SELECT unnest(range(50)) AS i), (SELECT unnest(range(50)) AS j)) SELECT g.i, g.j, c.i IS NOT NULL AS hit FROM g LEFT JOIN c ON g.i = c.i AND g.j = c.j""")
 def grid_visited(spark, sf_dir):
-    i, j = F.col("i") * 50.0, F.col("j") * 50.0
-    cells = spark.range(400).select(F.floor(F.col("id") / 20).alias("i"), (F.col("id") % 20).alias("j"), "id").withColumn("ring", G.box(i, j, i + 50, j + 50))
-    t = tracks(spark, sf_dir).where("event_id % 97 = 0")
-    return spatial.polygons_hit(cells, t, "id", "ring").select("i", "j", "hit")
+    i, j = F.col("i") * 20.0, F.col("j") * 20.0
+    cells = spark.range(2500).select(F.floor(F.col("id") / 50).alias("i"), (F.col("id") % 50).alias("j"), "id").withColumn("ring", G.box(i, j, i + 20, j + 20))
+    return spatial.polygons_hit(cells, tracks(spark, sf_dir), "id", "ring", size=20.0).select("i", "j", "hit")
 
 
 @query(f"""WITH {SETTLEMENTS}, {_EXTENTS} SELECT key FROM settlements t WHERE NOT EXISTS (SELECT 1 FROM extents WHERE {_INSIDE})""")
@@ -50,11 +49,10 @@ def membership_anti(spark, sf_dir):
     return spatial.outside_all(s, extents(spark, sf_dir), "key", "ring").select("key")
 
 
-@query(f"""WITH {SETTLEMENTS}, t AS (SELECT event_id, CAST(event_id * 53 % 1000 AS DOUBLE) AS tx, CAST(event_id * 17 % 1000 AS DOUBLE) AS ty FROM events WHERE event_id % 50 = 0)
-SELECT key, EXISTS (SELECT 1 FROM t WHERE sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) <= 40) AS visited FROM settlements""")
+@query(f"""WITH {SETTLEMENTS}, t AS (SELECT DISTINCT CAST(event_id * 53 % 1000 AS DOUBLE) AS tx, CAST(event_id * 17 % 1000 AS DOUBLE) AS ty FROM events)
+SELECT key, EXISTS (SELECT 1 FROM t WHERE sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) <= 12) AS visited FROM settlements""")
 def buffer_any(spark, sf_dir):
-    t = tracks(spark, sf_dir).where("event_id % 50 = 0")
-    return spatial.within(settlements(spark, sf_dir).select("key", "x", "y"), t, 40.0, "key", "event_id", name="visited").select("key", "visited")
+    return spatial.within(settlements(spark, sf_dir).select("key", "x", "y"), tracks(spark, sf_dir), 12.0, "key", "event_id", name="visited").select("key", "visited")
 
 
 _PAIRS = """p AS (SELECT a.key, b.key AS other, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM settlements a JOIN settlements b ON a.key <> b.key
@@ -69,12 +67,11 @@ def farthest_within_class(spark, sf_dir):
     return n.select("key", "n_near", F.round("distance", 6).alias("distance"), R.distance_class(F.col("distance")).alias("proximity_issues"))
 
 
-@query(f"""WITH {SETTLEMENTS}, t AS (SELECT event_id, CAST(event_id * 53 % 1000 AS DOUBLE) AS tx, CAST(event_id * 17 % 1000 AS DOUBLE) AS ty FROM events WHERE event_id % 20 = 0),
+@query(f"""WITH {SETTLEMENTS}, t AS (SELECT min(event_id) AS event_id, CAST(event_id * 53 % 1000 AS DOUBLE) AS tx, CAST(event_id * 17 % 1000 AS DOUBLE) AS ty FROM events GROUP BY 2, 3),
 p AS (SELECT key, event_id, sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) AS d FROM settlements JOIN t ON tx BETWEEN x - 50 AND x + 50 AND ty BETWEEN y - 50 AND y + 50),
 b AS (SELECT key, event_id, d FROM p WHERE d <= 50 QUALIFY row_number() OVER (PARTITION BY key ORDER BY d, event_id) = 1) SELECT key, event_id AS near_event_id, round(d, 6) AS distance FROM settlements LEFT JOIN b USING (key)""")
 def nearest_within(spark, sf_dir):
-    t = tracks(spark, sf_dir).where("event_id % 20 = 0")
-    n = spatial.nearest(settlements(spark, sf_dir).select("key", "x", "y"), t, 50.0, "key", "event_id")
+    n = spatial.nearest(settlements(spark, sf_dir).select("key", "x", "y"), tracks(spark, sf_dir), 50.0, "key", "event_id")
     return n.select("key", "near_event_id", F.round("distance", 6).alias("distance"))
 
 
@@ -129,15 +126,24 @@ def voronoi_area(spark, sf_dir):
 
 @query()
 def dispersion(spark, sf_dir):
-    """Clusters of settlements within 66 m pushed apart."""
-    s = settlements(spark, sf_dir).where("key < 300").select("key", "x", "y")
-    pairs = spatial.near_pairs(s, s, 66.0, "key", "key").where("_a < _b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    clusters = graph.components(pairs).withColumnRenamed("id", "key")
-    moved = tessellation.disperse(s.join(clusters, "key"), "component", "key")
-    return moved.select("key", "component", F.round("x_new", 4).alias("x_new"), F.round("y_new", 4).alias("y_new"))
+    """Settlements pushed apart for ten rounds: on the plane of 1000 x 1000 metres they never find the room that they ask for."""
+    moved = tessellation.disperse(settlements(spark, sf_dir).select("key", "x", "y"), "key", rounds=10)
+    return moved.select("key", F.round("x_new", 4).alias("x_new"), F.round("y_new", 4).alias("y_new"))
 
 
 @query()
+def target_area(spark, sf_dir):
+    """Voronoi cells cut to the extents; circles where nothing is left."""
+    e = extents(spark, sf_dir).withColumn("type", F.when(F.col("extent") % 3 == 0, "Built-up Area").otherwise("other"))
+    a = tessellation.target_area(settlements(spark, sf_dir), e, "key", (0.0, 0.0, 1000.0, 1000.0), 80.0)
+    return a.select("key", "type", F.round(G.area(F.col("ring")), 3).alias("area"))
+
+
+@query(f"""WITH {TRACKS}, {_EXTENTS}, e AS (SELECT *, CASE WHEN extent % 3 = 0 THEN 50.0 ELSE 100.0 END AS s FROM extents),
+c AS (SELECT extent, i AS grid_x, j AS grid_y, x0 + i * s AS l, y0 + j * s AS b, least(x0 + 150, x0 + (i + 1) * s) AS r, least(y0 + 150, y0 + (j + 1) * s) AS t FROM e, (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j) WHERE i * s < 150 AND j * s < 150),
+p AS (SELECT x, y, count(*) AS n FROM tracks GROUP BY 1, 2),
+n AS (SELECT extent, grid_x, grid_y, (r - l) * (t - b) AS area, coalesce((SELECT sum(n) FROM p WHERE x >= l AND x < r AND y >= b AND y < t), 0) AS buildings FROM c)
+SELECT extent, CAST(grid_x AS BIGINT) AS grid_x, CAST(grid_y AS BIGINT) AS grid_y, round(area, 4) AS area, CAST(buildings AS BIGINT) AS buildings FROM n WHERE area > 30 QUALIFY buildings > 2 OR bool_and(buildings <= 2) OVER (PARTITION BY extent)""")
 def gridded_target_area(spark, sf_dir):
     """Cells of the extents with building counts, reviewed."""
     e = extents(spark, sf_dir).withColumn("type", F.when(F.col("extent") % 3 == 0, "Built-up Area").otherwise("other"))
@@ -145,7 +151,15 @@ def gridded_target_area(spark, sf_dir):
     return g.select("extent", "grid_x", "grid_y", F.round("area", 4).alias("area"), "buildings")
 
 
-@query()
+_KRUEGER = """WITH c AS (SELECT 1 / 298.257223563 / (2 - 1 / 298.257223563) AS n), k AS (SELECT n, 2 * sqrt(n) / (1 + n) AS q, 6378137.0 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) AS a,
+  n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 AS a1, 13 * n * n / 48 - 3 * n * n * n / 5 AS a2, 61 * n * n * n / 240 AS a3 FROM c),
+p AS (SELECT c_custkey AS key, sin(radians(4 + c_custkey % 70 / 10)) AS s, radians(3 + c_custkey % 90 / 10 - 3) AS lam FROM customer),
+t AS (SELECT *, sinh(atanh(s) - q * atanh(q * s)) AS t FROM p, k), e AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT key, round(500000 + 0.9996 * a * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS ux,
+  round(0.9996 * a * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) AS uy FROM e"""
+
+
+@query(_KRUEGER)
 def utm_project(spark, sf_dir):
     k = F.col("c_custkey")
     x, y = G.utm(3 + k % 90 / 10, 4 + k % 70 / 10, 31)

@@ -95,9 +95,9 @@ def valid_coordinate(c: Column, strict: bool = False) -> Column:
     return F.coalesce(F.abs(c.try_cast("double")) <= 180, F.lit(False))
 
 
-def numeric_entry_flag(c: Column, allow_zero: bool = False) -> Column:
-    """Text that does not start with a digit."""
-    if allow_zero:
+def numeric_entry_flag(c: Column, allow_zero: bool = False, numeric: bool = False) -> Column:
+    """Text that does not start with a digit. ``numeric``: the column holds numbers, which are all right whatever their sign."""
+    if allow_zero or numeric:
         return F.lit(None).cast("string")
     return F.when(~c.cast("string").rlike(r"^\d+"), "Wrong Entry")
 

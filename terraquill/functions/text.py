@@ -130,3 +130,25 @@ def fold_category(c: Column, categories: tuple[str, ...]) -> Column:
 
 def parse_time(c: Column) -> Column:
     return F.try_to_timestamp(c, F.lit("MM/dd/yyyy HH:mm:ss"))
+
+
+def delimiter_count(c: Column, delimiter: str = "_") -> Column:
+    return F.regexp_count(c.cast("string"), F.lit(re.escape(delimiter)))
+
+
+def team_code_over_limit(c: Column) -> Column:
+    """Whether the code is a number above the limit."""
+    return F.coalesce(c.try_cast("bigint") > S.TEAM_CODE_LIMIT, F.lit(False))
+
+
+def team_plan_name(c: Column) -> Column:
+    """Team, ward and LGA of a team's plan file, null if the name has another form."""
+    form = r"(?i)^DIP of Team (\S+) (.+?) ward, (.+) LGA\.pdf$"
+    part = lambda k, name: F.regexp_extract(c, form, k).alias(name)
+    return F.when(c.rlike(form), F.struct(part(1, "team"), part(2, "ward"), part(3, "lga")))
+
+
+def lga_plan_name(c: Column) -> Column:
+    """LGA of a plan file and the part of its name that pages are matched by, null if the name has another form."""
+    form = r"^DIP of .*?,\s*(.+?)\s+(?i:LGA\.pdf)$"
+    return F.when(c.rlike(form), F.struct(F.regexp_extract(c, form, 1).alias("lga"), F.substring(c, 8, 2**31 - 1).alias("id")))

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; a folder of this machine only where that is unset."""
+    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a folder of its
+    own; a cluster is refused, since no folder is known that all of its machines share."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terraquill-")
-        context.setCheckpointDir(folder)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="terraquill-"))
     return df.checkpoint()
 
 

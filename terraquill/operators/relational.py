@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terraquill.operators.graph import cut_lineage
+
 
 def keep_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """Of the rows of a key, the first in the given order, by a partial aggregate rather than a sort."""
@@ -30,20 +32,16 @@ def any_in_group(df: DataFrame, key: list[str], condition: Column, name: str) ->
     return df.withColumn(name, F.bool_or(condition).over(Window.partitionBy(*key)))
 
 
-def row_ids(df: DataFrame, order: list[Column], name: str = "row_id", slices: int = 256) -> DataFrame:
-    """Row numbers from 1 in a global order, without a global window: rows are sorted in ranges by a
-    slice of the leading key, and each range starts where the counts of the ranges before it end."""
-    lead = order[0]
-    low, high = df.agg(F.min(lead), F.max(lead)).first()
-    if low is None:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    width = max((float(high) - float(low)) / slices, 1e-300)
-    cut = df.withColumn("_slice", F.least(F.floor((lead - F.lit(low)) / F.lit(width)), F.lit(slices - 1)).cast("int"))
-    counts = cut.groupBy("_slice").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_slice", before.alias("_start"))  # at most ``slices`` rows
-    rank = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
-    return cut.withColumn("_rank", rank).join(F.broadcast(starts), "_slice").withColumn(name, F.col("_start") + F.col("_rank")).drop("_slice", "_rank", "_start")
+def row_ids(df: DataFrame, order: list[Column], name: str = "row_id") -> DataFrame:
+    """Row numbers from 1 in a global order of keys of any type, without a global window: rows are dealt to ranges of the whole
+    order, by its quantiles, and sorted there; each range starts where the counts of those before it end."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = cut_lineage(ranged)  # a lost task must not be dealt to other ranges
+    counts = ranged.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))  # a row for each partition
+    placed = ranged.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(starts), "_range")
+    return placed.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_range", "_at", "_start")
 
 
 def running_ranges(df: DataFrame, partition: list[str], order: list[Column], amount: str) -> DataFrame:

@@ -19,14 +19,19 @@ COARSER = 64
 
 def polygon_cells(polygons: DataFrame, ring: str, size: float) -> DataFrame:
     """One row for each cell of a polygon's bounding box: cell_level, cell_x, cell_y. A polygon that covers more than
-    ``MAX_CELLS`` is indexed at level 1, on cells ``COARSER`` times as wide."""
+    ``MAX_CELLS`` is indexed at level 1, on cells ``COARSER`` times as wide. Upper edges are outside, so a box that ends on a cell's
+    edge doesn't reach the next cell."""
     box = polygons.withColumn("_b", F.struct(*G.bounds(F.col(ring))))
     spans = lambda s: (
         (G.cell(F.col("_b.x_max"), s) - G.cell(F.col("_b.x_min"), s) + 1) * (G.cell(F.col("_b.y_max"), s) - G.cell(F.col("_b.y_min"), s) + 1)
     )
     level = F.when(spans(size) <= MAX_CELLS, 0).otherwise(1)
     width = F.when(F.col("cell_level") == 0, F.lit(float(size))).otherwise(F.lit(float(size) * COARSER))
-    along = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.col("_w")), F.floor(F.col(b) / F.col("_w"))))
+
+    def along(low: str, high: str) -> Column:
+        first = F.floor(F.col(low) / F.col("_w"))
+        return F.explode(F.sequence(first, F.greatest(first, F.ceil(F.col(high) / F.col("_w")) - 1)))
+
     return (
         box.withColumn("cell_level", level)
         .withColumn("_w", width)
@@ -36,35 +41,35 @@ def polygon_cells(polygons: DataFrame, ring: str, size: float) -> DataFrame:
     )
 
 
-def point_cells(points: DataFrame, x: str, y: str, size: float) -> DataFrame:
-    """Each point with its cell of both levels."""
-    cells = F.array(
-        *(
-            F.struct(F.lit(k).alias("cell_level"), G.cell(F.col(x), s).alias("cell_x"), G.cell(F.col(y), s).alias("cell_y"))
-            for k, s in enumerate((size, size * COARSER))
-        )
-    )
-    return points.select("*", F.inline(cells))
+def points_in_polygons(points: DataFrame, polygons: DataFrame, ring: str, x: str = "x", y: str = "y", size: float = 50.0) -> DataFrame:
+    """Inner join of points and the polygons that contain them; all columns of both. Each level of cells is a join of its own, which
+    adaptive execution leaves out where no polygon is of that level; the bounding box is tested before the edges."""
+    cells = polygon_cells(polygons, ring, size)
+    found = []
+    for level, width in enumerate((size, size * COARSER)):
+        placed = points.withColumn("cell_x", G.cell(F.col(x), width)).withColumn("cell_y", G.cell(F.col(y), width))
+        found.append(placed.join(cells.where(F.col("cell_level") == level), ["cell_x", "cell_y"]))
+    pairs = found[0].unionByName(found[1])
+    b = G.bounds(F.col(ring))
+    in_box = (F.col(x) >= b[0]) & (F.col(x) <= b[2]) & (F.col(y) >= b[1]) & (F.col(y) <= b[3])
+    return pairs.where(in_box).where(G.contains(F.col(ring), F.col(x), F.col(y))).drop("cell_level", "cell_x", "cell_y")
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, ring: str, x: str = "x", y: str = "y", size: float = 50.0) -> DataFrame:
-    """Inner join of points and the polygons that contain them; all columns of both."""
-    pairs = point_cells(points, x, y, size).join(
-        polygon_cells(polygons, ring, size), ["cell_level", "cell_x", "cell_y"]
-    )
-    return pairs.where(G.contains(F.col(ring), F.col(x), F.col(y))).drop("cell_level", "cell_x", "cell_y")
+def places(points: DataFrame, x: str, y: str, n: str = "_n") -> DataFrame:
+    """Distinct coordinates with their number of points; each task counts its own first, so a common place is no hot key."""
+    return points.groupBy(x, y).agg(F.count("*").alias(n))
 
 
 def count_points(polygons: DataFrame, points: DataFrame, key: str, ring: str, x: str = "x", y: str = "y", size: float = 50.0, name: str = "n") -> DataFrame:
     """The polygons with the number of points inside, 0 where there is none."""
-    inside = points_in_polygons(points.select(x, y), polygons.select(key, ring), ring, x, y, size)
-    counts = inside.groupBy(key).agg(F.count("*").alias(name))
+    inside = points_in_polygons(places(points, x, y), polygons.select(key, ring), ring, x, y, size)
+    counts = inside.groupBy(key).agg(F.sum("_n").alias(name))
     return polygons.join(counts, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def polygons_hit(polygons: DataFrame, points: DataFrame, key: str, ring: str, x: str = "x", y: str = "y", size: float = 50.0, name: str = "hit") -> DataFrame:
-    """The polygons and whether any point lies inside; only distinct keys are joined back."""
-    inside = points_in_polygons(points.select(x, y), polygons.select(key, ring), ring, x, y, size)
+    """The polygons and whether any point lies inside; only distinct places meet polygons, and distinct keys are joined back."""
+    inside = points_in_polygons(places(points, x, y).drop("_n"), polygons.select(key, ring), ring, x, y, size)
     hits = inside.select(key).distinct().withColumn(name, F.lit(True))
     return polygons.join(hits, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
@@ -90,14 +95,15 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, left_key: str,
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, key: str, right_key: str, x: str = "x", y: str = "y", name: str = "within") -> DataFrame:
-    """Left rows and whether anything on the right lies within the radius."""
-    hits = near_pairs(left, right, radius, key, right_key, x, y).select(F.col("_a").alias(key)).distinct().withColumn(name, F.lit(True))
+    """Left rows and whether anything on the right lies within the radius; of the right side, distinct places take part."""
+    hits = near_pairs(left, right.groupBy(x, y).agg(F.min(right_key).alias(right_key)), radius, key, right_key, x, y).select(F.col("_a").alias(key)).distinct().withColumn(name, F.lit(True))
     return left.join(hits, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def nearest(left: DataFrame, right: DataFrame, radius: float, key: str, right_key: str, x: str = "x", y: str = "y", farthest: bool = False) -> DataFrame:
     """Left rows with the nearest (or farthest) right key within the radius, ties to the smallest key, and its distance; nulls if none."""
-    pairs = near_pairs(left, right, radius, key, right_key, x, y)
+    # Of the points at one place the smallest key wins any tie.
+    pairs = near_pairs(left, right.groupBy(x, y).agg(F.min(right_key).alias(right_key)), radius, key, right_key, x, y)
     by = F.struct((-F.col("distance") if farthest else F.col("distance")).alias("d"), F.col("_b").alias("k"))
     best = pairs.groupBy("_a").agg(F.min(by).alias("_best"))
     d = F.col("_best.d")

@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,27 +79,47 @@ def gridded_area(extents: DataFrame, key: str, ring: str, kind: str, buildings:
     return drop_unless_whole_group(counted, [key], F.col("buildings") <= S.BUILDING_LIMIT)
 
 
-def disperse(points: DataFrame, cluster: str, key: str, x: str = "x", y: str = "y") -> DataFrame:
-    """Points of each cluster moved apart, in order of their keys, until all are ``MIN_DISTANCE`` apart or the rounds are
-    used up. Directions of coincident points come from their keys, so reruns agree. Adds ``x_new`` and ``y_new``."""
-
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        p = pdf[[x, y]].to_numpy(float).copy()
-        for _ in range(S.SHIFT_ROUNDS if len(p) > 1 else 0):
-            moved = False
-            for i in range(1, len(p)):
-                gap = p[i] - p[:i]
-                d = np.hypot(gap[:, 0], gap[:, 1])
-                j = int(d.argmin())
-                if d[j] >= S.MIN_DISTANCE:
-                    continue
-                angle = (hash((int(pdf[key].iloc[i]), 7)) % 3600) * math.pi / 1800
-                way = gap[j] / d[j] if d[j] > 0 else np.array([math.cos(angle), math.sin(angle)])
-                p[i], moved = p[j] + way * S.TARGET_DISTANCE, True
-            if not moved:
-                break
-        return pdf.assign(x_new=p[:, 0], y_new=p[:, 1])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
-    return points.groupBy(cluster).applyInPandas(spread, f"{fields}, x_new double, y_new double")
+def disperse(points: DataFrame, key: str, x: str = "x", y: str = "y", rounds: int = S.SHIFT_ROUNDS) -> DataFrame:
+    """Points moved until all are ``MIN_DISTANCE`` apart or the rounds are used up; adds ``x_new`` and ``y_new``.
+
+    In each round every point that stands too near to one with a smaller key moves ``TARGET_DISTANCE`` away from the nearest of these. All
+    move at once, from one written table to the next, and pairs meet in grid cells, so that no group of near points is gathered. The
+    direction from a coincident point comes from the key, so reruns agree.
+    """
+    place = points.select(key, F.col(x).cast("double").alias("x_new"), F.col(y).cast("double").alias("y_new"))
+    for _ in range(rounds):
+        pairs = spatial.near_pairs(place, place, S.MIN_DISTANCE, key, key, "x_new", "y_new")
+        pairs = pairs.where((F.col("_b") < F.col("_a")) & (F.col("distance") < S.MIN_DISTANCE))
+        near = pairs.groupBy("_a").agg(F.min(F.struct("distance", "_b")).alias("_n")).select("_a", "_n.distance", "_n._b")
+        if near.isEmpty():
+            break
+        fixed = place.select(F.col(key).alias("_b"), F.col("x_new").alias("_bx"), F.col("y_new").alias("_by"))
+        near = near.join(fixed, "_b").select(F.col("_a").alias(key), "distance", "_bx", "_by")
+        angle = F.pmod(F.xxhash64(F.lit(7), key), F.lit(3600)) * math.pi / 1800
+        d = F.col("distance")
+        step = {
+            "x_new": F.col("_bx") + S.TARGET_DISTANCE * F.when(d > 0, (F.col("x_new") - F.col("_bx")) / d).otherwise(F.cos(angle)),
+            "y_new": F.col("_by") + S.TARGET_DISTANCE * F.when(d > 0, (F.col("y_new") - F.col("_by")) / d).otherwise(F.sin(angle)),
+        }
+        moved = place.join(near, key, "left").select(key, *(F.when(d.isNotNull(), v).otherwise(F.col(c)).alias(c) for c, v in step.items()))
+        place = cut_lineage(moved)
+    return points.join(place, key)
+
+
+def target_area(settlements: DataFrame, extents: DataFrame, key: str, bounds: tuple[float, float, float, float], radius: float, ring: str = "ring", kind: str = "type", x: str = "x", y: str = "y") -> DataFrame:
+    """(key, x, y, type, ring): the Voronoi cell of each distinct place, cut to the extents; the pieces that hold the settlement's point.
+
+    A settlement whose point lies in none of its pieces has a circle of ``FALLBACK_BUFFER`` instead, with no type; so have
+    all where there are fewer than four places. Of settlements at one place the smallest key stands for all. ``extents`` are convex.
+    """
+    places = settlements.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.min(key).alias(key)).select(key, x, y)
+    circle = G.circle(F.col(x), F.col(y), S.FALLBACK_BUFFER)
+    none = F.lit(None).cast("string")
+    if places.limit(4).count() < 4:
+        return places.select(key, x, y, none.alias(kind), circle.alias(ring))
+    cells = voronoi_cells(places, key, bounds, radius, x, y).select(key, x, y, F.col("ring").alias("_cell"))
+    pieces = overlay(cells, extents.select(F.col(kind).alias(kind), F.col(ring).alias("_extent")), "_cell", "_extent", radius)
+    kept = pieces.where(G.contains(F.col("piece"), F.col(x), F.col(y))).select(key, x, y, kind, F.col("piece").alias(ring))
+    kept = cut_lineage(kept)
+    pending = places.join(kept.select(key).distinct(), key, "left_anti")
+    return kept.unionByName(pending.select(key, x, y, none.alias(kind), circle.alias(ring)))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from terraquill import settings as S
 from terraquill.functions import rules as R
@@ -29,9 +30,10 @@ def standardize_list(df: DataFrame, exclude: tuple[str, ...] = ("unique_code", "
     return out
 
 
-def attribute_checks(df: DataFrame) -> DataFrame:
-    """Entry and consistency flags for the attributes that the table has."""
+def attribute_checks(df: DataFrame, allow_zero: tuple[str, ...] = ()) -> DataFrame:
+    """Entry and consistency flags for the attributes that the table has. ``allow_zero``: numeric attributes that take any entry."""
     have, out = set(df.columns), {}
+    numbers = {f.name for f in df.schema if isinstance(f.dataType, NumericType)}
     c = F.col
     for name in S.YES_NO_COLUMNS:
         if name in have:
@@ -41,7 +43,7 @@ def attribute_checks(df: DataFrame) -> DataFrame:
             out[f"WE_{name}"] = R.preset_flag(c(name), options)
     for name in S.NUMERIC_COLUMNS:
         if name in have:
-            out[f"WE_{name}"] = R.numeric_entry_flag(c(name))
+            out[f"WE_{name}"] = R.numeric_entry_flag(c(name), name in allow_zero, name in numbers)
     if {"set_population", "set_target"} <= have:
         out["WE_population"] = R.population_flag(c("set_population"), c("set_target"))
         if "number_of_household" in have:
@@ -57,21 +59,41 @@ def attribute_checks(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def boundary_flags(points: DataFrame, boundaries: DataFrame, key: str, levels: list[str], cutoff: float = S.BOUNDARY_CUTOFF, score: M.Scorer | None = None, size: float = 50.0) -> DataFrame:
-    """The first admin level whose name differs from that of the boundary around the point. ``boundaries``: ring and the
-    levels. Names are scored once for each distinct pair; a point in no boundary is flagged too."""
-    score = score or M.scorer("token_set_ratio")
+def global_id_flag(df: DataFrame, column: str = "eha_guid") -> DataFrame:
+    """``WE_<column>``: missing and repeated global ids. Only ids that occur twice are joined back, so missing ones meet nowhere."""
+    twice = df.where(F.col(column).isNotNull()).groupBy(column).count().where("count > 1").select(column, F.lit(True).alias("_twice"))
+    flag = F.when(F.col(column).isNull(), "No UUID").when(F.col("_twice"), "Duplicate UUID")
+    return df.join(twice, column, "left").withColumn(f"WE_{column}", flag).select(*df.columns, f"WE_{column}")
+
+
+def _surrounding(points: DataFrame, boundaries: DataFrame, key: str, levels: list[str], size: float) -> DataFrame:
+    """The points with the names of the boundary around them, as _b_<level>; the first by name where boundaries overlap."""
     bounds = boundaries.select("ring", *(F.col(x).alias(f"_b_{x}") for x in levels))
     inside = spatial.points_in_polygons(points.select(key, "x", "y"), bounds, "ring", size=size)
     inside = L.keep_first(inside.select(key, *(f"_b_{x}" for x in levels)), [key], [F.col(f"_b_{x}") for x in levels])
-    out = points.join(inside, key, "left")
-    flag = F.when(F.col("x").isNotNull() & F.coalesce(*(F.col(f"_b_{x}") for x in levels)).isNull(), "outside all boundaries")
+    return points.join(inside, key, "left")
+
+
+def boundary_flags(points: DataFrame, boundaries: DataFrame, key: str, levels: list[str], cutoff: float = S.BOUNDARY_CUTOFF, exact: bool = False, size: float = 50.0) -> DataFrame:
+    """The first admin level, from the widest on, whose name is missing or differs from that of the boundary around the point:
+    ``boundary_issues``. The state's name is compared by partial ratio, others by token set ratio, once for each distinct pair. A point
+    without coordinates is not flagged. ``exact``: names are compared in lower case, and a missing name of the point's own ends the
+    comparison without a flag."""
+    out = _surrounding(points, boundaries, key, levels, size)
+    flag = F.when(F.col(f"_b_{levels[0]}").isNull() & (F.col("x").isNull() | F.col("y").isNull()), F.lit(None).cast("string"))
     for level in levels:
-        pairs = out.select(F.lower(level).alias("_p"), F.lower(f"_b_{level}").alias("_q")).distinct().where("_p is not null and _q is not null")
-        bad = pairs.where("_p != _q").withColumn("_s", score(F.col("_p"), F.col("_q"))).where(F.col("_s") < cutoff).select("_p", "_q", F.lit(True).alias(f"_bad_{level}"))
-        out = out.join(bad, (F.lower(level) == F.col("_p")) & (F.lower(f"_b_{level}") == F.col("_q")), "left").drop("_p", "_q")
-        flag = flag.when(F.col(f"_bad_{level}"), f"{level} differs from boundary")
-    return out.withColumn("boundary_issues", flag).drop(*(f"_b_{x}" for x in levels), *(f"_bad_{x}" for x in levels))
+        own, other = F.lower(level), F.lower(f"_b_{level}")
+        if exact:
+            flag = flag.when(own.isNull(), F.lit(None).cast("string"))
+            differs = own != other
+        else:
+            score = M.scorer("partial_ratio" if level == "state" else "token_set_ratio")
+            pairs = out.select(own.alias("_p"), other.alias("_q")).distinct().where("_p is not null and _q is not null")
+            bad = pairs.where("_p != _q").withColumn("_s", score(F.col("_p"), F.col("_q"))).where(F.col("_s") < cutoff).select("_p", "_q", F.lit(True).alias(f"_bad_{level}"))
+            out = out.join(bad, (own == F.col("_p")) & (other == F.col("_q")), "left").drop("_p", "_q")
+            differs = own.isNull() | F.coalesce(f"_bad_{level}", F.lit(False))
+        flag = flag.when(other.isNull() | differs, f"Outside {S.LEVEL_TITLES.get(level, level)}")
+    return out.withColumn("boundary_issues", flag).select(*points.columns, "boundary_issues")
 
 
 def settlement_qc(df: DataFrame, key: str, boundaries: DataFrame | None = None, levels: tuple[str, ...] = ("lga",)) -> DataFrame:
@@ -87,6 +109,8 @@ def settlement_qc(df: DataFrame, key: str, boundaries: DataFrame | None = None,
     live = live.withColumn("no_coordinates", R.missing_coordinates_flag(F.col("x"), F.col("y")))
     live = L.duplicate_flag(live, ["x", "y"], "stacked_point", ignore_nulls=True)
     live = L.duplicate_flag(live, ["unique_code"], "duplicate_attribute")
+    if "eha_guid" in live.columns:
+        live = global_id_flag(live)
     if boundaries is not None:
         live = boundary_flags(live, boundaries, key, list(levels))
     near = spatial.neighbours(live.where("x is not null and y is not null").select(key, "x", "y"), S.NEAREST_METRES, key, farthest=True)
@@ -105,10 +129,7 @@ def settlement_qc(df: DataFrame, key: str, boundaries: DataFrame | None = None,
 
 def review_submissions(submissions: DataFrame, boundaries: DataFrame, key: str, levels: list[str], score: M.Scorer, cutoff: float = S.SUBMISSION_CUTOFF, size: float = 50.0) -> DataFrame:
     """Pass or fail for each admin level of a submission against the boundary around its point."""
-    bounds = boundaries.select("ring", *(F.col(x).alias(f"_b_{x}") for x in levels))
-    inside = spatial.points_in_polygons(submissions.select(key, "x", "y"), bounds, "ring", size=size)
-    inside = L.keep_first(inside.select(key, *(f"_b_{x}" for x in levels)), [key], [F.col(f"_b_{x}") for x in levels])
-    out = submissions.join(inside, key, "left")
+    out = _surrounding(submissions, boundaries, key, levels, size)
     for level in levels:
         ok = F.coalesce(score(F.lower(level), F.lower(f"_b_{level}")) >= cutoff, F.lit(False))
         out = out.withColumn(f"{level}_review", F.when(ok, "pass").otherwise("fail"))

@@ -131,6 +131,49 @@ def day_column(columns: list[str], day: int) -> str | None:
     return None
 
 
+def day_word_column(columns: list[str]) -> str:
+    """The first column whose name has the word Day."""
+    for c in columns:
+        if re.search(r"(?i)\bday\b", c):
+            return c
+    raise NotFoundError("no column names a day of activity")
+
+
+def keyword_column(columns: list[str], keywords: tuple[str, ...], skip_codes: bool = False) -> str | None:
+    """The column of the best score: a keyword (100), its plural (95) or a name that holds it (60), less by one for each
+    keyword further on; ties to the first column. ``skip_codes``: code, old and id columns don't count."""
+
+    def score(c: str) -> int:
+        name = c.lower().strip()
+        if skip_codes and re.search(r"(code|old|id$|_id_)", name):
+            return 0
+        whole = [best - k for k, w in enumerate(keywords) for best, form in ((100, w), (95, f"{w}s")) if name == form]
+        return whole[0] if whole else max((60 - k for k, w in enumerate(keywords) if w in name), default=0)
+
+    best = max(columns, key=score, default=None)
+    return best if best is not None and score(best) > 0 else None
+
+
+def round_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
+    """String columns with some value whose values are all round labels, in the table's order; one aggregate."""
+    skipped = {c.lower() for c in (*exclude, *S.NEVER_ROUNDS)}
+    names = [c for c in _strings(df) if c.lower() not in skipped]
+    if not names:
+        return []
+    value = lambda c: F.nullif(F.lower(F.trim(F.col(c))), F.lit(""))
+    found = df.agg(*(F.bool_and(value(c).isin(*S.ROUND_LABELS)).alias(f"_{k}") for k, c in enumerate(names))).first()
+    return [c for k, c in enumerate(names) if found[k]]
+
+
+def ranked(columns: list[str], ranking: list[int] | None = None) -> list[str]:
+    """Grouping columns from the highest rank to the lowest; as they are without a ranking."""
+    if not ranking:
+        return list(columns)
+    if len(ranking) != len(columns):
+        raise DataError("as many ranks as columns are needed")
+    return [c for c, _ in sorted(zip(columns, ranking), key=lambda x: -x[1])]
+
+
 def align(left: DataFrame, right: DataFrame, roles: tuple[str, ...]) -> dict[str, tuple[str, str]]:
     """Role to the pair of columns that play it in both tables."""
     a, b = bind(left, roles), bind(right, roles)

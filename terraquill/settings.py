@@ -35,6 +35,11 @@ FACILITY_WORDS = ("PHC", "HF", "GH", "HP", "MCH", "MDG", "Dispensary", "NPI", "W
 EXCLUSION_WORDS = ("exist", "unknown", "duplicate", "migrate", "abandoned", "state", "remove")
 GONE = ("Abandoned", "Migrated")
 
+LEVEL_TITLES = {"state": "State", "lga": "LGA", "ward": "Ward"}
+ROUND_LABELS = ("visited", "not visited", "not found")
+NEVER_ROUNDS = ("contact", "contact_proportion", "coverage", "settlement_id", "unique_code")
+TEAM_CODE_LIMIT = 10_000
+
 YES_NO = ("Y", "N")
 YES_NO_COLUMNS = (
     "security_compromised", "urban", "rural", "scattered", "highrisk", "slums", "densely_populated", "hard2reach",

@@ -146,6 +146,72 @@ def test_components_and_row_ids(spark):
     assert found == {x: top(x) for e in edges if e[0] != e[1] for x in e}
     ids = L.row_ids(spark.range(1000).select((F.col("id") * 7 % 1009).alias("k")), [F.col("k")]).orderBy("k").collect()
     assert [r.row_id for r in ids] == list(range(1, 1001))
+    keys = [(None if k % 9 == 0 else "x" if k % 2 else f"k{k}", k) for k in range(300)]  # text keys, nulls and a skewed key
+    ids = L.row_ids(spark.createDataFrame(keys, "a string, b long"), [F.col("a"), F.col("b")]).collect()
+    assert [(r.a, r.b) for r in sorted(ids, key=lambda r: r.row_id)] == sorted(keys, key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    assert sorted(r.row_id for r in ids) == list(range(1, 301))
+
+
+def test_roles_by_words(spark):
+    from terraquill import roles
+
+    assert roles.day_word_column(["Sunday", "first day of activity", "Day 2"]) == "first day of activity"
+    with pytest.raises(roles.NotFoundError):
+        roles.day_word_column(["Daylight"])
+    assert roles.keyword_column(["my team list", "Teams", "x"], ("team",)) == "Teams"
+    assert roles.keyword_column(["ward code", "the ward"], ("ward",), skip_codes=True) == "the ward"
+    assert roles.keyword_column(["a", "b"], ("ward",)) is None and roles.keyword_column([], ("ward",)) is None
+    df = spark.createDataFrame([("Visited ", "visited", None, "x", "visited"), ("not found", None, None, "visited", "visited")], "r1 string, r2 string, r3 string, r4 string, coverage string")
+    assert roles.round_columns(df, ("R2",)) == ["r1"] and roles.round_columns(df) == ["r1", "r2"]
+    assert roles.ranked(["a", "b", "c"], [1, 3, 2]) == ["b", "c", "a"] and roles.ranked(["a"]) == ["a"]
+
+
+def test_review_helpers(spark):
+    from terraquill.functions import rules as R
+    from terraquill.functions import text as X
+    from terraquill.operators import review
+    from terraquill.plans import listing
+    from terraquill.roles import DataError
+
+    df = spark.createDataFrame([("pass", "pass", "w", "l", "late"), ("pass", "fail", "w", "l", None)], "lga_review string, ward_review string, ward string, lga string, issue string")
+    assert review.passed(df, ["lga", "ward"]).count() == 1 and review.present(df, ["x", "ward", "lga"]).columns == ["ward", "lga"]
+    assert [r.line for r in review.issue_lines(df, "issue").collect()] == ["Issues Encountered in w ward, l LGA issues late"]
+    codes = spark.createDataFrame([("10000",), ("7;8",), (None,)], "team string")
+    assert review.check_team_codes(codes, "team") is codes
+    with pytest.raises(DataError, match="10001"):
+        review.check_team_codes(codes.union(spark.createDataFrame([("10001",)], "team string")), "team")
+    names = spark.createDataFrame([("DIP of Bomo ward, Sabon Gari LGA.pdf",), ("x.pdf",)], "n string").select(X.lga_plan_name(F.col("n")).alias("p")).collect()
+    assert tuple(names[0].p) == ("Sabon Gari", "Bomo ward, Sabon Gari LGA.pdf") and names[1].p is None
+    numbers = spark.createDataFrame([(-5.0, "-5"), (0.0, "12a"), (None, None)], "set_population double, team_code string")
+    got = listing.attribute_checks(numbers).collect()
+    assert [(r.WE_set_population, r.WE_team_code) for r in got] == [(None, "Wrong Entry"), (None, None), (None, None)]
+    assert R.numeric_entry_flag(F.col("x"), allow_zero=True) is not None
+
+
+def test_listing_frames(spark):
+    """Whole-table steps with expected results: standard lists, updates, repairs, global ids, worst actions, team plans."""
+    from terraquill.operators import matching as M
+    from terraquill.plans import listing
+
+    raw = spark.createDataFrame([(" kano", "DALA", "ang. a", "alh musa", "keep me")], "state string, lga string, ward string, settlement string, eha_guid string")
+    row = listing.standardize_list(raw).first()
+    assert (row.state, row.ward, row.settlement, row.eha_guid, row.unique_code) == ("Kano", "Anguwar A", "Alhaji Musa", "keep me", "Kano_Dala_Anguwar A_Alhaji Musa")
+    people = spark.createDataFrame([(0.0, 30.0, 4.0), (100.0, 20.0, 10.0)], "set_population double, set_target double, number_of_household double")
+    assert [tuple(r) for r in listing.repair_population(people).collect()] == [(150.0, 30.0, 4.0), (100.0, 20.0, 10.0)]
+    ids = spark.createDataFrame([("a" * 32,), ("bad",), (None,)], "eha_guid string")
+    fixed = [r.eha_guid for r in listing.fix_global_ids(ids).collect()]
+    assert fixed[0] == "a" * 32 and all(len(x) == 32 for x in fixed) and "bad" not in fixed
+    pairs = spark.createDataFrame([(1, 2, "Duplicate Review"), (2, 3, "Duplicate Remove"), (4, 5, "Unlikely Potential Duplicate Review")], "key_a int, key_b int, action string")
+    assert {r.key: r.action for r in M.worst_action(pairs, "key").collect()} == {1: "review", 2: "remove", 3: "remove", 4: "potential", 5: "potential"}
+    plan = spark.createDataFrame([("8;7", "Day 1, 3"), (None, None)], "team string, days string")
+    got = listing.team_plans(plan).collect()
+    assert [(r.team, r["Day 1"], r["Day 2"], r["Day 3"]) for r in got] == [("007", "Yes", None, "Yes"), ("008", "Yes", None, "Yes")]
+
+
+def test_circle():
+    from terraquill.functions import geometry as G
+
+    assert G.circle(F.lit(1.0), F.lit(2.0), 5.0) is not None
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -67,15 +67,48 @@ def test_voronoi_fills_the_envelope(spark):
 def test_dispersion_keeps_rows_and_parts_points(spark):
     from terraquill.operators import tessellation
 
-    df = spark.createDataFrame([(k, 1, float(k % 3), 0.0) for k in range(9)], "key long, component long, x double, y double")
-    rows = tessellation.disperse(df, "component", "key").collect()
+    df = spark.createDataFrame([(k, float(k % 3), 0.0) for k in range(9)], "key long, x double, y double")
+    rows = tessellation.disperse(df, "key").collect()
     assert len(rows) == 9
-    again = tessellation.disperse(df, "component", "key").collect()
+    again = tessellation.disperse(df.repartition(5), "key").collect()
     assert sorted(rows) == sorted(again)
     close = sum(math.dist((a.x_new, a.y_new), (b.x_new, b.y_new)) < 65.9 for a in rows for b in rows if a.key < b.key)
     assert close == 0
 
 
+def test_target_area(spark):
+    """Each place once: the piece of its cell that holds the point, or a circle."""
+    from pyspark.sql import functions as F
+
+    from terraquill.functions import geometry as G
+    from terraquill.operators import tessellation
+
+    points = [(1, 10.0, 10.0), (2, 10.0, 10.0), (3, 90.0, 10.0), (4, 10.0, 90.0), (5, 90.0, 90.0), (6, None, 1.0)]
+    s = spark.createDataFrame(points, "key long, x double, y double")
+    boxes = [("Built-up Area", 0.0, 0.0, 60.0, 60.0), ("other", 80.0, 0.0, 100.0, 20.0), ("other", 0.0, 60.0, 5.0, 100.0)]
+    e = spark.createDataFrame(boxes, "type string, a double, b double, c double, d double").withColumn("ring", G.box(*(F.col(c) for c in "abcd")))
+    found = tessellation.target_area(s, e, "key", (0.0, 0.0, 100.0, 100.0), 40.0)
+    got = {r.key: (r.type, round(r.area, 3)) for r in found.withColumn("area", G.area(F.col("ring"))).collect()}
+    circle = round(32 * 100.0**2 * math.sin(math.pi / 32), 3)
+    assert got == {1: ("Built-up Area", 2500.0), 3: ("other", 400.0), 4: (None, circle), 5: (None, circle)}
+    few = tessellation.target_area(s.where("key < 4"), e, "key", (0.0, 0.0, 100.0, 100.0), 40.0).collect()
+    assert sorted((r.key, r.type) for r in few) == [(1, None), (3, None)]
+
+
+def test_standardize_text_on_whole_documents(spark):
+    import re
+
+    def standard(text: str | None) -> str | None:
+        if text is None:
+            return None
+        runs = re.sub(r"[^\W\d_]+", lambda m: m[0][0].title() + m[0][1:], text.strip(" ").lower())
+        return re.sub(r"[ \t\n\x0b\f\r]+", " ", runs) or None
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["name"] for r in catalog.QUERIES["standardize_text"](spark, SF).collect()}
+    assert got == {k: standard(t) for k, t in texts.items()}
+
+
 def test_fuzzy_best_match_against_brute_force(spark):
     from pyspark.sql import functions as F
 
