@@ -12,7 +12,7 @@
    single component, which no other can share, then the rarest. If x and y first meet in a shingle at the ranks p and q, they
    share at most min(|x| - p, |y| - q), of which a link needs 3/7 of |x| + |y| (similarity 0.75). So only a quarter of each set can
    bring a pair about, the common shingles of a large group of far copies bring none, and the join is on (shingle, class of set sizes).
-5. Components of the verified links come from alternating large and small stars.
+5. Components of the verified links come from alternating large and small stars; ids that gather many links are joined apart.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75**5)**48 = 2.3e-6; more similar pairs, less.
 
@@ -42,6 +42,9 @@ MISS = 1e-6
 BLOCK = 1 << 14
 #: Ids of texts to verify that are broadcast; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: An id with more links than this, and than its share of all links at ``HOT_IDS`` such ids, meets its component in a broadcast.
+HOT_LINKS = 500
+HOT_IDS = 100_000
 
 _FACTORS = multipliers(BANDS * ROWS, 20_011)
 _BAND_FACTORS = multipliers(BANDS, 20_021)
@@ -150,24 +153,37 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([t.column(k).filter(mask) for k in (0, 1)], names=["a", "b"])
 
 
+def _with_low(links: DataFrame, low: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The links (a, b) with the ``low`` of their a. Ids that gather more than their share of all links meet theirs in a
+    broadcast, so that no task gets a whole large component; there are at most ``HOT_IDS`` of them."""
+    low = scratch.save(low, name)
+    total = low.agg(F.sum("n")).first()[0] or 0
+    hot = low.where(F.col("n") > max(HOT_LINKS, total // HOT_IDS))
+    if hot.isEmpty():
+        return links.join(low.drop("n"), "a")
+    rest = links.join(F.broadcast(hot.select("a")), "a", "left_anti")
+    return rest.join(low.drop("n"), "a").unionByName(links.join(F.broadcast(hot.drop("n")), "a"))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component): the smallest id reachable, for every id with an edge. ``edges``: a, b long."""
     last, n = None, 0
     links = edges
     while True:
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("n"))
+        large = _with_low(both, low, scratch, f"low{n}").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = scratch.save(large.where("a != b").distinct(), f"large{n}")
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
         small = (
-            large.join(low, "a")
+            _with_low(large, low, scratch, f"least{n}")
             .select(F.explode(F.array(F.struct("b", "low"), F.struct(F.col("a").alias("b"), "low"))).alias("e"))
             .select(F.col("e.b").alias("a"), F.col("e.low").alias("b"))
         )
         links = scratch.save(small.where("a != b").distinct(), f"small{n}")
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        scratch.drop(f"large{n}")
+        for x in ("low", "large", "least"):
+            scratch.drop(f"{x}{n}")
         if n:
             scratch.drop(f"small{n - 1}")
         if state == last:

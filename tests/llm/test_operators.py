@@ -133,6 +133,18 @@ def test_near_duplicates_of_a_star_and_a_chain(spark):
     assert got == components(dict(rows))
 
 
+def test_components_do_not_depend_on_what_is_hot(spark, monkeypatch):
+    """A hub of many members, a chain through it and pairs apart, with hubs joined by a broadcast and without."""
+    monkeypatch.setattr(near_dedup, "HOT_IDS", 1_000)
+    edges = [(0, k) for k in range(1, 60)] + [(k, k + 1) for k in range(59, 75)] + [(100 + k, 200 + k) for k in range(30)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {k: 0 for k in range(76)} | {x + k: 100 + k for k in range(30) for x in (100, 200)}
+    for most in (2, 1_000):
+        monkeypatch.setattr(near_dedup, "HOT_LINKS", most)
+        found = near_dedup.components(df, near_dedup.Scratch(spark, "hot")).collect()
+        assert {r["id"]: r["component"] for r in found} | {x: x for x in (0, *range(100, 130))} == want
+
+
 def test_bayes_bound():
     for n in (40, 120, 240):
         m = near_dedup.needed_matches(n)
