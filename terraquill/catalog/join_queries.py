@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terraquill.catalog.base import PLANS, SETTLEMENTS, plans, query, settlements, table
-from terraquill.functions import fuzzy
 from terraquill.functions import geometry as G
 from terraquill.operators import matching as M
 from terraquill.operators import relational as L
@@ -111,8 +110,7 @@ def fuzzy_mapping(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     names = p.where("p_partkey % 2 = 0").select(F.col("p_brand").alias("block"), F.concat("p_name", F.lit("s")).alias("name"))
     refs = p.where("p_partkey % 2 = 1").select(F.col("p_brand").alias("block"), F.col("p_name").alias("ref"))
-    score = lambda a, b: F.round(fuzzy.levenshtein_score(a, b), 6)
-    return M.mapping(names, refs, "name", "ref", ["block"], 80, score)
+    return M.mapping(names, refs, "name", "ref", ["block"], 80, M.LEVENSHTEIN)
 
 
 @query()
@@ -130,6 +128,5 @@ p AS (SELECT a.ward, a.key AS key_a, b.key AS key_b, a.name AS name_a, b.name AS
 SELECT *, CASE WHEN metres > 65 THEN 'Unlikely Potential Duplicate Review' WHEN metres > 10 AND metres < 65 THEN 'Duplicate Review' ELSE 'Duplicate Remove' END AS action FROM p WHERE score >= 92""")
 def duplicate_pairs(spark, sf_dir):
     s = settlements(spark, sf_dir).select("key", "ward", F.concat(F.lit("Camp "), F.substring("settlement", 15, 3), F.lit(" site")).alias("name"), "x", "y")
-    score = lambda a, b: F.round(fuzzy.levenshtein_score(a, b), 6)
     metres = lambda a, b: G.planar(F.col(f"x{a}"), F.col(f"y{a}"), F.col(f"x{b}"), F.col(f"y{b}"))
-    return M.duplicate_pairs(s, ["ward"], "key", "name", 92, score, metres)
+    return M.duplicate_pairs(s, ["ward"], "key", "name", 92, M.LEVENSHTEIN, metres)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from terraquill import settings as S
 from terraquill.catalog.base import PLANS, SETTLEMENTS, plans, query, settlements, table, tracks
 from terraquill.catalog.spatial_queries import _EXTENTS, _INSIDE, extents
-from terraquill.functions import fuzzy
 from terraquill.functions import geometry as G
+from terraquill.operators import matching as M
 from terraquill.plans import listing, tracking
 
 _CELLS = """cells AS (SELECT key, key || '_' || q AS cell, x - x % 50 + CASE WHEN q % 2 = 1 THEN 25 ELSE 0 END AS cx, y - y % 50 + CASE WHEN q >= 2 THEN 25 ELSE 0 END AS cy, CASE WHEN key % 9 = 0 AND q = 1 THEN 'Visited' END AS visitation
@@ -122,8 +122,7 @@ def settlement_qc(spark, sf_dir):
 SELECT key, CASE WHEN coalesce(round(100 * (1 - levenshtein(lower(s.lga), j.lga) / greatest(length(s.lga), length(j.lga))), 6) >= 89, false) THEN 'pass' ELSE 'fail' END AS lga_review FROM settlements s LEFT JOIN j USING (key)""")
 def submission_review(spark, sf_dir):
     b = extents(spark, sf_dir).withColumn("lga", F.concat(F.lit("nation_"), F.col("extent")))
-    score = lambda a, c: F.round(fuzzy.levenshtein_score(a, c), 6)
-    return listing.review_submissions(settlements(spark, sf_dir).select("key", "lga", "x", "y"), b, "key", ["lga"], score, 89).select("key", "lga_review")
+    return listing.review_submissions(settlements(spark, sf_dir).select("key", "lga", "x", "y"), b, "key", ["lga"], M.LEVENSHTEIN, 89).select("key", "lga_review")
 
 
 @query(f"""WITH {PLANS}, t AS (SELECT key % 12 AS ward, days, unnest(string_split(teams, '/')) AS code FROM plans), p AS (SELECT ward, lpad(code, 3, '0') AS team, days FROM t),

@@ -85,6 +85,15 @@ def weighted_ratio(a: str, b: str) -> float:
 SCORES = {f.__name__: f for f in (ratio, partial_ratio, token_sort_ratio, token_set_ratio, weighted_ratio)}
 
 
+def sorted_tokens(name: Column) -> Column:
+    """The words that ``token_sort_ratio`` compares."""
+    @F.pandas_udf("string")
+    def words(x: pd.Series) -> pd.Series:
+        return x.map(_sorted_tokens, na_action="ignore")
+
+    return words(name)
+
+
 def score(name: str, a: Column, b: Column) -> Column:
     """A score of two columns as a rounded number; null if either is null."""
     @F.pandas_udf("double")

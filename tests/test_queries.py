@@ -122,3 +122,31 @@ def test_fuzzy_best_match_against_brute_force(spark):
     want = {n: fuzzy.best_match(n, refs, 80) for n in names}
     assert got == {n: m for n, m in want.items() if m}
     assert a.select(fuzzy.levenshtein_score(F.lit("kitten"), F.lit("sitting"))).first()[0] == pytest.approx(100 * (1 - 3 / 7))
+
+
+@pytest.mark.parametrize("name, cutoff", [("levenshtein", 92), ("levenshtein", 55), ("ratio", 80), ("token_sort_ratio", 95), ("token_sort_ratio", 60)])
+def test_names_within_edits_meet(spark, name, cutoff):
+    """Short, repetitive, blank and equal names of two blocks: the pairs that reach the cutoff are those of all pairs."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from terraquill.operators import matching
+
+    score = matching.LEVENSHTEIN if name == "levenshtein" else matching.scorer(name)
+    rng = random.Random(cutoff)
+    names = {"", " ", "-", "a", "b", "ab", "ba", "aaaaaaaa", "aaaaaaa", "abababab", "babababa", "Ünguwar Ído", "ungwar ido", "Ído Ünguwar"}
+    for _ in range(50):
+        base = [rng.choice("abc def") for _ in range(rng.randrange(3, 28))]
+        names.add("".join(base))
+        for _ in range(rng.randrange(1, 4)):
+            base[rng.randrange(len(base))] = rng.choice(["", "x", "ab"])
+            names.add("".join(base))
+    rows = [(k % 2 if len(n) > 2 else b, n) for k, n in enumerate(sorted(names)) for b in (0, 1)]
+    a = spark.createDataFrame(rows, "block int, x string").distinct()
+    b = a.withColumnRenamed("x", "y")
+    hold = lambda df: {tuple(r) for r in df.where(score(F.col("x"), F.col("y")) >= cutoff).select("block", "x", "y").collect()}
+    met = matching._pairs(a, b, ["block"], "x", "y", cutoff, score)
+    assert hold(met) == hold(a.join(b, "block"))
+    if cutoff > 90:
+        assert met.count() < a.join(b, "block").count() / 2
