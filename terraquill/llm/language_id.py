@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraquill.llm.common import utf8
+from terraquill.llm.common import slices, utf8
 
 MAX_TRAIN = 1500
 CALIBRATION_SHARE = 0.25
@@ -240,7 +240,7 @@ def identify(
     """One row for each document: doc_id, held_out, lang_pred, score and rejected."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [predict(x, model) for x in utf8(b.column(2))]
             kinds = (pa.string(), pa.float64(), pa.bool_())
             columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]
@@ -259,7 +259,7 @@ def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([not predict(x, model)[2] for x in utf8(b.column(place))], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terraquill.llm.common import SIMILARITY, Scratch, bounded_broadcast, mix, multipliers, shingle_hashes, unused, utf8
+from terraquill.llm.common import SIMILARITY, Scratch, bounded_broadcast, mix, multipliers, shingle_hashes, slices, unused, utf8
 
 BANDS, ROWS = 48, 5
 BATCH = 40
@@ -81,32 +81,30 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = utf8(b.column(1))
-        for at in range(0, len(texts), 512):
-            sets = [np.unique(shingle_hashes((x or b"").lower().split())) for x in texts[at : at + 512]]
-            some = [k for k, s in enumerate(sets) if len(s)]
-            m = minima([sets[k] for k in some])
-            bands = np.zeros((len(some), BANDS), np.uint64)
-            for j in range(ROWS):
-                bands = mix((bands ^ m[:, j::ROWS]) * _BAND_FACTORS)
-            small = (mix(m) & np.uint64(255)).astype(np.uint8)
-            keys: list[bytes | None] = [None] * len(sets)
-            bytes_, band_lists = list(keys), list(keys)
-            for row, k in enumerate(some):
-                keys[k] = hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest()
-                bytes_[k] = small[row].tobytes()
-                band_lists[k] = bands[row].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).slice(at, 512),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(keys, pa.binary()),
-                    pa.array(bytes_, pa.binary()),
-                    pa.array(band_lists, pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n_shingles", "set_key", "bytes", "bands"],
-            )
+    for b in slices(batches):
+        sets = [np.unique(shingle_hashes((x or b"").lower().split())) for x in utf8(b.column(1))]
+        some = [k for k, s in enumerate(sets) if len(s)]
+        m = minima([sets[k] for k in some])
+        bands = np.zeros((len(some), BANDS), np.uint64)
+        for j in range(ROWS):
+            bands = mix((bands ^ m[:, j::ROWS]) * _BAND_FACTORS)
+        small = (mix(m) & np.uint64(255)).astype(np.uint8)
+        keys: list[bytes | None] = [None] * len(sets)
+        bytes_, band_lists = list(keys), list(keys)
+        for row, k in enumerate(some):
+            keys[k] = hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest()
+            bytes_[k] = small[row].tobytes()
+            band_lists[k] = bands[row].view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                b.column(0),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(keys, pa.binary()),
+                pa.array(bytes_, pa.binary()),
+                pa.array(band_lists, pa.list_(pa.int64())),
+            ],
+            names=["doc_id", "n_shingles", "set_key", "bytes", "bands"],
+        )
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,13 +120,13 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         sets = (np.unique(shingle_hashes((x or b"").lower().split())).tobytes() for x in utf8(b.column(1)))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         for i, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
             h = np.unique(shingle_hashes((text or b"").lower().split())).view(np.int64)
             same = lambda x: pa.array(np.full(len(h), x, np.int64))
@@ -146,7 +144,7 @@ def similar_sets(x: np.ndarray, y: np.ndarray, percent: int = round(100 * SIMILA
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in batches:
+    for t in slices(batches):
         x, y = t.column(2).to_pylist(), t.column(3).to_pylist()
         good = [similar_sets(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)]
         mask = pa.array(good, pa.bool_())
