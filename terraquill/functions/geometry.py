@@ -101,6 +101,15 @@ def area(ring: Column) -> Column:
     return F.abs(twice) / 2
 
 
+def centroid(ring: Column) -> list[Column]:
+    """x and y of a ring's centre of area; places are taken from its first corner, so that great coordinates lose nothing."""
+    first = F.get(ring, F.lit(0))
+    turn = lambda e: (e["a"]["x"] - first["x"]) * (e["b"]["y"] - first["y"]) - (e["b"]["x"] - first["x"]) * (e["a"]["y"] - first["y"])
+    add = lambda value: F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + value(e))
+    thrice = 3 * add(turn)
+    return [first[c] + add(lambda e, c=c: (e["a"][c] + e["b"][c] - 2 * first[c]) * turn(e)) / thrice for c in ("x", "y")]
+
+
 def bounds(ring: Column) -> list[Column]:
     """x_min, y_min, x_max, y_max."""
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])

@@ -180,7 +180,7 @@ def read_geopackage(spark: SparkSession, path: str, layer: str | None = None) ->
                     raise NotSupported(f"no layer {layer or ''} among {', '.join(layers)}")
                 name = layer or next(iter(layers))
                 geometry = layers[name]
-                rows = db.execute(f'select * from "{name}"')
+                rows = db.execute('select * from "' + name.replace('"', '""') + '"')
                 names = [c[0] for c in rows.description]
                 k = 0
                 while part := rows.fetchmany(5000):
