@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquill.llm import decontamination, language_id, license_scan, lm_scoring, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding
+from terraquill.llm import (
+    decontamination, language_id, license_scan, lm_scoring, mixing, near_dedup, oracles, pii, quality_classifier, quality_rules, sharding,
+    source_audit, url_filter,
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +67,15 @@ def op10_budget_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(documents(spark, sf_dir))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_quality": op1_site_quality,
     "op2_minimax_sharding": op2_minimax_sharding,
@@ -75,6 +87,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_host_quality_rules": op8_host_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_budget_mixing": op10_budget_mixing,
+    "op12_source_audit": op12_source_audit,
+    "op13_url_filter": op13_url_filter,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op12_source_audit": oracles.SOURCE_AUDIT,
+    "op13_url_filter": oracles.url_filter(),
+}
