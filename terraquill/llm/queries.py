@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terraquill.llm import (
     decontamination, language_id, license_scan, lm_scoring, mixing, near_dedup, oracles, pii, quality_classifier, quality_rules, sharding,
-    source_audit, url_filter,
+    source_audit, token_alignment, url_filter,
 )
 
 
@@ -67,6 +67,10 @@ def op10_budget_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(documents(spark, sf_dir))
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.divergence(documents(spark, sf_dir))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_host_quality_rules": op8_host_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_budget_mixing": op10_budget_mixing,
+    "op11_token_alignment": op11_token_alignment,
     "op12_source_audit": op12_source_audit,
     "op13_url_filter": op13_url_filter,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import random
 import re
 
@@ -10,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from terraquill.llm import queries, source_audit, url_filter
+from terraquill.llm import queries, source_audit, token_alignment, url_filter
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -98,6 +99,75 @@ def test_block_differences():
         assert (got + got.T == np.abs(full[:, None] - full[None]).sum(2)).all()
 
 
+# --- tokenizer alignment ------------------------------------------------------------------------------------
+
+
+def plain_alignment(rows: list[tuple]) -> list[tuple]:
+    """Whole texts by the libraries themselves, overlaps by loops over bytes."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    folder = token_alignment.FOLDER
+    a_tok = Tokenizer.from_file(f"{folder}/{token_alignment.A_FILE}")
+    a_tok.encode_special_tokens = True
+    b_tok = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{token_alignment.B_FILE}")
+    letter = token_alignment.byte_letters()
+    piece = lambda i: bytes([int(b_tok.id_to_piece(i)[3:5], 16)]) if b_tok.is_byte(i) else b_tok.id_to_piece(i).replace("\u2581", " ").encode()
+    found, counts = [], collections.Counter()
+    for i, text in rows:
+        a = a_tok.encode(" " + (text or ""), add_special_tokens=False).ids
+        b = b_tok.encode(text or "")
+        parts = [[bytes(letter[c] for c in a_tok.id_to_token(x)) for x in a], [piece(x) for x in b]]
+        if not text or any(b"".join(p) != (" " + text).encode() for p in parts):
+            found.append((i, None))
+            continue
+        at = [[], []]  # the token of each byte
+        ends = [set(), set()]
+        for k in (0, 1):
+            for n, p in enumerate(parts[k]):
+                at[k] += [n] * len(p)
+                ends[k].add(len(at[k]))
+        links = [(a[x], b[y]) for x, y in sorted(set(zip(*at)))]
+        cuts = sorted(ends[0] & ends[1])
+        groups = []
+        for p, q in zip([0, *cuts], cuts):
+            x, y = (sorted(set(t[p:q])) for t in at)
+            groups.append(",".join(str(a[k]) for k in x) + "|" + ",".join(str(b[k]) for k in y))
+        counts.update(links)
+        found.append((i, (len(a), len(b), groups, links)))
+    most = collections.Counter()
+    for (_, b), n in counts.items():
+        most[b] = max(most[b], n)
+    out = []
+    for i, x in found:
+        if x is None:
+            out.append((i, 0, 0, 0, 0, 0, 0, ""))
+        else:
+            n_a, n_b, groups, links = x
+            sha = hashlib.sha256(";".join(groups).encode()).hexdigest()
+            out.append((i, n_a, n_b, len(groups), len(links), sum(counts[k] == most[k[1]] for k in links), sum(counts[k] for k in links), sha))
+    return out
+
+
+@pytest.mark.parametrize("which", ["real", "awkward"])
+def test_alignment(request, which, monkeypatch):
+    df = request.getfixturevalue(which)
+    want = collections.Counter(plain_alignment([(r["doc_id"], r["text"]) for r in df.collect()]))
+    assert sum(r[1] == 0 for r in want) >= (which == "awkward") * 4
+    assert collections.Counter(tuple(r) for r in token_alignment.align_tokens(df).collect()) == want
+    # Counts joined instead of sent, many small slices, and a memory that is emptied again and again.
+    monkeypatch.setattr(token_alignment, "SLICE_BYTES", 5_000)
+    monkeypatch.setattr(token_alignment, "CACHED", 50)
+    assert collections.Counter(tuple(r) for r in token_alignment.align_tokens(df, sent_pairs=0).collect()) == want
+
+
+def test_alignment_of_spaces_and_empty_tables(spark):
+    texts = ["a", " a", "a ", "  ", " ", "a  b   c", "a\t b", "a \u00a0 b", "a\n\n b", "don't  'll", "x\u2003 y", "\u0085 q", "x\x1c y", "9 9  9", "tab\t\t end  ", "e\u0301 \u0301x", "\U0001f600 \U0001f600\u200d", "<s> </s><0x41>", "A\u2581B C"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in token_alignment.align_tokens(df).collect()) == sorted(plain_alignment(list(enumerate(texts))))
+    assert token_alignment.align_tokens(df.limit(0)).count() == token_alignment.align_tokens(df.limit(0), sent_pairs=-1).count() == 0
+
+
 # --- URL filter ---------------------------------------------------------------------------------------------
 
 
