@@ -8,10 +8,10 @@ depend on its text: each distinct chunk of a slice is encoded and aligned once.
 1. Alignment of all new chunks at once in numpy: cumulative sums of token lengths are the tokens' ends; ends that A and B share
    (``intersect1d``) are cuts, and ``searchsorted`` labels the tokens with their group. A token of A meets the tokens of B from the one that holds its
    first byte to the one that holds its last; ``repeat`` expands these ranges into links.
-2. Each slice sums the links of its chunks, by how often they occur. Spark adds them up in two stages: by (A id, B id, salt), then by (A id, B id). The
-   highest count of each B id, one row for each id of B's vocabulary, comes back by a broadcast.
-3. A second scan gives each document its digest, and its links the counts. The counts go to the tasks if there are at most ``SENT_PAIRS`` of
-   them. Beyond it each document's distinct pairs meet the counts in a join and are added up by document.
+2. Each document keeps its distinct links and how often it has them, in a written table. Spark adds them up in two stages: by (link, salt), so that a link
+   that most documents have is dealt over ``SALTS`` tasks, then by link. The highest count of each B id is one row for each id of B's vocabulary.
+3. The documents' links meet the counts in a join (the counts are broadcast if there are at most ``SENT_PAIRS``) and are added up by document; all of
+   a document's links lie in one partition, so these sums are shuffled as one row for each document.
 
 Defined cases: null and empty texts, and texts whose tokens of A or B don't give back the space and the text, have no tokens: zeros and an empty digest.
 They add no links. Repeated rows count each and give a row each. Very long texts form a slice of their own. An empty table gives an empty result.
@@ -25,6 +25,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,14 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraquill.llm.common import Scratch, utf8
+from terraquill.llm.common import Scratch, bounded_broadcast, utf8
 
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text that are taken at once, and chunks (and their bytes) that a worker remembers before it starts anew.
-SLICE_BYTES = 8 << 20
-CACHED, CACHED_BYTES = 300_000, 16 << 20
-SALTS = 8
+#: Bytes of text that are taken at once, and chunks (and their bytes) that a worker remembers before it forgets the rare ones.
+SLICE_BYTES = 4 << 20
+CACHED, CACHED_BYTES = 400_000, 16 << 20
+SALTS = 16
 SENT_PAIRS = 4_000_000
 
 #: Fixed value: the splitting pattern of the byte-level BPE.
@@ -110,9 +111,6 @@ class Chunks:
 
     def __init__(self, tok: Tokenizers):
         self.tok = tok
-        self.clear()
-
-    def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.texts: list[str] = []
         self.bytes = 0
@@ -120,48 +118,78 @@ class Chunks:
         self.sizes = np.zeros((0, 4), np.int64)
         self.keys = np.zeros(0, np.int64)
         self.ptr = np.zeros(1, np.int64)
+        self.hits = np.zeros(0, np.int64)
 
     def ids(self, flat: list[str]) -> np.ndarray:
         """The chunks' numbers, after the new ones are aligned."""
         if len(self.index) > CACHED or self.bytes > CACHED_BYTES:
-            self.clear()
+            self._forget()
         new = [c for c in dict.fromkeys(flat) if c not in self.index]
         if new:
             self._add(new)
-        return np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        out = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        self.hits += np.bincount(out, minlength=len(self.hits))
+        return out
+
+    def _forget(self) -> None:
+        """Only chunks met more than once stay, at most half of ``CACHED``, of these no long ones; all begin to be counted anew."""
+        most = np.argsort(-self.hits, kind="stable")[: CACHED // 2]
+        stay = np.zeros(len(self.hits), bool)
+        stay[most] = self.hits[most] > 1
+        names = list(self.index)
+        stay &= np.fromiter((len(c) <= 20 for c in names), bool, len(names))
+        kept = np.flatnonzero(stay)
+        self.keys, n = self.links(kept)
+        self.ptr = np.concatenate([[0], np.cumsum(n)])
+        self.sizes, self.hits = self.sizes[kept], np.zeros(len(kept), np.int64)
+        names = [names[k] for k in kept.tolist()]
+        self.texts = [self.texts[k] for k in kept.tolist()]
+        self.index = dict(zip(names, range(len(names))))
+        self.bytes = sum(map(len, names))
 
     def _add(self, new: list[str]) -> None:
         a, b = self.tok.encode(new)
         raw = [b" " + c.encode() for c in new]
         ab, bb = self.tok.a_bytes, self.tok.b_bytes
-        whole = [b"".join(map(ab.__getitem__, x)) == r == b"".join(map(bb.__getitem__, y)) for x, y, r in zip(a, b, raw)]
-        good = [k for k, w in enumerate(whole) if w]
-        n_a, n_b = (np.array([len(x[k]) for k in good], np.int64) for x in (a, b))
-        flat_a, flat_b = (np.fromiter((i for k in good for i in x[k]), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+        flat = lambda ids, n: np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        flat_a, flat_b = flat(a, n_a), flat(b, n_b)
+        good = np.ones(len(new), bool)
+        # Mostly all chunks are given back; only if the slice isn't, each is looked at.
+        if not b"".join(map(ab.__getitem__, flat_a.tolist())) == b"".join(raw) == b"".join(map(bb.__getitem__, flat_b.tolist())):
+            good = np.array([b"".join(map(ab.__getitem__, x)) == r == b"".join(map(bb.__getitem__, y)) for x, y, r in zip(a, b, raw)])
+            flat_a, flat_b = flat_a[np.repeat(good, n_a)], flat_b[np.repeat(good, n_b)]
+        where = np.flatnonzero(good)
         sizes = np.full((len(new), 4), [-1, 0, 0, 0], np.int64)
         texts = [""] * len(new)
         keys = np.zeros(0, np.int64)
-        if good:
+        if len(where):
+            n_a = n_a[where]
             cuts, group_a, group_b, left, right = align(np.cumsum(self.tok.a_size[flat_a]), np.cumsum(self.tok.b_size[flat_b]))
             keys = flat_a[left] << 32 | flat_b[right]
-            chunk_of = np.repeat(np.arange(len(good)), n_a)
-            n_links = np.bincount(chunk_of[left], minlength=len(good))
-            n_groups = np.bincount(np.searchsorted(np.cumsum([len(raw[k]) for k in good]), cuts), minlength=len(good))
-            sizes[good] = np.column_stack([n_a, n_b, n_groups, n_links])
+            n_links = np.bincount(np.repeat(np.arange(len(where)), n_a)[left], minlength=len(where))
+            ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))[where])
+            n_groups = np.bincount(np.searchsorted(ends, cuts), minlength=len(where))
+            sizes[where] = np.column_stack([n_a, n_b[where], n_groups, n_links])
             # Each group as text, then each chunk's groups together.
             names_a, names_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
             to_a, to_b = (np.cumsum(np.bincount(g, minlength=len(cuts))).tolist() for g in (group_a, group_b))
-            groups = [f"{','.join(names_a[p:q])}|{','.join(names_b[r:s])}" for p, q, r, s in zip([0, *to_a], to_a, [0, *to_b], to_b)]
-            to = np.cumsum(n_groups).tolist()
-            for k, p, q in zip(good, [0, *to], to):
-                texts[k] = ";".join(groups[p:q])
-        for k, c in enumerate(new):
-            self.index[c] = len(self.texts) + k
+            groups, p, r = [], 0, 0
+            for q, s in zip(to_a, to_b):
+                x = names_a[p] if q == p + 1 else ",".join(names_a[p:q])
+                groups.append(f"{x}|{names_b[r]}" if s == r + 1 else f"{x}|{','.join(names_b[r:s])}")
+                p, r = q, s
+            p = 0
+            for k, q in zip(where.tolist(), np.cumsum(n_groups).tolist()):
+                texts[k] = groups[p] if q == p + 1 else ";".join(groups[p:q])
+                p = q
+        self.index.update(zip(new, range(len(self.texts), len(self.texts) + len(new))))
         self.texts += texts
         self.bytes += sum(map(len, raw))
         self.sizes = np.concatenate([self.sizes, sizes])
         self.keys = np.concatenate([self.keys, keys])
         self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(sizes[:, 3])])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
 
     def links(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The links of the chunks, one chunk after the other, and how many each has."""
@@ -194,118 +222,60 @@ def _chunked(texts: list[bytes | None], chunks: Chunks) -> tuple[np.ndarray, np.
     return ids, ends, (ends > starts) & (bad[ends] == bad[starts])
 
 
-def _pair_counts(folder: str):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(folder: str):
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = Chunks(tokenizers(folder))
-        salt = 0
         for b in batches:
-            for _, texts in text_slices(b.column(0)):
+            for at, texts in text_slices(b.column(1)):
                 ids, ends, good = _chunked(texts, chunks)
-                ids = ids[np.repeat(good, np.diff(ends, prepend=0))]
-                used, times = np.unique(ids, return_counts=True)
-                keys, n = chunks.links(used)
-                keys, inverse = np.unique(keys, return_inverse=True)
-                total = np.bincount(inverse, weights=np.repeat(times, n)).astype(np.int64)
-                salt += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys >> 32, pa.int32()), pa.array(keys & 0xFFFFFFFF, pa.int32()), pa.array(np.full(len(keys), salt % SALTS), pa.int32()), pa.array(total)],
-                    names=["a", "b", "salt", "n"],
-                )
-
-    return count
-
-
-def pair_counts(docs: DataFrame, folder: str = FOLDER, text_col: str = "text") -> DataFrame:
-    """(a, b, n, best): how many links hold the two ids linked, and whether that is the highest count of the B id."""
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(_pair_counts(folder), "a int, b int, salt int, n long")
-    salted = parts.groupBy("a", "b", "salt").agg(F.sum("n").alias("n"))
-    return salted.groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def with_best(pairs: DataFrame) -> DataFrame:
-    # At most one row for each id of B's vocabulary.
-    most = pairs.groupBy(F.col("b").alias("m_b")).agg(F.max("n").alias("most"))
-    return pairs.join(F.broadcast(most), F.col("b") == F.col("m_b")).select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
-
-
-_DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long"
+                starts = np.concatenate([[0], ends[:-1]])
+                summed = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(chunks.sizes[ids], axis=0)])
+                sizes = np.where(good[:, None], summed[ends] - summed[starts], 0)
+                text_of, numbers = chunks.texts, ids.tolist()
+                digests = [
+                    hashlib.sha256(";".join([text_of[k] for k in numbers[p:q]]).encode()).hexdigest() if g else ""
+                    for p, q, g in zip(starts.tolist(), ends.tolist(), good.tolist())
+                ]
+                # The distinct links of each document: of the slice's links, numbered, those of one document after those of another.
+                keys, n = chunks.links(ids[np.repeat(good, ends - starts)])
+                links, number = np.unique(keys, return_inverse=True)
+                doc = np.repeat(np.repeat(np.arange(len(texts)), np.where(good, ends - starts, 0)), n)
+                pairs, times = np.unique(doc * max(1, len(links)) + number, return_counts=True)
+                per_doc = np.bincount(pairs // max(1, len(links)), minlength=len(texts))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(per_doc)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (links[pairs % max(1, len(links))], times.astype(np.int64))]
+                columns = [b.column(0).slice(at, len(texts)), *(pa.array(sizes[:, k]) for k in range(4)), pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *lists], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "keys", "times"])
 
+    return digest
 
-def _digests(chunks: Chunks, b: pa.RecordBatch) -> Iterator[tuple[list[pa.Array], pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per slice: the digest columns, and the chunks of its documents."""
-    for at, texts in text_slices(b.column(1)):
-        ids, ends, good = _chunked(texts, chunks)
-        starts = np.concatenate([[0], ends[:-1]])
-        summed = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(chunks.sizes[ids], axis=0)])
-        sizes = np.where(good[:, None], summed[ends] - summed[starts], 0)
-        numbers = ids.tolist()
-        digests = [
-            hashlib.sha256(";".join(map(chunks.texts.__getitem__, numbers[p:q])).encode()).hexdigest() if g else ""
-            for p, q, g in zip(starts.tolist(), ends.tolist(), good.tolist())
-        ]
-        columns = [b.column(0).slice(at, len(texts)), *(pa.array(sizes[:, k]) for k in range(4))]
-        yield columns, pa.array(digests, pa.string()), ids, ends, good
 
+_ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys array<long>, times array<long>"
 
-def _scored(folder: str, sent):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(tokenizers(folder))
-        known, counts, best = sent.value
-        for b in batches:
-            for columns, digests, ids, ends, good in _digests(chunks, b):
-                used, inverse = np.unique(ids, return_inverse=True)
-                keys, n = chunks.links(used)
-                # Chunks of documents without tokens may hold pairs that are never linked.
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1) if len(known) else np.zeros(len(keys), np.int64)
-                hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
-                starts = np.concatenate([[0], ends[:-1]])
-                out = []
-                for per_link in (best, counts):
-                    got = np.concatenate([[0], np.cumsum(np.where(hit, per_link[at], 0) if len(known) else np.zeros(len(keys), np.int64))])
-                    to = np.cumsum(n)
-                    per_chunk = (got[to] - got[to - n])[inverse]
-                    per_doc = np.concatenate([[0], np.cumsum(per_chunk)])
-                    out.append(pa.array(np.where(good, per_doc[ends] - per_doc[starts], 0)))
-                yield pa.RecordBatch.from_arrays([*columns, *out, digests], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
-    return score
+def pair_counts(each: DataFrame) -> DataFrame:
+    """(key, n, best): how many links hold the two ids linked, and whether that is the highest count of the B id. ``each``: key, times."""
+    salted = each.groupBy("key", F.pmod("row", F.lit(SALTS)).alias("salt")).agg(F.sum("times").alias("n"))
+    return salted.groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _with_pairs(folder: str):
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(tokenizers(folder))
-        for b in batches:
-            for columns, digests, ids, ends, good in _digests(chunks, b):
-                keys, times = [], []
-                for q, n, g in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), good.tolist()):
-                    k, t = np.unique(chunks.links(ids[q - n : q])[0] if g else np.zeros(0, np.int64), return_counts=True)
-                    keys.append(k)
-                    times.append(t)
-                lists = [pa.array(keys, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*columns, digests, *lists], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "keys", "times"])
-
-    return pairs
+def with_best(pairs: DataFrame) -> DataFrame:
+    b = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+    # At most one row for each id of B's vocabulary.
+    most = pairs.groupBy(b.alias("b")).agg(F.max("n").alias("most"))
+    return pairs.join(F.broadcast(most), b == F.col("b")).select("key", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
 def align_tokens(docs: DataFrame, folder: str = FOLDER, id_col: str = "doc_id", text_col: str = "text", sent_pairs: int = SENT_PAIRS) -> DataFrame:
     """One row for each document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "token_alignment")
+    scratch = Scratch(docs.sparkSession, "token_alignment")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = scratch.save(pair_counts(slim, folder), "counts")
-    pairs = scratch.save(with_best(counts), "pairs")
-    key = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("key")
-    if pairs.count() <= sent_pairs:
-        table = pairs.select(key, "n", F.col("best").cast("long").alias("best")).toArrow()
-        known, n, best = (table.column(c).to_numpy() for c in ("key", "n", "best"))
-        order = np.argsort(known)
-        sent = spark.sparkContext.broadcast((known[order], n[order], best[order]))
-        return slim.mapInArrow(_scored(folder, sent), f"{_DIGEST}, n_best long, count_sum long, groups_sha256 string")
-    schema = f"{_DIGEST}, groups_sha256 string, keys array<long>, times array<long>"
-    rows = scratch.save(slim.mapInArrow(_with_pairs(folder), schema).withColumn("row", F.monotonically_increasing_id()), "rows")
-    each = rows.select("row", F.inline(F.arrays_zip("keys", "times"))).withColumnRenamed("keys", "key").join(pairs.select(key, "n", "best"), "key")
+    rows = scratch.save(slim.mapInArrow(_digests(folder), _ALIGNED).withColumn("row", F.monotonically_increasing_id()), "rows")
+    each = rows.select("row", F.inline(F.arrays_zip(F.col("keys").alias("key"), "times")))
+    pairs = scratch.save(with_best(scratch.save(pair_counts(each), "counts")), "pairs")
+    scored = each.join(bounded_broadcast(pairs, sent_pairs), "key")
     best = F.sum(F.when(F.col("best"), F.col("times")).otherwise(0))
-    sums = each.groupBy("row").agg(best.alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum"))
+    sums = scored.groupBy("row").agg(best.alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum"))
     return rows.drop("keys", "times").join(sums, "row", "left").select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")), "groups_sha256"
     )
