@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from terraquill import settings as S
 from terraquill.catalog.base import SETTLEMENTS, TRACKS, query, settlements, table, tracks
 from terraquill.functions import geometry as G
 from terraquill.functions import rules as R
-from terraquill.operators import spatial, tessellation
+from terraquill.operators import overlay, relocation, spatial, tessellation, voronoi
+from terraquill.plans import target_area as areas
 
 #: Extents: a square of 150 m for each nation.
 _EXTENTS = "extents AS (SELECT n_nationkey AS extent, CAST(n_nationkey * 173 % 850 AS DOUBLE) AS x0, CAST(n_nationkey * 311 % 850 AS DOUBLE) AS y0 FROM nation)"
@@ -100,10 +103,48 @@ def regular_grid(spark, sf_dir):
     )
 
 
-@query(f"WITH {_EXTENTS} SELECT extent % 4 AS code, CAST(count(*) AS BIGINT) AS pieces, 22500.0 * count(*) AS area FROM extents GROUP BY 1")
+#: The area of a union of boxes: the plane cut at all of their edges, and the rectangles counted that some box of the code covers.
+_UNION = """xs AS (SELECT code, v AS a, lead(v) OVER (PARTITION BY code ORDER BY v) AS b FROM (SELECT DISTINCT code, unnest([x0, x0 + side]) AS v FROM boxes)),
+ys AS (SELECT code, v AS a, lead(v) OVER (PARTITION BY code ORDER BY v) AS b FROM (SELECT DISTINCT code, unnest([y0, y0 + side]) AS v FROM boxes)),
+u AS (SELECT xs.code, sum((xs.b - xs.a) * (ys.b - ys.a)) AS area FROM xs JOIN ys ON xs.code = ys.code
+  WHERE EXISTS (SELECT 1 FROM boxes q WHERE q.code = xs.code AND q.x0 <= xs.a AND q.x0 + side >= xs.b AND q.y0 <= ys.a AND q.y0 + side >= ys.b) GROUP BY 1)"""
+
+
+@query(f"""WITH {_EXTENTS}, boxes AS (SELECT extent % 4 AS code, x0, y0, 150.0 AS side FROM extents), {_UNION}
+SELECT code, count(*) AS pieces, round(any_value(u.area), 4) AS area FROM boxes JOIN u USING (code) GROUP BY 1""")
 def dissolve(spark, sf_dir):
-    d = spatial.dissolve(extents(spark, sf_dir).withColumn("code", F.col("extent") % 4), ["code"], "ring")
-    return d.select("code", F.size("rings").cast("long").alias("pieces"), "area")
+    d = overlay.dissolve(extents(spark, sf_dir).withColumn("code", F.col("extent") % 4), ["code"], "ring", 100.0)
+    return d.select("code", F.col("n_parts").alias("pieces"), F.round("area", 4).alias("area"))
+
+
+@query(f"""WITH {SETTLEMENTS}, boxes AS (SELECT nation AS code, x - 10 - key % 3 * 5 AS x0, y - 10 AS y0, 40.0 AS side FROM settlements), {_UNION}
+SELECT code, count(*) AS n_parts, round(any_value(u.area), 4) AS area FROM boxes JOIN u USING (code) GROUP BY 1""")
+def settled_area(spark, sf_dir):
+    """The union of the squares around a nation's settlements, which overlap, touch and stand on one another."""
+    s = settlements(spark, sf_dir)
+    x0, y0 = F.col("x") - 10 - F.col("key") % 3 * 5, F.col("y") - 10
+    d = overlay.dissolve(s.select(F.col("nation").alias("code"), G.box(x0, y0, x0 + 40, y0 + 40).alias("ring")), ["code"], "ring", 125.0)
+    return d.select("code", "n_parts", F.round("area", 4).alias("area"))
+
+
+@query(f"""WITH {_EXTENTS}, b AS (SELECT extent, x0 AS l, y0 AS b, x0 + 150 AS r, y0 + 150 AS t, x0 + 30 AS hl, y0 + 40 AS hb, x0 + 100 AS hr, y0 + 120 AS ht FROM extents),
+p AS (SELECT n.s_suppkey AS supplier, CAST(n.s_suppkey * 71 % 900 AS DOUBLE) AS l, CAST(n.s_suppkey * 29 % 900 AS DOUBLE) AS b FROM supplier n),
+q AS (SELECT supplier, l, b, l + 90 AS r, b + 80 AS t, l + 35 AS hl, b + 25 AS hb, l + 90 AS hr, b + 80 AS ht FROM p),
+o AS (SELECT extent, supplier,
+  greatest(0, least(b.r, q.r) - greatest(b.l, q.l)) * greatest(0, least(b.t, q.t) - greatest(b.b, q.b)) - greatest(0, least(b.hr, q.r) - greatest(b.hl, q.l)) * greatest(0, least(b.ht, q.t) - greatest(b.hb, q.b))
+  - greatest(0, least(b.r, q.hr) - greatest(b.l, q.hl)) * greatest(0, least(b.t, q.ht) - greatest(b.b, q.hb)) + greatest(0, least(b.hr, q.hr) - greatest(b.hl, q.hl)) * greatest(0, least(b.ht, q.ht) - greatest(b.hb, q.hb)) AS area
+  FROM b, q) SELECT extent, supplier, round(area, 4) AS area FROM o WHERE area > 1e-9""")
+def overlay_of_frames(spark, sf_dir):
+    """Extents with a hole against corner-shaped plots, neither of them convex."""
+    x0, y0 = F.col("x0"), F.col("y0")
+    frames = extents(spark, sf_dir).select("extent", F.array(G.box(x0, y0, x0 + 150, y0 + 150), G.box(x0 + 30, y0 + 40, x0 + 100, y0 + 120)).alias("rings"))
+    k = F.col("s_suppkey")
+    l, b = (k * 71 % 900).cast("double"), (k * 29 % 900).cast("double")
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    bend = F.array(corner(l, b), corner(l + 90, b), corner(l + 90, b + 25), corner(l + 35, b + 25), corner(l + 35, b + 80), corner(l, b + 80))
+    plots = table(spark, sf_dir, "supplier").select(k.alias("supplier"), F.array(bend).alias("plot"))
+    o = overlay.overlay(frames, plots, "rings", "plot", 60.0)
+    return o.groupBy("extent", "supplier").agg(F.round(F.sum("piece_area"), 4).alias("area"))
 
 
 @query(f"""WITH {_EXTENTS}, g AS (SELECT i * 120.0 AS gx, j * 120.0 AS gy, i * 10 + j AS cell FROM (SELECT unnest(range(9)) AS i), (SELECT unnest(range(9)) AS j))
@@ -112,31 +153,100 @@ WHERE least(x0 + 150, gx + 120) > greatest(x0, gx) AND least(y0 + 150, gy + 120)
 def clip_overlay_area(spark, sf_dir):
     cells = spark.range(81).select((F.floor(F.col("id") / 9) * 10 + F.col("id") % 9).alias("cell"), (F.floor(F.col("id") / 9) * 120.0).alias("gx"), (F.col("id") % 9 * 120.0).alias("gy"))
     gx, gy = F.col("gx"), F.col("gy")
-    o = tessellation.overlay(extents(spark, sf_dir), cells.select("cell", G.box(gx, gy, gx + 120, gy + 120).alias("cell_ring")), "ring", "cell_ring", 60.0)
-    return o.select("extent", "cell", F.round("piece_area", 4).alias("piece_area"))
+    e = extents(spark, sf_dir).select("extent", F.array("ring").alias("rings"))
+    o = overlay.overlay(e, cells.select("cell", F.array(G.box(gx, gy, gx + 120, gy + 120)).alias("cell_rings")), "rings", "cell_rings", 75.0)
+    return o.groupBy("extent", "cell").agg(F.round(F.sum("piece_area"), 4).alias("piece_area"))
 
 
 @query()
 def voronoi_area(spark, sf_dir):
     """Cells of distinct settlement points; they sum to the envelope's area."""
-    p = settlements(spark, sf_dir).groupBy("x", "y").agg(F.min("key").alias("key"))
-    v = tessellation.voronoi_cells(p, "key", (0.0, 0.0, 1000.0, 1000.0), 80.0)
+    v = voronoi.voronoi_cells(settlements(spark, sf_dir).select("key", "x", "y"), "key", (0.0, 0.0, 1000.0, 1000.0))
     return v.select("key", F.round(G.area(F.col("ring")), 4).alias("area"))
 
 
 @query()
 def dispersion(spark, sf_dir):
-    """Settlements pushed apart for ten rounds: on the plane of 1000 x 1000 metres they never find the room that they ask for."""
-    moved = tessellation.disperse(settlements(spark, sf_dir).select("key", "x", "y"), "key", rounds=10)
+    """Settlements pushed apart on a plane ten times as wide; some stand on one another."""
+    s = settlements(spark, sf_dir).select("key", (10 * F.col("x")).alias("x"), (10 * F.col("y")).alias("y"))
+    moved = tessellation.disperse(s, "key")
     return moved.select("key", F.round("x_new", 4).alias("x_new"), F.round("y_new", 4).alias("y_new"))
 
 
+@query()
+def moves_within_wards(spark, sf_dir):
+    """Settlements that stand too near to another one, moved inside their ward of 2500 x 2500 m or to an extent, on a plane ten times as wide."""
+    s = settlements(spark, sf_dir).select("key", (10 * F.col("x")).alias("x"), (10 * F.col("y")).alias("y"))
+    near = spatial.neighbours(s, S.NEIGHBOUR_METRES, "key").select("key", "x", "y", (F.col("n_near") > 0).alias("too_near"))
+    i, j = F.floor(F.col("id") / 4) * 2500.0, F.col("id") % 4 * 2500.0
+    wards = spark.range(16).select(F.col("id").alias("ward"), G.box(i, j, i + 2500, j + 2500).alias("ward_ring"))
+    x0, y0 = 10 * F.col("x0"), 10 * F.col("y0")
+    e = extents(spark, sf_dir).select("extent", G.box(x0, y0, x0 + 150, y0 + 150).alias("extent_ring"))
+    moved = relocation.move_within_wards(near, "key", wards, "ward", "ward_ring", e, "extent", "extent_ring")
+    return moved.select("key", "too_near", F.round("x_new", 4).alias("x_new"), F.round("y_new", 4).alias("y_new"))
+
+
 @query()
 def target_area(spark, sf_dir):
     """Voronoi cells cut to the extents; circles where nothing is left."""
     e = extents(spark, sf_dir).withColumn("type", F.when(F.col("extent") % 3 == 0, "Built-up Area").otherwise("other"))
     a = tessellation.target_area(settlements(spark, sf_dir), e, "key", (0.0, 0.0, 1000.0, 1000.0), 80.0)
-    return a.select("key", "type", F.round(G.area(F.col("ring")), 3).alias("area"))
+    area = F.aggregate("ring", F.lit(0.0), lambda s, r: s + G.area(r))
+    return a.select("key", "type", F.round(area, 3).alias("area"))
+
+
+#: The settlements of a state on a full lattice of 40 m, so that inner cells are boxes; wards of 130 m; extents of 90 m with a hole of 20 m, and lanes of 10 m.
+_LATTICE = """n AS (SELECT key, state, nation, row_number() OVER (PARTITION BY state ORDER BY key) - 1 AS i, CAST(floor(sqrt(count(*) OVER (PARTITION BY state))) AS BIGINT) AS side
+  FROM settlements WHERE key % 50 <> 7),
+l AS (SELECT key, state, side, i % side AS i, i // side % side AS j, 10.0 + 40 * (i % side) AS x, 10.0 + 40 * (i // side % side) AS y FROM n),
+b AS (SELECT *, floor(x / 130) * 130 AS wx, floor(y / 130) * 130 AS wy, floor(x / 100) * 100 AS ex, floor(y / 100) * 100 AS ey FROM l),
+f AS (SELECT *, least(i, j) > 0 AND greatest(i, j) < side - 1 AND greatest(x, y) < 2600 AND x - ex < 90 AND y - ey < 90 AND NOT (x - ex >= 60 AND x - ex < 80 AND y - ey >= 60 AND y - ey < 80) AS held,
+  greatest(0, least(x + 20, wx + 130, ex + 90) - greatest(x - 20, wx, ex)) * greatest(0, least(y + 20, wy + 130, ey + 90) - greatest(y - 20, wy, ey)) AS box_area,
+  greatest(0, least(x + 20, wx + 130, ex + 80) - greatest(x - 20, wx, ex + 60)) * greatest(0, least(y + 20, wy + 130, ey + 80) - greatest(y - 20, wy, ey + 60)) AS hole FROM b)"""
+
+
+def lattice(spark, sf_dir):
+    """(key, state, x, y, region): settlements on a lattice of their state; some without coordinates."""
+    s = settlements(spark, sf_dir)
+    s = s.join(F.broadcast(table(spark, sf_dir, "region")), F.col("state") == F.col("r_name")).select("key", "state", F.col("r_regionkey").alias("region"))
+    w = Window.partitionBy("state")
+    n = s.where("key % 50 <> 7").withColumns({"i": F.row_number().over(w.orderBy("key")) - 1, "side": F.floor(F.sqrt(F.count("*").over(w))).cast("long")})
+    i, j = F.expr("i % side"), F.expr("i div side % side")
+    on = n.select("key", "state", (10.0 + 40 * i + 10_000 * F.col("region")).alias("x"), (10.0 + 40 * j).alias("y"))
+    return on.unionByName(s.where("key % 50 = 7").select("key", "state"), allowMissingColumns=True)
+
+
+def lattice_frames(spark, sf_dir, count: int, width: float):
+    """``count`` x ``count`` places of ``width`` in each state: state, i, j, x, y."""
+    cells = table(spark, sf_dir, "region").select(F.col("r_name").alias("state"), "r_regionkey", F.explode(F.sequence(F.lit(0), F.lit(count * count - 1))).alias("n"))
+    i, j = F.floor(F.col("n") / count), F.col("n") % count
+    return cells.select("state", i.alias("i"), j.alias("j"), (i * width + 10_000.0 * F.col("r_regionkey")).alias("x"), (j * width).alias("y"))
+
+
+def lattice_areas(spark, sf_dir):
+    x, y = F.col("x"), F.col("y")
+    wards = lattice_frames(spark, sf_dir, 20, 130.0)
+    wards = wards.select("state", F.col("i").cast("string").alias("lga"), F.col("j").cast("string").alias("ward"), G.box(x, y, x + 130, y + 130).alias("ring"))
+    e = lattice_frames(spark, sf_dir, 26, 100.0)
+    kind = F.when((F.col("i") + F.col("j")) % 2 == 0, "Built-up Area").otherwise("other")
+    e = e.select(F.array(G.box(x, y, x + 90, y + 90), G.box(x + 60, y + 60, x + 80, y + 80)).alias("rings"), kind.alias("type"))
+    return areas.target_areas(lattice(spark, sf_dir), wards, e, "key", 500.0)
+
+
+@query(f"""WITH {SETTLEMENTS}, {_LATTICE} SELECT key, state, CASE WHEN held THEN 'cell' ELSE 'circle' END AS origin,
+  CASE WHEN NOT held THEN NULL WHEN (ex + ey) % 200 = 0 THEN 'Built-up Area' ELSE 'other' END AS type, round(CASE WHEN held THEN box_area - hole ELSE 320000 * sin(pi() / 32) END, 3) AS area FROM f
+UNION ALL SELECT key, state, 'none', NULL, NULL FROM settlements WHERE key % 50 = 7""")
+def target_area_chain(spark, sf_dir):
+    """Settlements, their cells, own wards and extents: every settlement once."""
+    return lattice_areas(spark, sf_dir).select("key", "state", "origin", "type", F.round("area", 3).alias("area"))
+
+
+@query()
+def target_area_grid(spark, sf_dir):
+    """The cells of the chain's areas with the tracks in them as buildings."""
+    t = tracks(spark, sf_dir).select(F.col("x"), F.col("y"))
+    g = areas.gridded_target_areas(lattice_areas(spark, sf_dir), t, "key")
+    return g.withColumn("area", F.round("area", 4))
 
 
 @query(f"""WITH {TRACKS}, {_EXTENTS}, e AS (SELECT *, CASE WHEN extent % 3 = 0 THEN 50.0 ELSE 100.0 END AS s FROM extents),

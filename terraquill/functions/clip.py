@@ -41,24 +41,6 @@ def clip_ring(ring: list[Point], convex: list[Point]) -> list[Point]:
     return ring
 
 
-def voronoi_cell(seed: Point, others: list[Point], envelope: list[Point]) -> tuple[list[Point], float]:
-    """The cell of a seed among others, inside a convex envelope, and the distance of its farthest corner.
-
-    Others are taken by distance; one at least twice as far as the farthest corner can cut nothing off.
-    """
-    ring = list(envelope)
-    far = max(math.dist(seed, p) for p in ring)
-    for d, o in sorted((math.dist(seed, o), o) for o in others):
-        if d >= 2 * far or not ring:
-            break
-        if d == 0:
-            continue
-        a, b = o[0] - seed[0], o[1] - seed[1]
-        ring = _cut(ring, a, b, (o[0] ** 2 + o[1] ** 2 - seed[0] ** 2 - seed[1] ** 2) / 2)
-        far = max((math.dist(seed, p) for p in ring), default=0.0)
-    return ring, far
-
-
 def _points(ring) -> list[Point]:
     pts = [(p["x"], p["y"]) for p in ring]
     return pts[:-1] if len(pts) > 1 and pts[0] == pts[-1] else pts
@@ -77,11 +59,39 @@ def intersection(ring: Column, convex: Column) -> Column:
     return F.pandas_udf(_intersections, RING)(ring, convex)
 
 
-def _cells(x: pd.Series, y: pd.Series, others: pd.Series, envelope: pd.Series) -> pd.DataFrame:
-    found = [voronoi_cell((a, b), [(p["x"], p["y"]) for p in o], _points(e)) for a, b, o, e in zip(x, y, others, envelope)]
-    return pd.DataFrame({"ring": [_ring(r) for r, _ in found], "far": [f for _, f in found]})
+FLAGGED = "array<struct<x:double,y:double,ok:boolean>>"
+
+
+def cut_flagged(seed: Point, others: list[Point], ring: list[tuple[float, float, bool]], same: float) -> list[tuple[float, float, bool]]:
+    """A convex ring around a seed without what is nearer to one of the others. Corners that stay keep their flag, new ones have False; a
+    corner within ``same`` of a cut stays as it is."""
+    for o in sorted(others, key=lambda p: math.dist(seed, p)):
+        length = math.dist(seed, o)
+        if not length:
+            continue
+        a, b = (o[0] - seed[0]) / length, (o[1] - seed[1]) / length
+        off = [a * (p[0] - seed[0]) + b * (p[1] - seed[1]) - length / 2 for p in ring]
+        out = []
+        for k, (p, dp) in enumerate(zip(ring, off)):
+            q, dq = ring[(k + 1) % len(ring)], off[(k + 1) % len(ring)]
+            if dp <= same:
+                out.append(p)
+            if (dp < -same and dq > same) or (dp > same and dq < -same):
+                t = dp / (dp - dq)
+                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1]), False))
+        ring = out
+    return ring
+
+
+def _cut_corners(x: pd.Series, y: pd.Series, others: pd.Series, ring: pd.Series, same: pd.Series) -> pd.Series:
+    found = []
+    for a, b, o, r, s in zip(x, y, others, ring, same):
+        corners = [(p["x"], p["y"], bool(p["ok"])) for p in r]
+        cut = cut_flagged((a, b), [(p["x"], p["y"]) for p in o], corners, s) if len(o) else corners
+        found.append([{"x": px, "y": py, "ok": ok} for px, py, ok in cut])
+    return pd.Series(found)
 
 
-def voronoi(x: Column, y: Column, others: Column, envelope: Column) -> Column:
-    """struct<ring, far>: the Voronoi cell of a point among others, and its farthest corner's distance."""
-    return F.pandas_udf(_cells, f"struct<ring:{RING},far:double>")(x, y, others, envelope)
+def cut_corners(x: Column, y: Column, others: Column, ring: Column, same: Column) -> Column:
+    """``cut_flagged`` for each row."""
+    return F.pandas_udf(_cut_corners, FLAGGED)(x, y, others, ring, same)

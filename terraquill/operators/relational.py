@@ -19,13 +19,15 @@ def keep_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 def duplicate_flag(df: DataFrame, columns: list[str], label: str, name: str | None = None, ignore_nulls: bool = False) -> DataFrame:
-    """Labels all rows whose columns occur more than once; ``ignore_nulls``: only where none of them is null."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*columns))
-    twice = n > 1
-    if ignore_nulls:
-        for c in columns:
-            twice = twice & F.col(c).isNotNull()
-    return df.withColumn(name or label, F.when(twice, label))
+    """Labels all rows whose columns occur more than once, nulls equal to each other; ``ignore_nulls``: only where none of them is null. Keys are
+    counted with partial sums and only those that occur twice are joined back, so that rows without a value meet nowhere."""
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns)) if ignore_nulls else F.lit(True)
+    keys = [f"_dup{k}" for k in range(len(columns))]
+    counts = df.where(known).groupBy(*(F.col(c).alias(k) for c, k in zip(columns, keys))).agg(F.count(F.lit(1)).alias("_dup_n")).where("_dup_n > 1")
+    same = (lambda a, b: a == b) if ignore_nulls else (lambda a, b: a.eqNullSafe(b))
+    on = reduce(lambda a, b: a & b, (same(F.col(c), F.col(k)) for c, k in zip(columns, keys)))
+    flagged = df.join(counts, on, "left").withColumn("_dup_label", F.when(F.col("_dup_n").isNotNull(), label))
+    return flagged.select(*(F.col(c) for c in df.columns if c != (name or label)), F.col("_dup_label").alias(name or label))
 
 
 def any_in_group(df: DataFrame, key: list[str], condition: Column, name: str) -> DataFrame:

@@ -12,6 +12,7 @@ from terraquill import settings as S
 from terraquill.functions import geometry as G
 from terraquill.operators import spatial
 from terraquill.operators.graph import cut_lineage
+from terraquill.operators.tables import Rounds
 
 #: Steps to the eight sides in the order in which they are tried (fixed values): right, left, up, down, then the diagonals.
 DIRECTIONS = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, 1), (1, -1), (-1, -1))
@@ -54,9 +55,10 @@ def move_within_wards(
     nobody off. Without extents, or without coordinates, it stays.
 
     All points that are first among those in reach have their turn at once, from one written table to the next: a round costs joins on grid
-    cells, and no ward or cell is gathered. Places that are held off go away at the end of each round, so that a crowd is settled after
-    as many rounds as places fit into it.
+    cells, and no ward or cell is gathered. With them settle all waiting points whose place is the very same: nothing between their turns can hold it off.
+    Places that are held off go away at the end of each round, so that a crowd is settled after as many rounds as places fit into its reach, however many stand there.
     """
+    rounds = Rounds(points.sparkSession, "moves")
     placed = points.where(F.col(flag) & F.col(x).isNotNull() & F.col(y).isNotNull())
     placed = placed.select(F.col(key).alias("_key"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     inside = spatial.points_in_polygons(placed, wards.select(F.col(ward).alias("_ward"), F.col(ward_ring).alias("_wr")), "_wr", "_x", "_y", REACH)
@@ -68,27 +70,32 @@ def move_within_wards(
     celled = lambda d: d.withColumns({"_cx": G.cell(F.col("_x"), REACH), "_cy": G.cell(F.col("_y"), REACH)}).select(*columns)
     own = celled(placed.withColumns({"_slot": F.lit(0), "_sx": F.col("_x"), "_sy": F.col("_y")}))
     spots = own.unionByName(celled(tried.where("_ward = _home").dropDuplicates(["_key", "_slot"])))
-    spots = cut_lineage(spots.withColumn("_o", _order("_key")))
+    spots = rounds.save(spots.withColumn("_o", _order("_key")), "spots")
 
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     settled: list[DataFrame] = []
+    n = 0
     while True:
         first = F.min(F.struct("_slot", "_sx", "_sy")).alias("_spot")
         waiting = spots.groupBy("_key", "_o", "_cx", "_cy").agg(first)
         low = spots.groupBy("_cx", "_cy").agg(F.min("_o").alias("_low")).select("_cx", "_cy", "_low", F.inline(around))
         low = low.groupBy((F.col("_cx") + F.col("i")).alias("_cx"), (F.col("_cy") + F.col("j")).alias("_cy")).agg(F.min("_low").alias("_low"))
-        turn = waiting.join(low, ["_cx", "_cy"]).where("_o = _low").select("_key", "_spot._sx", "_spot._sy")
-        turn = cut_lineage(turn)
-        if turn.isEmpty():
+        holders = waiting.join(low, ["_cx", "_cy"]).where("_o = _low").select(F.col("_key").alias("_holder"), F.col("_spot._sx").alias("_hx"), F.col("_spot._sy").alias("_hy"))
+        taken = rounds.save(holders.groupBy("_hx", "_hy").agg(F.min("_holder").alias("_holder")), f"taken{n}")
+        if taken.isEmpty():
             break
+        same = (F.col("_spot._sx") == F.col("_hx")) & (F.col("_spot._sy") == F.col("_hy"))
+        turn = rounds.save(waiting.join(taken, same).select("_key", "_spot._sx", "_spot._sy"), f"turn{n}")
         settled.append(turn)
         ids = spots.join(turn.select("_key"), "_key", "left_anti").withColumn("_id", F.struct("_key", "_slot"))
-        held = spatial.near_pairs(turn, ids, S.MIN_DISTANCE, "_key", "_id", "_sx", "_sy")
+        held = spatial.near_pairs(taken.withColumnsRenamed({"_hx": "_sx", "_hy": "_sy"}), ids, S.MIN_DISTANCE, "_holder", "_id", "_sx", "_sy")
         held = held.where((F.col("distance") > 0) & (F.col("distance") < S.MIN_DISTANCE)).select(F.col("_b").alias("_id")).distinct()
-        spots = cut_lineage(ids.join(held, "_id", "left_anti").drop("_id"))
+        spots = rounds.save(ids.join(held, "_id", "left_anti").drop("_id"), f"spots{n}")
+        rounds.drop(f"taken{n}", f"spots{n - 1}" if n else "spots")
+        n += 1
 
     none = placed.select("_key", F.col("_x").alias("_sx"), F.col("_y").alias("_sy")).limit(0)
-    done = cut_lineage(reduce(DataFrame.unionByName, settled, none))
+    done = rounds.save(reduce(DataFrame.unionByName, settled, none), "done")
     crowded = placed.join(done, "_key", "left_anti").select(F.col("_key").alias(key), F.col("_x").alias(x), F.col("_y").alias(y))
     centres = nearest_centre(crowded, key, extents, extent, extent_ring, REACH, x, y)
     done = done.unionByName(centres.select(F.col(key).alias("_key"), F.col("centre_x").alias("_sx"), F.col("centre_y").alias("_sy")))

@@ -111,14 +111,30 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, key: str, right_ke
     return left.join(best, key, "left")
 
 
+def stacked(points: DataFrame, key: str, x: str = "x", y: str = "y") -> DataFrame:
+    """(x, y, _first, _second, _n): each distinct place with its two smallest keys (the second null for a lone point) and its number of points. Keys are unique, so
+    that the anti join deals a crowd over all tasks."""
+    heads = points.groupBy(x, y).agg(F.min(key).alias("_first"), F.count("*").alias("_n"))
+    rest = points.join(heads.where("_n > 1").select(F.col("_first").alias(key)), key, "left_anti")
+    seconds = rest.groupBy(F.col(x).alias("_sx"), F.col(y).alias("_sy")).agg(F.min(key).alias("_second"))
+    crowds = heads.where("_n > 1").join(seconds, (F.col(x) == F.col("_sx")) & (F.col(y) == F.col("_sy"))).drop("_sx", "_sy")
+    return crowds.unionByName(heads.where("_n = 1"), allowMissingColumns=True).select(x, y, "_first", "_second", "_n")
+
+
 def neighbours(points: DataFrame, radius: float, key: str, x: str = "x", y: str = "y", farthest: bool = False) -> DataFrame:
-    """Each point with its number of other points within the radius, and the nearest (or farthest) of them."""
-    pairs = near_pairs(points, points, radius, key, key, x, y).where("_a != _b")
+    """Each point with its number of other points within the radius, and the nearest (or farthest) of them, ties to the smallest key. Pairs are made
+    of distinct places with counts, so a crowd at one place makes none; what a place has found is joined back to its points."""
+    at = stacked(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()), key, x, y)
+    pairs = near_pairs(at, at, radius, "_first", "_first", x, y).where("_a != _b")
+    pairs = pairs.join(at.select(F.col("_first").alias("_b"), F.col("_n").alias("_bn")), "_b")
     by = F.struct((-F.col("distance") if farthest else F.col("distance")).alias("d"), F.col("_b").alias("k"))
-    best = pairs.groupBy("_a").agg(F.count("*").alias("n_near"), F.min(by).alias("_best"))
+    best = pairs.groupBy("_a").agg(F.sum("_bn").alias("_others"), F.min(by).alias("_best"))
+    found = at.join(best, F.col("_first") == F.col("_a"), "left").select(F.col(x).alias("_px"), F.col(y).alias("_py"), "_first", "_second", "_n", "_others", "_best")
+    own = F.when(F.col("_n") > 1, F.struct(F.lit(0.0).alias("d"), F.when(F.col(key) == F.col("_first"), F.col("_second")).otherwise(F.col("_first")).alias("k")))
+    joined = points.join(found, (F.col(x) == F.col("_px")) & (F.col(y) == F.col("_py")), "left").withColumn("_best", F.least(own, "_best"))
     d = F.col("_best.d")
-    best = best.select(F.col("_a").alias(key), "n_near", F.col("_best.k").alias("near_key"), (-d if farthest else d).alias("distance"))
-    return points.join(best, key, "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    near = F.coalesce(F.col("_n") - 1, F.lit(0)) + F.coalesce("_others", F.lit(0))
+    return joined.select(*points.columns, near.alias("n_near"), F.col("_best.k").alias("near_key"), (-d if farthest else d).alias("distance"))
 
 
 def grid(polygons: DataFrame, ring: str, size: Column) -> DataFrame:
@@ -128,10 +144,3 @@ def grid(polygons: DataFrame, ring: str, size: Column) -> DataFrame:
     cells = b.withColumn("grid_x", steps("_b.x_min", "_b.x_max")).withColumn("grid_y", steps("_b.y_min", "_b.y_max"))
     x0, y0 = F.col("_b.x_min") + F.col("grid_x") * F.col("_s"), F.col("_b.y_min") + F.col("grid_y") * F.col("_s")
     return cells.withColumn("grid_ring", G.box(x0, y0, x0 + F.col("_s"), y0 + F.col("_s"))).drop("_b", "_s")
-
-
-def dissolve(polygons: DataFrame, key: list[str], ring: str, *first: str) -> DataFrame:
-    """Pieces of a key as one multi-part polygon (``rings``), with its area."""
-    return polygons.groupBy(*key).agg(
-        F.collect_list(ring).alias("rings"), F.sum(G.area(F.col(ring))).alias("area"), *(F.min(c).alias(c) for c in first)
-    )

@@ -1,9 +1,8 @@
-"""Target-area geometry: Voronoi cells, overlays, building counts, point dispersion."""
+"""Target-area geometry: building counts of gridded extents, point dispersion, cells cut to extents."""
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,58 +12,10 @@ from terraquill.functions import clip
 from terraquill.functions import geometry as G
 from terraquill.operators import spatial
 from terraquill.operators.graph import cut_lineage
+from terraquill.operators.overlay import overlay
 from terraquill.operators.relational import drop_unless_whole_group
-
-
-def voronoi_cells(points: DataFrame, key: str, bounds: tuple[float, float, float, float], radius: float, x: str = "x", y: str = "y") -> DataFrame:
-    """(key, x, y, ring, far) for each distinct point inside the bounds, clipped to them.
-
-    A cell needs only the seeds within twice its farthest corner's distance. Each round looks for neighbours within a radius
-    and keeps the cells that it proves complete; the radius doubles for the rest. No seed set is ever gathered in one task.
-    """
-    x0, y0, x1, y1 = bounds
-    envelope = G.box(F.lit(x0), F.lit(y0), F.lit(x1), F.lit(y1))
-    todo = points.select(key, x, y)
-    done: list[DataFrame] = []
-    widest = 2 * math.dist((x0, y0), (x1, y1))
-    while True:
-        pairs = spatial.near_pairs(todo, points, radius, key, key, x, y).where("_a != _b")
-        seeds = points.select(F.col(key).alias("_b"), F.struct(F.col(x).alias("x"), F.col(y).alias("y")).alias("_p"))
-        near = pairs.join(seeds, "_b").groupBy(F.col("_a").alias(key)).agg(F.collect_list("_p").alias("_others"))
-        none = F.array().cast(clip.RING)
-        cells = cut_lineage(
-            todo.join(near, key, "left")
-            .withColumn("_v", clip.voronoi(F.col(x), F.col(y), F.coalesce("_others", none), envelope))
-            .select(key, x, y, F.col("_v.ring").alias("ring"), F.col("_v.far").alias("far"))
-        )
-        if radius >= widest:
-            done.append(cells)
-            break
-        done.append(cells.where(2 * F.col("far") <= radius))
-        todo = cells.where(2 * F.col("far") > radius).select(key, x, y)
-        if todo.isEmpty():
-            break
-        radius *= 2
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
-
-
-def overlay(polygons: DataFrame, convex: DataFrame, ring: str, convex_ring: str, size: float) -> DataFrame:
-    """Pieces of polygons inside convex cells: both sides' columns, piece and piece_area (> 0). Candidates share a grid cell."""
-    a = spatial.polygon_cells(polygons.withColumn("_pa", F.xxhash64(ring)), ring, size)
-    b = spatial.polygon_cells(convex.withColumn("_pb", F.xxhash64(convex_ring)), convex_ring, size)
-    on = ["cell_x", "cell_y"]
-    fine = lambda d: d.where("cell_level = 0").drop("cell_level")
-    wide = lambda d: d.where("cell_level = 1").drop("cell_level")
-    up = lambda d: fine(d).withColumns({c: F.floor(F.col(c) / spatial.COARSER) for c in on}).distinct()
-    # Fine pairs meet on fine cells; a pair with a wide side meets on wide ones.
-    sides = ((fine(a), fine(b)), (wide(a), wide(b)), (wide(a), up(b)), (up(a), wide(b)))
-    pairs = reduce(DataFrame.unionByName, (p.join(q, on) for p, q in sides)).drop(*on)
-    pairs = pairs.dropDuplicates(["_pa", "_pb"]).drop("_pa", "_pb")
-    cut = pairs.withColumn("piece", clip.intersection(F.col(ring), F.col(convex_ring)))
-    return cut.where(F.size("piece") > 0).withColumn("piece_area", G.area(F.col("piece"))).where("piece_area > 0")
+from terraquill.operators.tables import Rounds
+from terraquill.operators.voronoi import voronoi_cells
 
 
 def gridded_area(extents: DataFrame, key: str, ring: str, kind: str, buildings: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -83,14 +34,20 @@ def disperse(points: DataFrame, key: str, x: str = "x", y: str = "y", rounds: in
     """Points moved until all are ``MIN_DISTANCE`` apart or the rounds are used up; adds ``x_new`` and ``y_new``.
 
     In each round every point that stands too near to one with a smaller key moves ``TARGET_DISTANCE`` away from the nearest of these. All
-    move at once, from one written table to the next, and pairs meet in grid cells, so that no group of near points is gathered. The
-    direction from a coincident point comes from the key, so reruns agree.
+    move at once, from one written table to the next. Of the points at one place only the smallest key meets other places, in grid cells; the others
+    move away from it, so that a crowd makes no pairs. The direction from a coincident point comes from the key, so reruns agree.
     """
+    rounds_ = Rounds(points.sparkSession, "disperse")
     place = points.select(key, F.col(x).cast("double").alias("x_new"), F.col(y).cast("double").alias("y_new"))
-    for _ in range(rounds):
-        pairs = spatial.near_pairs(place, place, S.MIN_DISTANCE, key, key, "x_new", "y_new")
+    for n in range(rounds):
+        heads = place.groupBy("x_new", "y_new").agg(F.min(key).alias("_head"))
+        pairs = spatial.near_pairs(heads, heads, S.MIN_DISTANCE, "_head", "_head", "x_new", "y_new")
         pairs = pairs.where((F.col("_b") < F.col("_a")) & (F.col("distance") < S.MIN_DISTANCE))
-        near = pairs.groupBy("_a").agg(F.min(F.struct("distance", "_b")).alias("_n")).select("_a", "_n.distance", "_n._b")
+        first = pairs.groupBy("_a").agg(F.min(F.struct("distance", "_b")).alias("_n")).select("_a", "_n.distance", "_n._b")
+        on = [F.col("x_new") == F.col("_hx"), F.col("y_new") == F.col("_hy")]
+        crowd = place.join(heads.withColumnsRenamed({"x_new": "_hx", "y_new": "_hy"}), on).where(F.col(key) != F.col("_head"))
+        near = first.unionByName(crowd.select(F.col(key).alias("_a"), F.lit(0.0).alias("distance"), F.col("_head").alias("_b")))
+        near = rounds_.save(near, f"near{n}")
         if near.isEmpty():
             break
         fixed = place.select(F.col(key).alias("_b"), F.col("x_new").alias("_bx"), F.col("y_new").alias("_by"))
@@ -102,24 +59,27 @@ def disperse(points: DataFrame, key: str, x: str = "x", y: str = "y", rounds: in
             "y_new": F.col("_by") + S.TARGET_DISTANCE * F.when(d > 0, (F.col("y_new") - F.col("_by")) / d).otherwise(F.sin(angle)),
         }
         moved = place.join(near, key, "left").select(key, *(F.when(d.isNotNull(), v).otherwise(F.col(c)).alias(c) for c, v in step.items()))
-        place = cut_lineage(moved)
+        place = rounds_.save(moved, f"place{n}")
+        rounds_.drop(f"near{n}", *([f"place{n - 1}"] if n else []))
     return points.join(place, key)
 
 
-def target_area(settlements: DataFrame, extents: DataFrame, key: str, bounds: tuple[float, float, float, float], radius: float, ring: str = "ring", kind: str = "type", x: str = "x", y: str = "y") -> DataFrame:
-    """(key, x, y, type, ring): the Voronoi cell of each distinct place, cut to the extents; the pieces that hold the settlement's point.
+def target_area(settlements: DataFrame, extents: DataFrame, key: str, bounds: tuple[float, float, float, float], size: float, ring: str = "ring", kind: str = "type", x: str = "x", y: str = "y") -> DataFrame:
+    """(key, x, y, type, ring): the Voronoi cell of each distinct place, cut to the extents; the parts that hold the settlement's point, as convex rings.
 
     A settlement whose point lies in none of its pieces has a circle of ``FALLBACK_BUFFER`` instead, with no type; so have
-    all where there are fewer than four places. Of settlements at one place the smallest key stands for all. ``extents`` are convex.
+    all where there are fewer than four places. Of settlements at one place the smallest key stands for all.
     """
     places = settlements.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.min(key).alias(key)).select(key, x, y)
     circle = G.circle(F.col(x), F.col(y), S.FALLBACK_BUFFER)
     none = F.lit(None).cast("string")
     if places.limit(4).count() < 4:
-        return places.select(key, x, y, none.alias(kind), circle.alias(ring))
-    cells = voronoi_cells(places, key, bounds, radius, x, y).select(key, x, y, F.col("ring").alias("_cell"))
-    pieces = overlay(cells, extents.select(F.col(kind).alias(kind), F.col(ring).alias("_extent")), "_cell", "_extent", radius)
-    kept = pieces.where(G.contains(F.col("piece"), F.col(x), F.col(y))).select(key, x, y, kind, F.col("piece").alias(ring))
+        return places.select(key, x, y, none.alias(kind), F.array(circle).alias(ring))
+    cells = voronoi_cells(places, key, bounds, x, y).select(key, x, y, F.array("ring").alias("_cell"))
+    numbered = extents.select(F.xxhash64(kind, ring).alias("_e"), F.col(kind).alias(kind), F.array(ring).alias("_extent"))
+    pieces = overlay(cells, numbered, "_cell", "_extent", size)
+    hit = F.max(G.contains(F.col("piece"), F.col(x), F.col(y))).alias("_hit")
+    kept = pieces.groupBy(key, x, y, kind, "_e").agg(hit, F.collect_list("piece").alias(ring)).where("_hit").select(key, x, y, kind, ring)
     kept = cut_lineage(kept)
     pending = places.join(kept.select(key).distinct(), key, "left_anti")
-    return kept.unionByName(pending.select(key, x, y, none.alias(kind), circle.alias(ring)))
+    return kept.unionByName(pending.select(key, x, y, none.alias(kind), F.array(circle).alias(ring)))

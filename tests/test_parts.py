@@ -224,3 +224,25 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.cell_x, r.cell_y) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     want = {(r.a, r.b) for r in points.select(G.cell(F.col("x"), 50).alias("a"), G.cell(F.col("y"), 50).alias("b")).distinct().collect()}
     assert got == want
+
+
+def test_geodesic_distances(spark):
+    """Published lines: a survey line of 54,972.271 m, a degree of the equator, the quarter meridian, and degrees of a meridian; and points without or nearly without a line."""
+    e2 = (2 - 1 / 298.257223563) / 298.257223563
+
+    def meridian(a: float, b: float, n: int = 20_000) -> float:
+        at = (math.radians(a + (b - a) * (k + 0.5) / n) for k in range(n))
+        return sum(6378137.0 * (1 - e2) / (1 - e2 * math.sin(p) ** 2) ** 1.5 for p in at) * math.radians(b - a) / n
+
+    lines = [
+        (-37 - 57 / 60 - 3.7203 / 3600, 144 + 25 / 60 + 29.5244 / 3600, -37 - 39 / 60 - 10.1561 / 3600, 143 + 55 / 60 + 35.3839 / 3600, 54_972.271),
+        (0.0, 0.0, 0.0, 1.0, 111_319.491), (0.0, 10.0, 90.0, 10.0, 10_001_965.729), (0.0, 179.5, 0.0, -179.5, 111_319.491),
+        (0.0, 5.0, 1.0, 5.0, 110_574.389), (89.0, 5.0, 90.0, 5.0, meridian(89, 90)), (4.0, 5.0, 14.0, 5.0, meridian(4, 14)), (12.0, 8.0, 12.0, 8.0, 0.0), (12.0, -180.0, 12.0, 180.0, 0.0),
+    ]
+    df = spark.createDataFrame(lines + [(None, 1.0, 2.0, 3.0, None)], "a double, b double, c double, d double, m double")
+    for r in df.withColumn("found", G.geodesic(*(F.col(c) for c in "abcd"))).collect():
+        assert (r.found is None and r.m is None) or abs(r.found - r.m) < 0.001, r
+    # Opposite points: half the way around, within what the fall-back promises.
+    far = spark.createDataFrame([(0.0, 0.0, 0.3, 179.7), (10.0, 20.0, -10.0, -160.0)], "a double, b double, c double, d double")
+    for r in far.withColumn("found", G.geodesic(*(F.col(c) for c in "abcd"))).collect():
+        assert abs(r.found - 20_003_900) < 100_000
