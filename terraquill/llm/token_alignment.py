@@ -40,8 +40,8 @@ from terraquill.llm.common import Scratch, bounded_broadcast, utf8
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that are taken at once, and chunks (and their bytes) that a worker remembers before it forgets the rare ones.
-SLICE_BYTES = 4 << 20
-CACHED, CACHED_BYTES = 400_000, 16 << 20
+SLICE_BYTES = 2 << 20
+CACHED, CACHED_BYTES = 200_000, 8 << 20
 SALTS = 16
 SENT_PAIRS = 4_000_000
 
