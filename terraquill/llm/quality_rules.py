@@ -1,17 +1,13 @@
 """Quality rules with host verdicts.
 
-Every text is held against fixed rules. Rule failures are counted by host, and each host's rate is shrunk with an empirical beta
-prior (``shrinkage``: the spread of the hosts' rates beyond their noise). A host's verdict follows from its posterior,
-a document's own outcome left out, against the prior's mean; both bounds are of ``certainty`` standard deviations:
-
-- ``trusted``: the rate is surely below the mean / ``factor``. Its rare soft failures are forgiven.
-- ``bad``: the rate is surely above the mean * ``factor``. Its documents are held against soft rules of ``strict`` times the thresholds.
-- ``ordinary``: all others, among them hosts too sparse to say. The soft rules hold as they are.
-
-A document that fails a base rule goes whatever its host is, and one far from all rules stays whatever its host is.
+Every text is held against fixed rules. Each soft rule has a margin: the text's value as a share of the rule's threshold, so that 1 is on the threshold; the
+largest one counts. Soft failures are counted by host, and each host's rate is shrunk with an empirical beta prior (``shrinkage``: averaged over the prior's weight). A
+document's log odds to fail are ``firmness`` for each threshold that it is beyond, plus the log odds of its host's posterior (its own outcome left out) over those
+of the prior's mean; it is kept if they are not above 0. So hosts move documents near a rule, the more the surer they are known, and one far from all rules stays whatever its host is. A document
+that fails a base rule goes whatever its host is.
 
 Defined cases: a null text counts as empty (0 words, base rule failed). A null host is a host of its own; a host of one
-document is ordinary, for nothing is known of it but that document. Repeated rows each count and each give a row. An empty table gives an empty result. Other columns of the
+document has the prior's mean, for nothing is known of it but that document. Repeated rows each count and each give a row. An empty table gives an empty result. Other columns of the
 input are ignored.
 """
 
@@ -34,7 +30,7 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_re
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds of the base rule and of the soft rules, and what sets a host apart from the others."""
+    """Thresholds of the base rule and of the soft rules, and the log odds that a whole threshold is worth."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -42,9 +38,7 @@ class Rules:
     min_mean_word: float = 3.0
     max_mean_word: float = 12.0
     max_dup_line_share: float = 0.3
-    factor: float = 2.0
-    certainty: float = 1.645
-    strict: float = 0.5
+    firmness: float = 10.0
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -88,41 +82,35 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def soft_failed(rules: Rules, times: float = 1.0) -> Column:
-    """Whether a text breaks a soft rule; with thresholds at ``times`` their distance from a plain text's."""
+def margin(rules: Rules) -> Column:
+    """The largest share of a soft rule's threshold that a text has; 2 for a text without words."""
     n = F.col("n_words")
-    mean = F.col("word_chars") / F.nullif(n, F.lit(0))
-    middle = (rules.min_mean_word + rules.max_mean_word) / 2
-    reach = (rules.max_mean_word - rules.min_mean_word) / 2 * (1 + times) / 2
-    return (
-        (F.col("n_symbols") > times * rules.max_symbols_per_word * n)
-        | F.coalesce(F.abs(mean - middle) > reach, F.lit(True))
-        | (F.col("n_dup_lines") > times * rules.max_dup_line_share * F.col("n_lines"))
+    middle, reach = (rules.min_mean_word + rules.max_mean_word) / 2, (rules.max_mean_word - rules.min_mean_word) / 2
+    shares = (
+        F.col("n_symbols") / (rules.max_symbols_per_word * F.nullif(n, F.lit(0))),
+        F.abs(F.col("word_chars") / F.nullif(n, F.lit(0)) - middle) / reach,
+        F.coalesce(F.col("n_dup_lines") / (rules.max_dup_line_share * F.nullif(F.col("n_lines"), F.lit(0))), F.lit(0.0)),
     )
+    return F.when(n > 0, F.greatest(*shares)).otherwise(2.0)
 
 
-def host_verdicts(counted: DataFrame, rules: Rules, scratch: Scratch) -> DataFrame:
-    """``counted`` with ``host_rate`` (posterior, the document itself left out) and ``host_verdict``."""
+def with_host_rates(counted: DataFrame, scratch: Scratch) -> DataFrame:
+    """``counted`` with ``host_rate`` (posterior, the document itself left out) and ``host_shift``, its log odds over those of the prior's mean."""
     outcome = F.col("soft_failed").cast("double")
     hosts = scratch.save(counted.groupBy("host").agg(F.count("*").alias("n"), F.sum(outcome).alias("f"), F.sum(outcome).alias("q")), "hosts")
     mean, weight = shrinkage.prior(hosts)
     named = hosts.select(F.col("host").alias("h_host"), F.col("n").alias("h_n"), F.col("f").alias("h_f"))
-    n = F.col("h_n") - 1
-    rate = shrinkage.posterior(F.col("h_f") - outcome, n, mean, weight)
-    margin = rules.certainty * shrinkage.deviation(F.col("host_rate"), n, weight)
-    verdict = (
-        F.when(F.col("host_rate") - margin > rules.factor * mean, "bad")
-        .when(F.col("host_rate") + margin < mean / rules.factor, "trusted")
-        .otherwise("ordinary")
-    )
+    rate = shrinkage.posterior(F.col("h_f") - outcome, F.col("h_n") - 1, mean, weight)
     joined = shrinkage.join_groups(counted, named, {"host": "h_host"}, "h_n")
-    return joined.withColumn("host_rate", rate).withColumn("host_verdict", verdict).drop("h_n", "h_f")
+    inside = F.least(F.greatest(F.col("host_rate"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    shift = F.log(inside / (1 - inside)) - float(np.log(mean / (1 - mean)))
+    return joined.withColumn("host_rate", rate).withColumn("host_shift", shift).drop("h_n", "h_f")
 
 
 def host_quality_rules(
     docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
 ) -> DataFrame:
-    """One row for each document: counts, ``base_failed``, ``soft_failed`` (or a base rule), ``host_rate``, ``host_verdict``, ``kept``."""
+    """One row for each document: counts, ``base_failed``, ``margin``, ``soft_failed`` (or a base rule), ``host_rate``, ``host_shift``, ``kept``."""
     scratch = Scratch(docs.sparkSession, "quality_rules")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, host {slim.schema['host'].dataType.simpleString()}, "
@@ -131,14 +119,10 @@ def host_quality_rules(
     counted = scratch.save(
         slim.mapInArrow(_count_batches, schema + ", ".join(f"{c} long" for c in _COUNTS))
         .withColumn("base_failed", base)
-        .withColumn("soft_failed", base | soft_failed(rules)),
+        .withColumn("margin", margin(rules))
+        .withColumn("soft_failed", base | (F.col("margin") > 1)),
         "counted",
     )
-    judged = host_verdicts(counted, rules, scratch)
-    failed = (
-        F.when(F.col("host_verdict") == "trusted", F.lit(False))
-        .when(F.col("host_verdict") == "bad", F.col("soft_failed") | soft_failed(rules, rules.strict))
-        .otherwise(F.col("soft_failed"))
-    )
-    return judged.withColumn("kept", ~F.col("base_failed") & ~failed)
-
+    judged = with_host_rates(counted, scratch)
+    odds = rules.firmness * (F.col("margin") - 1) + F.col("host_shift")
+    return judged.withColumn("kept", ~F.col("base_failed") & (odds <= 0))
