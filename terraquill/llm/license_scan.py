@@ -6,7 +6,9 @@ diagonal, at most ``MAX_HOLE`` places apart, form a run. From each run on, runs
 go on: each begins after the last place of the one before, at most ``MAX_SHIFT`` diagonals from it, and within the
 template's length times ``MAX_STRETCH``. So a word left out or put in doesn't cut a match, and repeated notices stay apart.
 
-A span is verified by its grams: ``MIN_COVER`` of the template's, or ``MIN_RUN`` of a long template's with that density. Spans that overlap
+A span is verified by its grams: ``MIN_COVER`` of the template's, or ``MIN_RUN`` of a long template's with that density. Licenses that are worded alike are told
+apart by the grams that only one of them has: of each template with another label that shares ``SIBLING`` of a template's grams, the
+span must hold the template's own grams, all of up to ``FEW``, ``KEY_SHARE`` of more. A text of a sibling that is in no template thus has no label. Spans that overlap
 compete: the one with most grams is kept, of equals the first, of these the first template. Kept spans give labels, score and the listed spans.
 
 The three base phrases are templates like the others; on one diagonal with all of a phrase's grams, the
@@ -18,6 +20,8 @@ nothing. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +34,7 @@ MAX_SHIFT = 3
 MIN_COVER = 0.6
 MIN_RUN = 24
 MAX_STRETCH = 1.5
+SIBLING, FEW, KEY_SHARE = 0.4, 4, 0.6
 
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -54,14 +59,42 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl-2", "licensed under the gnu general public license version 2"),
     ("gpl-3", "licensed under the gnu general public license version 3"),
+    ("lgpl-2", "licensed under the gnu lesser general public license version 2 1"),
+    ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
+    ("agpl-3", "licensed under the gnu affero general public license version 3"),
+    ("gpl-2", "the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3", "the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2", "the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3", "the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3", "the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details"),
+    ("lgpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details"),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("all-rights-reserved", "all rights reserved"),
+    ("mit", "spdx license identifier mit"),
+    ("isc", "spdx license identifier isc"),
+    ("apache-2", "spdx license identifier apache 2 0"),
+    ("bsd", "spdx license identifier bsd 2 clause"),
+    ("bsd-3", "spdx license identifier bsd 3 clause"),
+    ("gpl-2", "spdx license identifier gpl 2 0"),
+    ("gpl-3", "spdx license identifier gpl 3 0"),
+    ("lgpl-2", "spdx license identifier lgpl 2 1"),
+    ("lgpl-3", "spdx license identifier lgpl 3 0"),
+    ("agpl-3", "spdx license identifier agpl 3 0"),
+    ("mpl-2", "spdx license identifier mpl 2 0"),
+    ("zlib", "spdx license identifier zlib"),
+    ("unlicense", "spdx license identifier unlicense"),
 )
 
 
@@ -93,6 +126,26 @@ def template_grams(spark: SparkSession, base: tuple = BASE_PHRASES, templates: t
     )
 
 
+def requirements(base: tuple = BASE_PHRASES, templates: tuple = TEMPLATES) -> list[tuple[int, list[int], int]]:
+    """(template, its places that a sibling's grams don't have, how many of them a span must hold), one for each sibling."""
+    texts = [(label, text.split(" ")) for label, text in (*base, *templates)]
+    sets = [[tuple(w[j : j + GRAM]) for j in range(len(w) - GRAM + 1)] for _, w in texts]
+    found = []
+    for k in range(len(base), len(texts)):
+        for m in range(len(base), len(texts)):
+            if texts[k][0] != texts[m][0]:
+                own = [j for j, g in enumerate(sets[k]) if g not in set(sets[m])]
+                if own and len(sets[k]) - len(own) >= SIBLING * len(sets[k]):
+                    found.append((k, own, len(own) if len(own) <= FEW else math.ceil(KEY_SHARE * len(own))))
+    return found
+
+
+def required_places(spark: SparkSession) -> DataFrame:
+    """(q_template, needs): for each template with siblings, the places and numbers of ``requirements``; a few dozen rows."""
+    rows = [F.struct(F.lit(k).alias("q_template"), F.array(*map(F.lit, own)).alias("own"), F.lit(n).alias("need")) for k, own, n in requirements()]
+    return spark.range(1).select(F.inline(F.array(*rows))).groupBy("q_template").agg(F.collect_list(F.struct("own", "need")).alias("needs"))
+
+
 def diagonal_votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """(doc_id, text_key, template ..., diagonal, t_place): one row for each gram that a text shares with a template."""
     shared = (
@@ -113,7 +166,7 @@ def runs(votes: DataFrame, key: list[str]) -> DataFrame:
     placed = votes.withColumn("opens", opens).withColumn("run", F.sum("opens").over(along))
     first, last = F.min("t_place"), F.max("t_place")
     return placed.groupBy(*key, "diagonal", "run").agg(
-        first.alias("first"), last.alias("last"), F.count("*").cast("int").alias("n"),
+        first.alias("first"), last.alias("last"), F.count("*").cast("int").alias("n"), F.collect_list("t_place").alias("places"),
         (F.col("diagonal") + first).alias("start"), (F.col("diagonal") + last + GRAM).alias("end"),
     )
 
@@ -123,22 +176,26 @@ def notices(votes: DataFrame, match: list[str]) -> DataFrame:
     key = [*match, "label", "n_grams"]
     longest = int(MAX_STRETCH * max(len(text.split(" ")) for _, text in TEMPLATES))
     ahead = Window.partitionBy(*match).orderBy("start").rangeBetween(0, longest)
-    parts = F.collect_list(F.struct("first", "start", "last", "end", "n", "diagonal")).over(ahead)
+    parts = F.collect_list(F.struct("first", "start", "last", "end", "n", "diagonal", "places")).over(ahead)
     merged = F.expr(
         f"""aggregate(
             filter(ahead, x -> x.end <= start + {MAX_STRETCH} * (n_grams + {GRAM - 1})),
-            named_struct('last', last, 'end', end, 'n', n, 'diagonal', diagonal),
+            named_struct('last', last, 'end', end, 'n', n, 'diagonal', diagonal, 'places', places),
             (a, x) -> if(x.first > a.last and x.start > a.end - {GRAM} and abs(x.diagonal - a.diagonal) <= {MAX_SHIFT},
-                named_struct('last', x.last, 'end', x.end, 'n', a.n + x.n, 'diagonal', x.diagonal), a))"""
+                named_struct('last', x.last, 'end', x.end, 'n', a.n + x.n, 'diagonal', x.diagonal, 'places', concat(a.places, x.places)), a))"""
     )
     words = F.col("end") - F.col("start") - (GRAM - 1)
+    has_keys = F.coalesce(F.forall("needs", lambda r: F.size(F.array_intersect(F.col("places"), r["own"])) >= r["need"]), F.lit(True))
     return (
         runs(votes, key)
         .withColumn("ahead", F.array_sort(parts))
         .withColumn("m", merged)
-        .select(*key, "start", F.col("m.end").alias("end"), F.col("m.n").alias("n"))
+        .select(*key, "start", F.col("m.end").alias("end"), F.col("m.n").alias("n"), F.col("m.places").alias("places"))
         .withColumn("cover", F.col("n") / F.col("n_grams"))
         .where((F.col("cover") >= MIN_COVER) | ((F.col("n") >= MIN_RUN) & (F.col("n") >= MIN_COVER * words)))
+        .join(F.broadcast(required_places(votes.sparkSession)), F.col("template") == F.col("q_template"), "left")
+        .where(has_keys)
+        .drop("q_template", "needs", "places")
     )
 
 

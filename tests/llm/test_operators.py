@@ -459,14 +459,23 @@ def brute_notices(words: list[str]) -> list[tuple[int, int, str]]:
             run = [qs[0]]
             for q in [*qs[1:], 10**9]:
                 if q - run[-1] > license_scan.MAX_HOLE:
-                    runs.append((run[0], d + run[0], run[-1], d + run[-1] + 3, len(run), d))
+                    runs.append((run[0], d + run[0], run[-1], d + run[-1] + 3, len(run), d, run))
                     run = []
                 run.append(q)
-        for first, start, last, end, n, d in runs:
-            for f2, s2, l2, e2, n2, d2 in sorted(r for r in runs if r[1] >= start and r[3] <= start + license_scan.MAX_STRETCH * len(t)):
+        for first, start, last, end, n, d, held in runs:
+            for f2, s2, l2, e2, n2, d2, h2 in sorted(r for r in runs if r[1] >= start and r[3] <= start + license_scan.MAX_STRETCH * len(t)):
                 if f2 > last and s2 > end - 3 and abs(d2 - d) <= license_scan.MAX_SHIFT:
-                    last, end, n, d = l2, e2, n + n2, d2
-            if n >= license_scan.MIN_COVER * n_grams or (n >= license_scan.MIN_RUN and n >= license_scan.MIN_COVER * (end - start - 2)):
+                    last, end, n, d, held = l2, e2, n + n2, d2, held + h2
+            if not (n >= license_scan.MIN_COVER * n_grams or (n >= license_scan.MIN_RUN and n >= license_scan.MIN_COVER * (end - start - 2))):
+                continue
+            mine = {tuple(t[q : q + 3]) for q in range(n_grams)}
+            own = []  # for each sibling, what only this template has
+            for name, other in license_scan.TEMPLATES:
+                theirs = {tuple(other.split()[q : q + 3]) for q in range(len(other.split()) - 2)}
+                at = [q for q in range(n_grams) if tuple(t[q : q + 3]) not in theirs]
+                if name != label and at and mine and n_grams - len(at) >= 0.4 * n_grams:
+                    own.append(at)
+            if all(len(set(at) & set(held)) >= (len(at) if len(at) <= 4 else 0.6 * len(at)) for at in own):
                 spans.append((-n, start, k + len(license_scan.BASE_PHRASES), end, label))
     kept = []
     for _, start, _, end, label in sorted(spans):
@@ -475,6 +484,42 @@ def brute_notices(words: list[str]) -> list[tuple[int, int, str]]:
     return sorted(kept)
 
 
+SIBLINGS = {
+    "Licensed under the GNU General Public License version 2": "gpl-2",
+    "Licensed under the GNU General Public License, Version 3.": "gpl-3",
+    "licensed under the GNU General Public License version 1": "",
+    "Licensed under the GNU Lesser General Public License version 3": "lgpl-3",
+    "Licensed under the GNU Affero General Public License version 3": "agpl-3",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc-sa",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "cc-by-nc-nd",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License.": "",
+    "// SPDX-License-Identifier: MIT\nint main": "mit",
+    "# SPDX-License-Identifier: GPL-2.0-only": "gpl-2",
+    "# SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3",
+    "# SPDX-License-Identifier: BSD-3-Clause": "bsd-3",
+    "# SPDX-License-Identifier: WTFPL": "",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation,": "agpl",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.": "gpl,gpl-2",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "lgpl,lgpl-2",
+}
+
+
+def test_siblings_are_told_apart(spark):
+    rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(SIBLINGS)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, (text, label) in zip(rows, SIBLINGS.items()):
+        names = set(r["labels"].split(",")) - {""}
+        allowed = set(label.split(",")) - {""}
+        assert names <= allowed and (names or not allowed), (text, names)
+
+
+def test_every_template_has_its_own_label_only(spark):
+    """Each pair of siblings: the text of one never has the other's label."""
+    rows = license_scan.license_scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(license_scan.TEMPLATES)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in rows} == {k: label for k, (label, _) in enumerate(license_scan.TEMPLATES)}
+
+
 def test_license_notices_against_brute_force(spark):
     """Every template whole, twice in a row, cut to half, with words lost, put in and changed, and interleaved with others."""
     rng = random.Random(9)
