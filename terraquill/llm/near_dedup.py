@@ -250,6 +250,14 @@ def _met_pairs(members: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFra
     )
 
 
+def _ties(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share a doc_id: they are one document."""
+    some = sketches.where("n_shingles > 0 and doc_id is not null").select("doc_id", "set_key")
+    several = some.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high")
+    held = some.join(several.select("doc_id"), "doc_id").distinct()
+    return held.join(classes, "set_key").where("id is not null and id != doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id and kept."""
     scratch = Scratch(docs.sparkSession, "near_dedup")
@@ -283,7 +291,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     apart = labelled.join(mixed.select("band", F.col("main.component").alias("main")), "band")
     apart = apart.groupBy("id", "component").agg(F.bool_or(F.col("component") != F.col("main")).alias("apart"))
     second = _links(_met_pairs(scratch.save(apart, "apart"), docs, scratch), compared, docs, scratch, "rest")
-    found = scratch.save(components(first.union(second), scratch), "components")
+    found = scratch.save(components(first.union(second).union(_ties(sketches, classes)), scratch), "components")
     for x in ("members", "compared", "apart", "rows", "ranked", "parts"):
         scratch.drop(x)
     named = classes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))

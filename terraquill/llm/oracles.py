@@ -37,6 +37,39 @@ where part = 'pair' or rank <= 50
 """
 
 
+_WORDS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+')"
+
+DECONTAMINATION = f"""
+with i as (select item_id, {_WORDS} as w from benchmark),
+ig as materialized (
+  select item_id, k, n, unnest(list_distinct(list_transform(range(len(w) - k + 1), lambda j: array_to_string(w[j + 1 : j + k], ' ')))) as g
+  from (select row_number() over () as n, item_id, w, least(5, len(w)) as k from i where len(w) > 0)),
+d as (select row_number() over () as m, doc_id, {_WORDS} as w from documents),
+dg as materialized (
+  select m, doc_id, k, unnest(list_distinct(list_transform(range(greatest(0, len(w) - k + 1)), lambda j: array_to_string(w[j + 1 : j + k], ' ')))) as g
+  from d cross join (select distinct k from ig)),
+s as (select n, count(*) as n_item from ig group by n),
+c as (select m, doc_id, n, item_id, count(*) as n_shared from dg join ig using (k, g) group by all)
+select doc_id, item_id, n_shared, n_item, n_shared / n_item as containment from c join s using (n) where n_shared >= 0.75 * n_item
+"""
+
+NEAR_DUPLICATES = f"""
+with recursive d as (select doc_id, {_WORDS} as w from documents),
+g as materialized (
+  select doc_id, list_distinct(list_transform(range(greatest(1, len(w) - 4)), lambda j: array_to_string(w[j + 1 : j + 5], ' '))) as s from d where len(w) > 0),
+u as materialized (select doc_id, len(s) as n, unnest(s) as x from g),
+c as (select a.doc_id as a, b.doc_id as b, a.n as an, b.n as bn, count(*) as met from u a join u b on a.x = b.x and a.doc_id < b.doc_id
+  and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) group by all),
+e as materialized (select a, b from c where 100 * met >= 75 * (an + bn - met)),
+l as materialized (select a, b from e union all select b, a from e),
+r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+m as (select a as doc_id, min(b) as low from r group by a)
+select d.doc_id, coalesce(len(g.s), 0) as n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) as component_id,
+  d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) as kept
+from d left join g using (doc_id) left join m using (doc_id)
+"""
+
+
 def url_filter() -> str:
     """The rules, and the rounds of the link graph one after the other."""
     rules = ", ".join(f"('{v}', '{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for v, r in RULES)

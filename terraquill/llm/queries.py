@@ -97,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op6_near_duplicates": oracles.NEAR_DUPLICATES,
     "op12_source_audit": oracles.SOURCE_AUDIT,
     "op13_url_filter": oracles.url_filter(),
 }

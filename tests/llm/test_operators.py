@@ -133,6 +133,16 @@ def test_near_duplicates_of_a_star_and_a_chain(spark):
     assert got == components(dict(rows))
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b, c = ("alpha beta gamma delta one", "red green blue black white", "up down left right back")
+    rows = [(1, a), (5, a), (5, b), (7, b), (7, None), (9, c), (9, c), (3, c), (None, b), (20, ""), (20, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = collections.Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicate_groups(df).collect())
+    assert found == collections.Counter([
+        (1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (7, 7, True), (9, 3, False), (9, 3, False), (3, 3, True), (None, 1, False), (20, 20, True), (20, 3, False),
+    ])
+
+
 def test_components_do_not_depend_on_what_is_hot(spark, monkeypatch):
     """A hub of many members, a chain through it and pairs apart, with hubs joined by a broadcast and without."""
     monkeypatch.setattr(near_dedup, "HOT_IDS", 1_000)
