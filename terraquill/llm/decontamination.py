@@ -10,8 +10,9 @@ A minimum can only agree where the window holds a shingle of the item, so only w
 item get signatures. An item spread over several places of a document counts at each of them: with
 containment 0.75 the miss probability is about exp(-0.75 * PERMUTATIONS / 5) = 6e-9.
 
-The items are the query set: they are taken in blocks of ``BLOCK_BYTES``, each of which goes to all
-documents; ``contamination`` reads the documents once for each block, ``clean`` once in all. Documents are neither shuffled nor joined.
+The items are the query set: they are taken in blocks whose index has about ``BLOCK_BYTES``, each of which goes to all
+documents. The driver holds the index of one block at a time: with several blocks, what one finds (``contamination``) or leaves (``clean``) is written before the next one is
+built, and the documents are read once for each block. Documents are neither shuffled nor joined.
 
 Defined cases: null texts and texts without words neither match nor are matched. An item of fewer than five words is one
 shingle, its whole sequence, looked for as such a run of words. Repeated documents or items each give their rows; an empty
@@ -30,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from terraquill.llm.common import SHINGLE, SIMILARITY, multipliers, shingle_hashes, utf8
+from terraquill.llm.common import SHINGLE, SIMILARITY, Scratch, multipliers, shingle_hashes, slices, utf8
 
 PERMUTATIONS = 128
 SMALLEST = 4
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 64 << 20
+#: Bytes of an item in the index besides its shingles: its minima, with permutation and item.
+ITEM_BYTES = PERMUTATIONS * 14 + 128
 _FACTORS = multipliers(PERMUTATIONS, 30_011)
 
 
@@ -122,9 +125,10 @@ def contained_items(text: bytes | None, index: Index, threshold: float = SIMILAR
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, bytes]]]:
-    """The items in blocks of about ``BLOCK_BYTES`` or less; a block goes through the driver."""
+    """The items in blocks whose index has about ``BLOCK_BYTES``; a block goes through the driver."""
     slim = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
-    total = slim.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    # A word is two bytes at least, and a shingle is held twice, as a hash of eight bytes.
+    total = slim.agg(F.sum(9 * F.octet_length("text") + ITEM_BYTES)).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     for k in range(blocks):
         part = slim.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else slim
@@ -133,6 +137,15 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
             yield [(r["item_id"], r["text"].encode()) for r in rows]
 
 
+def _with_last(blocks: Iterator) -> Iterator[tuple[list, bool]]:
+    """The blocks, each with whether it is the last one; one is read ahead."""
+    block = next(blocks, None)
+    while block is not None:
+        following = next(blocks, None)
+        yield block, following is None
+        block = following
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -151,7 +164,7 @@ def contamination(
         index, ids, item_kind = build_index([t for _, t in block]), [i for i, _ in block], to_arrow_type(item_type)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 rows, found = [], []
                 for row, text in enumerate(utf8(b.column(1))):
                     for i, shared, n in contained_items(text, index, threshold):
@@ -166,7 +179,10 @@ def contamination(
 
         return slim.mapInArrow(scan, schema)
 
-    found = [search(block) for block in item_blocks(items, item_id_col, item_text_col)]
+    scratch, found = Scratch(docs.sparkSession, "contamination"), []
+    for k, (block, last) in enumerate(_with_last(item_blocks(items, item_id_col, item_text_col))):
+        hits = search(block)
+        found.append(hits if last and not k else scratch.save(hits, f"block{k}"))
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -179,12 +195,17 @@ def clean(
 
     def without(index: Index):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 free = [not contained_items(x, index, threshold) for x in utf8(b.column(place))]
                 yield b.filter(pa.array(free, pa.bool_()))
 
         return keep
 
-    for block in item_blocks(items, item_id_col, item_text_col):
+    scratch = Scratch(docs.sparkSession, "clean")
+    for k, (block, last) in enumerate(_with_last(item_blocks(items, item_id_col, item_text_col))):
         docs = docs.mapInArrow(without(build_index([t for _, t in block])), docs.schema)
+        if not last:
+            docs = scratch.save(docs, f"left{k}")
+            if k:
+                scratch.drop(f"left{k - 1}")
     return docs

@@ -15,8 +15,9 @@ Every training word has one of ``CLASSES`` classes, from its own contexts; the e
 Class transitions are interpolated with class frequencies (additive weight ``PRIOR``); emission is (c + 1) / (N_class + V_class + 1), which
 leaves each class one share for words that were never seen.
 
-Counts cover all training documents: words are counted in each task and summed by a shuffle; contexts
-likewise. Counts and classes of the ``CACHED`` most frequent words travel with the tasks (a fixed bound); all
+Counts cover all training documents: words are counted in each task and summed by a shuffle. Contexts of the ``HEAD`` words, which keep their class, are never
+made. Those of the other ``CACHED`` words are summed by (word, slot) in tasks and after, at most 2 * ``CLASSES`` sums a word; rarer words, each less than a 1 / ``CACHED`` share of all
+tokens, send lists. Counts and classes of the ``CACHED`` most frequent words travel with the tasks (a fixed bound); all
 other words of a document meet theirs in a join.
 
 Defined cases: a null text is empty and scores as one end. An empty table gives an empty result; without training documents
@@ -199,14 +200,20 @@ class _Local(dict):
         return k
 
 
-def _contexts(known: Classes):
-    """Partial contexts: word, and how often a class stands after it (slot: the class) or before it (slot: CLASSES + the class)."""
+def _contexts(known: Classes, fixed: frozenset[bytes], common: bool):
+    """Partial contexts: how often a class stands after a word (slot: the class) or before it (slot: CLASSES + the class). Of words that the tasks know
+    and that aren't fixed (``common``), rows of word, slot and n; of all others, rows of word and lists of slots and counts."""
 
     def rows(local: _Local, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         words, of = pa.array(local.words, pa.binary()), np.array(local.classes, np.int64)
+        wanted = np.fromiter(((w in known) == common and w not in fixed for w in local.words), bool, len(local.words))
         first, second = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-        keys = [first * 2 * CLASSES + of[second], second * 2 * CLASSES + CLASSES + of[first]]
+        a, b = wanted[first], wanted[second]
+        keys = [first[a] * 2 * CLASSES + of[second[a]], second[b] * 2 * CLASSES + CLASSES + of[first[b]]]
         key, n = np.unique(np.concatenate(keys), return_counts=True)
+        if common:
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(key // (2 * CLASSES))), pa.array(key % (2 * CLASSES), pa.int16()), pa.array(n)], names=["word", "slot", "n"])
+            return
         word, starts = np.unique(key // (2 * CLASSES), return_index=True)
         offsets = pa.array(np.append(starts, len(key)), pa.int32())
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((key % (2 * CLASSES), pa.int16()), (n, pa.int32()))]
@@ -268,7 +275,7 @@ def best_classes(contexts: np.ndarray, n: np.ndarray, home: np.ndarray, joint: n
     return score.argmax(1)
 
 
-def _choose(known: Classes, fixed: frozenset[bytes], joint: np.ndarray, size: np.ndarray):
+def _choose(known: Classes, joint: np.ndarray, size: np.ndarray):
     """Words with their number and class, of their contexts; every token but the end has one token after it."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,10 +285,7 @@ def _choose(known: Classes, fixed: frozenset[bytes], joint: np.ndarray, size: np
             n = contexts[:, :CLASSES].sum(1)
             home = np.fromiter(map(known.__getitem__, listed), np.int64, b.num_rows)
             best = best_classes(contexts, n, home, joint, size)
-            stays = np.fromiter((w in fixed for w in listed), bool, b.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [words, pa.array(n.astype(np.int64)), pa.array(np.where(stays, home, best), pa.int32())], names=["word", "n", "class"]
-            )
+            yield pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64)), pa.array(best, pa.int32())], names=["word", "n", "class"])
 
     return choose
 
@@ -333,16 +337,20 @@ def cluster(training: DataFrame, scratch: Scratch, text_col: str = "text") -> tu
     np.add.at(joint, (of[:, None], of[None, :]), pairs)
     known = Classes({w: int(of[units[w]]) for w in cached}, units, of)
     size = _sizes(counts.mapInArrow(_starting_sizes(known), "class int, n long"))
-    grouped = (
-        texts.mapInArrow(_contexts(known), "word binary, slots array<smallint>, counts array<int>")
-        .where(F.length("word") > 0)
+    fixed = frozenset(units)
+    rare = (
+        texts.mapInArrow(_contexts(known, fixed, False), "word binary, slots array<smallint>, counts array<int>")
         .groupBy("word")
         .agg(F.collect_list(F.struct("slots", "counts")).alias("parts"))
-        .select("word", F.flatten("parts.slots").alias("slots"), F.flatten("parts.counts").alias("counts"))
+        .select("word", F.flatten("parts.slots").alias("slots"), F.flatten("parts.counts").cast("array<bigint>").alias("counts"))
     )
-    chosen = grouped.mapInArrow(_choose(known, frozenset(units), joint, size), "word binary, n long, class int")
+    common = texts.mapInArrow(_contexts(known, fixed, True), "word binary, slot smallint, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    common = common.groupBy("word").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("counts"))
+    chosen = rare.unionByName(common).mapInArrow(_choose(known, joint, size), "word binary, n long, class int")
+    head = [(w, cached[w], known[w]) for w in list(cached)[:HEAD] if w != END]
+    kept = counts.sparkSession.createDataFrame(head, "word binary, n long, class int")
     end = counts.where(F.length("word") == 0).select("word", "n", F.lit(CLASSES - 1).alias("class"))
-    words = scratch.save(chosen.union(end), "words")
+    words = scratch.save(chosen.union(kept).union(end), "words")
     scratch.drop("counts")
     size = _sizes(words.select("class", (F.col("n") + 1).alias("n")))
     return Model(_known(words, units, of), None, np.arange(CLASSES), size, cached, n, v), words

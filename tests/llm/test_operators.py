@@ -165,6 +165,18 @@ def test_bayes_bound():
 # --- decontamination -----------------------------------------------------------------------------------------
 
 
+def test_blocks_of_items_are_all_searched(spark, real, monkeypatch):
+    """Many small blocks, of which one index is alive at a time, find and leave the same; items of all blocks together are all items."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = sorted(tuple(r) for r in decontamination.contamination(real, items).collect())
+    left = sorted(r["doc_id"] for r in decontamination.clean(real, items).collect())
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 30_000)
+    blocks = [b for b, _ in decontamination._with_last(decontamination.item_blocks(items, "item_id", "text"))]
+    assert len(blocks) > 3 and sorted(i for b in blocks for i, _ in b) == sorted(r["item_id"] for r in items.collect())
+    assert sorted(tuple(r) for r in decontamination.contamination(real, items).collect()) == want
+    assert sorted(r["doc_id"] for r in decontamination.clean(real, items).collect()) == left
+
+
 def test_decontamination(spark, docs, real):
     texts = [(i, r["text"]) for i, r in enumerate(docs.where("text is not null").limit(9).collect())]
     long_text = by_id(docs)[11]["text"]
@@ -891,6 +903,7 @@ def test_contract_columns(spark):
         "op5": "doc_id n_words n_base first_word last_word base_labels labels score", "op6": "doc_id n_shingles component_id kept",
         "op7": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op8": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
         "op9": "doc_id held_out lang_pred score", "op10": "doc_id size source_size target taken",
+        "op11": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256", "op12": "lang source part item value rank", "op13": "page_id host path rule verdict",
     }
     for name, query in queries.QUERIES.items():
         df = query(spark, SF)
