@@ -7,6 +7,8 @@ for as existence or count is reduced before wide rows are joined back.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from terraquill.functions import geometry as G
 #: Cells that one polygon may cover before it is indexed on a grid that is coarser by ``COARSER``.
 MAX_CELLS = 4096
 COARSER = 64
+#: Points in a cell from which on it is split into ``SPLIT`` x ``SPLIT`` cells, ``DEPTH`` times at most; of all points in more cells than ``CROWDS`` allows, only
+#: the fullest cells are split, so that their table stays small.
+CROWD, SPLIT, DEPTH, CROWDS = 20_000, 8, 3, 100_000
 
 
 def polygon_cells(polygons: DataFrame, ring: str, size: float) -> DataFrame:
@@ -41,18 +46,63 @@ def polygon_cells(polygons: DataFrame, ring: str, size: float) -> DataFrame:
     )
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, ring: str, x: str = "x", y: str = "y", size: float = 50.0) -> DataFrame:
+def crowded_cells(points: DataFrame, x: str, y: str, width: float) -> DataFrame:
+    """(depth, cell_x, cell_y): cells of more than ``CROWD`` points, at the depths above the last; one aggregate with partial sums."""
+    finest = width / SPLIT ** (DEPTH - 1)
+    fine = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(G.cell(F.col(x), finest).alias("_fx"), G.cell(F.col(y), finest).alias("_fy")).agg(F.count("*").alias("_n"))
+    up = F.array(*(F.struct(F.lit(d).alias("depth"), F.lit(SPLIT ** (DEPTH - 1 - d)).cast("long").alias("_by")) for d in range(DEPTH)))
+    cells = fine.select("_fx", "_fy", "_n", F.inline(up)).groupBy(
+        "depth", F.floor(F.col("_fx") / F.col("_by")).alias("cell_x"), F.floor(F.col("_fy") / F.col("_by")).alias("cell_y")
+    ).agg(F.sum("_n").alias("_n"))
+    most = F.greatest(F.lit(CROWD), F.col("_all") / CROWDS)
+    total = fine.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_all"))
+    limit = total.select(most.alias("m")).first()["m"]
+    return cells.where(F.col("_n") > limit).select("depth", "cell_x", "cell_y")
+
+
+def _split(side: DataFrame, crowds: DataFrame, below) -> DataFrame:
+    """The side with ``depth`` and cells no coarser than its crowds ask for. ``below`` puts rows of a crowded cell, at a depth, into the cells under it."""
+    done, todo = [], side.withColumn("depth", F.lit(0))
+    for d in range(DEPTH):
+        named = F.broadcast(crowds.where(F.col("depth") == d).drop("depth"))  # at most CROWDS a depth
+        done.append(todo.join(named, ["cell_x", "cell_y"], "left_anti"))
+        todo = below(todo.join(named, ["cell_x", "cell_y"], "left_semi"), d + 1).withColumn("depth", F.lit(d + 1))
+    return reduce(DataFrame.unionByName, [*done, todo])
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, ring: str, x: str = "x", y: str = "y", size: float = 50.0, adaptive: bool = False) -> DataFrame:
     """Inner join of points and the polygons that contain them; all columns of both. Each level of cells is a join of its own, which
-    adaptive execution leaves out where no polygon is of that level; the bounding box is tested before the edges."""
-    cells = polygon_cells(polygons, ring, size)
+    adaptive execution leaves out where no polygon is of that level. The bounding box, taken once for each polygon, is tested before the edges, and
+    a ring that is its own box needs no look at them. ``adaptive``: crowded cells are split, for which the points are counted first."""
+    b = G.bounds(F.col(ring))
+    boxed = polygons.withColumn("_pb", F.struct(*b)).withColumn("_square", (F.size(ring) <= 5) & (G.area(F.col(ring)) == (F.col("_pb.x_max") - F.col("_pb.x_min")) * (F.col("_pb.y_max") - F.col("_pb.y_min"))))
+    cells = polygon_cells(boxed, ring, size)
     found = []
     for level, width in enumerate((size, size * COARSER)):
         placed = points.withColumn("cell_x", G.cell(F.col(x), width)).withColumn("cell_y", G.cell(F.col(y), width))
-        found.append(placed.join(cells.where(F.col("cell_level") == level), ["cell_x", "cell_y"]))
+        mine, keys = cells.where(F.col("cell_level") == level), ["cell_x", "cell_y"]
+        crowds = crowded_cells(points, x, y, width) if adaptive else None
+        if crowds is not None and not crowds.isEmpty():
+
+            def points_below(rows: DataFrame, depth: int, width: float = width) -> DataFrame:
+                side = width / SPLIT**depth
+                return rows.withColumns({"cell_x": G.cell(F.col(x), side), "cell_y": G.cell(F.col(y), side)})
+
+            def polygons_below(rows: DataFrame, depth: int, width: float = width) -> DataFrame:
+                side = width / SPLIT**depth
+
+                def along(cell: str, low: str, high: str) -> Column:
+                    first = F.greatest(F.col(cell) * SPLIT, F.floor(F.col(low) / side))
+                    return F.explode(F.sequence(first, F.greatest(first, F.least(F.col(cell) * SPLIT + SPLIT - 1, F.ceil(F.col(high) / side) - 1))))
+
+                return rows.withColumn("cell_x", along("cell_x", "_pb.x_min", "_pb.x_max")).withColumn("cell_y", along("cell_y", "_pb.y_min", "_pb.y_max"))
+
+            placed, mine, keys = _split(placed, crowds, points_below), _split(mine, crowds, polygons_below), ["depth", "cell_x", "cell_y"]
+        found.append(placed.join(mine, keys).drop("depth") if "depth" in keys else placed.join(mine, keys))
     pairs = found[0].unionByName(found[1])
-    b = G.bounds(F.col(ring))
-    in_box = (F.col(x) >= b[0]) & (F.col(x) <= b[2]) & (F.col(y) >= b[1]) & (F.col(y) <= b[3])
-    return pairs.where(in_box).where(G.contains(F.col(ring), F.col(x), F.col(y))).drop("cell_level", "cell_x", "cell_y")
+    low, high = (F.col(x) >= F.col("_pb.x_min")) & (F.col(y) >= F.col("_pb.y_min")), (F.col(x) <= F.col("_pb.x_max")) & (F.col(y) <= F.col("_pb.y_max"))
+    inside = F.when(F.col("_square"), (F.col(x) < F.col("_pb.x_max")) & (F.col(y) < F.col("_pb.y_max"))).otherwise(G.contains(F.col(ring), F.col(x), F.col(y)))
+    return pairs.where(low & high).where(inside).drop("cell_level", "cell_x", "cell_y", "_pb", "_square")
 
 
 def places(points: DataFrame, x: str, y: str, n: str = "_n") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terraquill.functions import clip
 from terraquill.functions import geometry as G
 from terraquill.functions.trapezoids import trapezoids
-from terraquill.operators import overlay, voronoi
+from terraquill.operators import overlay, spatial, voronoi
 from terraquill.plans import target_area
 
 Point = tuple[float, float]
@@ -153,3 +153,22 @@ def test_grid_of_target_areas(spark):
         want |= {(k, *c): v for c, v in some.items()}
     got = {(r.key, r.cell_x, r.cell_y): (pytest.approx(r.area), r.buildings) for r in found}
     assert want == got
+
+
+def test_crowded_cells_are_split(spark, monkeypatch):
+    """Nine tenths of the points in one cell: the same pairs, from cells of which none holds much more than the limit; boxes, stars, and polygons that cover many cells."""
+    monkeypatch.setattr(spatial, "CROWD", 60)
+    monkeypatch.setattr(spatial, "MAX_CELLS", 30)
+    rng = random.Random(12)
+    points = [(k, rng.uniform(100, 149), rng.uniform(100, 149)) for k in range(1800)] + [(5000 + k, rng.uniform(-50, 400), rng.uniform(-50, 400)) for k in range(200)] + [(9000, 120.0, 120.0), (9001, None, 3.0)]
+    shapes = [square(100 + 5 * i, 100 + 5 * j, 5) for i in range(9) for j in range(9)] + stars(30, 3) + [square(-100, -100, 450), square(120, 120, 0.5)]
+    df = spark.createDataFrame(points, "key long, x double, y double").repartition(4)
+    polygons = spark.createDataFrame([(k, as_rings([r])[0]) for k, r in enumerate(shapes)], f"shape long, ring {clip.RING}")
+    pairs = {a: {(r.key, r.shape) for r in spatial.points_in_polygons(df, polygons, "ring", adaptive=a).collect()} for a in (False, True)}
+    holds = df.join(polygons, G.contains(F.col("ring"), F.col("x"), F.col("y"))).select("key", "shape").collect()
+    assert pairs[False] == pairs[True] == {tuple(r) for r in holds} and len(holds) > 3000
+    crowds = spatial.crowded_cells(df, "x", "y", 50.0)
+    placed = df.where("x is not null").withColumns({"cell_x": G.cell(F.col("x"), 50.0), "cell_y": G.cell(F.col("y"), 50.0)})
+    below = lambda rows, d: rows.withColumns({"cell_x": G.cell(F.col("x"), 50.0 / 8**d), "cell_y": G.cell(F.col("y"), 50.0 / 8**d)})
+    sizes = sorted(r["count"] for r in spatial._split(placed, crowds, below).groupBy("depth", "cell_x", "cell_y").count().collect())
+    assert sizes[-1] <= 60 and sum(sizes) == len(points) - 1
