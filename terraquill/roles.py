@@ -37,6 +37,60 @@ def _strings(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
 
+@dataclass(frozen=True)
+class Profile:
+    """What the values of a table's columns are like, from one aggregate: everything that binding looks at is read from it.
+
+    ``decimals``: floating columns that have some value of two decimals or more. ``least_underscores``: of string columns, the fewest underscores of a value (0
+    for a null); ``uuids``: the share of rows that are UUIDs; ``visits``: whether all values are visit labels; ``rounds``: whether the column has values and all are round labels.
+    """
+
+    columns: tuple[str, ...]
+    decimals: frozenset[str]
+    least_underscores: dict[str, int]
+    uuids: dict[str, float]
+    visits: frozenset[str]
+    rounds: frozenset[str]
+
+    def coordinates(self, required: bool = False) -> Coordinates:
+        return _coordinate_roles([c for c in self.columns if c in self.decimals], required)
+
+    def unique_column(self) -> str | None:
+        return next((c for c in self.columns if self.least_underscores.get(c, 0) >= 2), None)
+
+    def uuid_column(self, share: float = 0.6) -> str | None:
+        return next((c for c in self.columns if self.uuids.get(c, 0) >= share), None)
+
+    def visitation_column(self) -> str | None:
+        return next((c for c in reversed(self.columns) if c in self.visits), None)
+
+    def round_columns(self, exclude: tuple[str, ...] = ()) -> list[str]:
+        skipped = {c.lower() for c in (*exclude, *S.NEVER_ROUNDS)}
+        return [c for c in self.columns if c in self.rounds and c.lower() not in skipped]
+
+
+def profile(df: DataFrame) -> Profile:
+    """One pass over the table, partial sums only; of an empty table nothing is known."""
+    texts, floats = _strings(df), [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))]
+    at = lambda c: F.col(f"`{c}`")
+    value = lambda c: F.nullif(F.lower(F.trim(at(c))), F.lit(""))
+    decimal = lambda c: at(c).cast("string").rlike(S.STRICT_COORDINATE)
+    wanted = {("rows", ""): F.count("*")}
+    wanted |= {("decimal", c): F.bool_or(decimal(c)) for c in floats}
+    for c in texts:
+        wanted |= {
+            ("underscores", c): F.min(F.coalesce(F.regexp_count(at(c), F.lit("_")), F.lit(0))),
+            ("uuid", c): F.avg(F.coalesce(X.is_uuid(at(c)), F.lit(False)).cast("int")),
+            ("visit", c): F.bool_and(F.coalesce(F.initcap(at(c)).isin(*S.VISIT_ORDER), F.lit(False))),
+            ("round", c): F.bool_and(value(c).isin(*S.ROUND_LABELS)),
+        }
+    row = df.agg(*(v.alias(f"_{k}") for k, v in enumerate(wanted.values()))).first()
+    found = {name: row[k] for k, name in enumerate(wanted)}
+    of = lambda kind: {c: v for (k, c), v in found.items() if k == kind and v is not None}
+    true = lambda kind: frozenset(c for c, v in of(kind).items() if v)
+    return Profile(tuple(df.columns), true("decimal"), of("underscores"), of("uuid"), true("visit"), true("round"))
+
+
 def admin_column(df: DataFrame, role: str, required: bool = True) -> str | None:
     """The column of an admin level: of the five most similar names, without code, old or id columns, the first that
     holds the role's name nearly whole."""
@@ -68,10 +122,7 @@ def bind(df: DataFrame, roles: tuple[str, ...], cutoff: float = S.ATTRIBUTE_CUTO
     return {r: c for r, c in found.items() if c}
 
 
-def coordinates(df: DataFrame, required: bool = False) -> Coordinates:
-    """Floating-point columns named like latitude or y and longitude or x."""
-    floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))]
-
+def _coordinate_roles(floats: list[str], required: bool) -> Coordinates:
     def one(role: str, short: str) -> str | None:
         exact = [c for c in floats if c.lower() in (role, short, role[:3])]
         return exact[0] if exact else fuzzy.best_match(role, floats, 85)
@@ -83,6 +134,11 @@ def coordinates(df: DataFrame, required: bool = False) -> Coordinates:
     return found
 
 
+def coordinates(df: DataFrame, required: bool = False) -> Coordinates:
+    """Floating-point columns named like latitude or y and longitude or x, by their types alone; ``Profile.coordinates`` looks at their values too."""
+    return _coordinate_roles([f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))], required)
+
+
 def unique_column(df: DataFrame) -> str | None:
     """The first string column without nulls whose every value has two underscores or more; one aggregate."""
     names = _strings(df)
