@@ -9,19 +9,24 @@ from terraquill.catalog.spatial_queries import _EXTENTS, _INSIDE, extents
 from terraquill.functions import fuzzy
 from terraquill.functions import text as T
 from terraquill.operators import review
-from terraquill.plans import listing
+from terraquill.plans import checkout, listing
 
-#: Extents with the names of a settlement of their nation, so that points lie inside and outside the right one.
-_NAMED = f"""{_EXTENTS}, b AS (SELECT x0, y0, r_name AS state, CASE WHEN extent % 11 <> 0 THEN n_name END AS lga, n_name || '_MACHINERY' AS ward FROM extents JOIN nation ON extent = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+#: Extents with the names of a settlement of their nation, so that points lie inside and outside the right one. Of every four wards, one is written with its words
+#: the other way round, one with a word more, and one with another letter, whose score of 90 to 96 is below the cutoff.
+_NAMED = f"""{_EXTENTS}, b AS (SELECT x0, y0, r_name AS state, CASE WHEN extent % 11 <> 0 THEN n_name END AS lga, n_name || CASE WHEN extent % 4 <> 3 THEN '_MACHINERY' ELSE '' END AS base,
+  CASE extent % 4 WHEN 1 THEN 'MACHINERY ' || n_name WHEN 2 THEN n_name || '_MACHINERY AREA' WHEN 3 THEN n_name || '_MACHINERX' ELSE n_name || '_MACHINERY' END AS ward FROM extents JOIN nation ON extent = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 own AS (SELECT key, CASE WHEN key % 7 <> 0 THEN state END AS state, lower(lga) AS lga, CASE WHEN key % 5 <> 0 THEN ward END AS ward, CASE WHEN key % 13 <> 0 THEN x END AS x, y FROM settlements),
-j AS (SELECT t.key, min(struct_pack(s := b.state, l := b.lga, w := b.ward)) AS f FROM own t JOIN b ON {_INSIDE} GROUP BY 1), o AS (SELECT own.*, f.s AS bs, f.l AS bl, f.w AS bw FROM own LEFT JOIN j USING (key))"""
+j AS (SELECT t.key, min(struct_pack(s := b.state, l := b.lga, w := b.ward, base := b.base)) AS f FROM own t JOIN b ON {_INSIDE} GROUP BY 1), o AS (SELECT own.*, f.s AS bs, f.l AS bl, f.w AS bw, f.base AS base FROM own LEFT JOIN j USING (key))"""
 
 
 def _named(spark, sf_dir):
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     e = extents(spark, sf_dir).join(n, F.col("extent") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     lga = F.when(F.col("extent") % 11 != 0, F.col("n_name"))
-    return e.select("ring", F.col("r_name").alias("state"), lga.alias("lga"), F.concat("n_name", F.lit("_MACHINERY")).alias("ward"))
+    end = lambda text: F.concat("n_name", F.lit(text))
+    k = F.col("extent") % 4
+    ward = F.when(k == 1, F.concat(F.lit("MACHINERY "), "n_name")).when(k == 2, end("_MACHINERY AREA")).when(k == 3, end("_MACHINERX")).otherwise(end("_MACHINERY"))
+    return e.select("ring", F.col("r_name").alias("state"), lga.alias("lga"), ward.alias("ward"))
 
 
 def _own(spark, sf_dir):
@@ -32,9 +37,9 @@ def _own(spark, sf_dir):
 
 
 @query(f"""WITH {SETTLEMENTS}, {_NAMED} SELECT key, CASE WHEN bs IS NULL AND (x IS NULL OR y IS NULL) THEN NULL WHEN bs IS NULL OR state IS NULL OR lower(state) <> lower(bs) THEN 'Outside State'
-  WHEN lga IS NULL OR bl IS NULL OR lower(lga) <> lower(bl) THEN 'Outside LGA' WHEN ward IS NULL OR bw IS NULL OR lower(ward) <> lower(bw) THEN 'Outside Ward' END AS boundary_issues FROM o""")
+  WHEN lga IS NULL OR bl IS NULL OR lower(lga) <> lower(bl) THEN 'Outside LGA' WHEN ward IS NULL OR base IS NULL OR lower(ward) <> lower(base) THEN 'Outside Ward' END AS boundary_issues FROM o""")
 def boundary_review(spark, sf_dir):
-    """State by partial ratio, LGA and ward by token set ratio; on these names both reach the cutoff only for equal ones."""
+    """State by partial ratio, LGA and ward by token set ratio: words swapped or added pass, another letter doesn't."""
     return listing.boundary_flags(_own(spark, sf_dir), _named(spark, sf_dir), "key", ["state", "lga", "ward"]).select("key", "boundary_issues")
 
 
@@ -52,22 +57,21 @@ def global_ids(spark, sf_dir):
     return listing.global_id_flag(o).select("key", F.col("WE_eha_guid").alias("issue"))
 
 
-#: Pairs with their five scores, worked out by hand from the definitions (twice the common letters over all letters).
-_SCORES = (
-    ("this is a test", "this is a test!", 97, 100, 100, 100),
-    ("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear", 91, 93, 100, 100),
-    ("fuzzy was a bear", "fuzzy fuzzy was a bear", 84, 100, 84, 100),
-    ("yankees", "new york yankees", 61, 100, 61, 100),
-    ("abcd", "abcd", 100, 100, 100, 100),
-    ("abcd", "wxyz", 0, 0, 0, 0),
-)
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(str(row) for row in _SCORES) + ") AS t(a, b, ratio, partial_ratio, token_sort_ratio, token_set_ratio)")
+@query()
 def fuzzy_scores(spark, sf_dir):
-    pairs = spark.createDataFrame([r[:2] for r in _SCORES], "a string, b string")
-    names = ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio")
-    return pairs.select("a", "b", *(F.round(fuzzy.score(n, F.col("a"), F.col("b"))).cast("int").alias(n) for n in names))
+    """All scores of each part's name with that of the next part."""
+    p = table(spark, sf_dir, "part")
+    pairs = p.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("a")).join(p.select((F.col("p_partkey") - 1).alias("key"), F.col("p_name").alias("b")), "key")
+    names = ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "weighted_ratio")
+    return pairs.select("key", "a", "b", *(fuzzy.score(n, F.col("a"), F.col("b")).cast("int").alias(n) for n in names), F.round(fuzzy.levenshtein_score(F.col("a"), F.col("b")), 6).alias("levenshtein"))
+
+
+@query(f"""WITH {SETTLEMENTS} SELECT key, lga, CASE WHEN balance < -995 THEN 'Major Flag' WHEN balance < 0 THEN 'Minor Flag' END AS flag_level, NOT bool_or(balance < -995) OVER (PARTITION BY lga) AS passed FROM settlements""")
+def checkout_gate(spark, sf_dir):
+    """Settlements of nations without a major flag pass, all others are held back."""
+    level = F.when(F.col("balance") < -995, "Major Flag").when(F.col("balance") < 0, "Minor Flag")
+    passed, held = checkout.gate(settlements(spark, sf_dir).select("key", "lga", level.alias("flag_level")), "lga")
+    return passed.withColumn("passed", F.lit(True)).unionByName(held.withColumn("passed", F.lit(False)))
 
 
 @query(f"""WITH {PLANS}, m AS (SELECT plan, CASE WHEN key % 5 = 0 THEN 'Missing ' || (plan % 4 + 1) || ' Teams' END AS msg, key % 30 AS ward FROM plans) SELECT ward, count(*) AS wards, CAST(sum(plan % 4 + 1) AS BIGINT) AS teams FROM m WHERE msg IS NOT NULL GROUP BY ward""")

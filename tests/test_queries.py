@@ -109,6 +109,44 @@ def test_standardize_text_on_whole_documents(spark):
     assert got == {k: standard(t) for k, t in texts.items()}
 
 
+#: Pairs with four scores, worked out by hand from the definitions (twice the common letters over all letters).
+SCORES = (
+    ("this is a test", "this is a test!", 97, 100, 100, 100),
+    ("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear", 91, 93, 100, 100),
+    ("fuzzy was a bear", "fuzzy fuzzy was a bear", 84, 100, 84, 100),
+    ("yankees", "new york yankees", 61, 100, 61, 100),
+    ("abcd", "abcd", 100, 100, 100, 100),
+    ("abcd", "wxyz", 0, 0, 0, 0),
+)
+
+
+def test_fuzzy_scores(spark):
+    from terraquill.functions import fuzzy
+
+    names = ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio")
+    for a, b, *want in SCORES:
+        assert [round(fuzzy.SCORES[n](a, b)) for n in names] == want
+
+    def common(a: str, b: str) -> int:
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    like = lambda a, b: 200 * common(a, b) / (len(a) + len(b)) if a or b else 100.0
+    rows = catalog.QUERIES["fuzzy_scores"](spark, SF).collect()
+    assert len(rows) == 199 and len({r.token_set_ratio for r in rows}) > 5
+    for r in rows:
+        x, y = (" ".join(sorted(t.lower().split())) for t in (r.a, r.b))
+        assert (r.ratio, r.token_sort_ratio) == (round(like(r.a, r.b)), round(like(x, y)))
+        short, long = sorted((r.a, r.b), key=len)
+        windows = [like(short, long[max(0, k) : k + len(short)]) for k in range(1 - len(short), len(long))]
+        assert abs(r.partial_ratio - max(windows)) <= 0.5 + 1e-9
+
+
 def test_fuzzy_best_match_against_brute_force(spark):
     from pyspark.sql import functions as F
 
