@@ -8,6 +8,7 @@ from terraquill import settings as S
 from terraquill.catalog.base import PLANS, SETTLEMENTS, TRACKS, plans, query, settlements, table, tracks
 from terraquill.functions import rules as R
 from terraquill.operators import relational as L
+from terraquill.plans import tracking
 
 _COVERAGE = """CASE WHEN r IS NULL OR r = 0 THEN 'No Coverage' WHEN round_even(r, 2) < 0.5 THEN 'Poorly Covered'
   WHEN round_even(r, 2) < 0.7 THEN 'Partially Covered' ELSE 'Fully Covered' END"""
@@ -55,6 +56,16 @@ def visit_reassessment(spark, sf_dir):
     return plans(spark, sf_dir).select("plan", R.needs_reassessment(F.col("status"), F.col("price") / 10, F.col("plan") % 60).alias("reassess"))
 
 
+@query(f"""WITH {PLANS}, r AS (SELECT *, status = 'Visited' AND NOT (CASE WHEN price >= 100000 THEN plan % 60 >= 30 ELSE plan % 60 >= 15 END) AS again FROM plans)
+SELECT plan, CASE WHEN again THEN 'reevaluate' ELSE 'maintain' END AS review, CASE WHEN again THEN 'Not Yet Visited' ELSE status END AS visitation,
+  CASE WHEN again THEN 0 ELSE price / 600000 END AS coverage, CASE WHEN again THEN 0 ELSE plan % 60 END AS track_count FROM r""")
+def visits_reassessed(spark, sf_dir):
+    p = plans(spark, sf_dir).select(
+        "plan", F.col("status").alias("visitation"), (F.col("price") / 10).alias("area_sqm"), (F.col("price") / 600000).alias("coverage"), (F.col("plan") % 60).alias("track_count")
+    )
+    return tracking.reassess(p).select("plan", "review", "visitation", "coverage", "track_count")
+
+
 @query(f"""WITH {SETTLEMENTS}, t AS (SELECT key, CASE key % 5 WHEN 0 THEN NULL WHEN 1 THEN ' a ' WHEN 2 THEN repeat('a ', 12) ELSE settlement END AS name FROM settlements)
 SELECT key, CASE WHEN name IS NULL THEN 'no settlement name' WHEN length(trim(name)) < 3 THEN 'invalid name length'
   WHEN len(string_split(trim(name), ' ')) >= 10 THEN 'review settlement name' END AS invalid_name_length FROM t""")

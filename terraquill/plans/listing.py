@@ -15,6 +15,7 @@ from terraquill.operators import aggregates as A
 from terraquill.operators import matching as M
 from terraquill.operators import relational as L
 from terraquill.operators import spatial
+from terraquill.roles import DataError
 
 
 def standardize_list(df: DataFrame, exclude: tuple[str, ...] = ("unique_code", "eha_guid", "globalid")) -> DataFrame:
@@ -168,6 +169,15 @@ def take_off_codes(points: DataFrame, wards: DataFrame, ward: str, ward_code: st
     return lettered.withColumn("take_off_code", F.concat(ward_code, "suffix")).drop("suffix")
 
 
+def one_state(df: DataFrame, state: str = "state") -> DataFrame:
+    """The rows with a state, if they all have the same; else an error that names some of them. Two names are looked at, whatever the table's size."""
+    named = df.where(F.col(state).isNotNull())
+    found = sorted(r[0] for r in named.select(state).distinct().limit(2).collect())
+    if len(found) != 1:
+        raise DataError(f"one state is expected, not {', '.join(found) or 'none'}")
+    return named
+
+
 def update_list(master: DataFrame, validated: DataFrame, reference: DataFrame, key: list[str], score: M.Scorer) -> DataFrame:
     """A master list updated from validated data, whose LGA and ward names are first set to the reference's."""
     clean = M.standardize_names(validated, reference.select("state", "lga").distinct(), "lga", "lga", ["state"], S.ADMIN_CUTOFF, score)

@@ -104,3 +104,12 @@ def contact_analysis(base: DataFrame, rounds: dict[str, DataFrame], keys: list[s
     seen, share = R.contact([F.col(f"{n}_visit") for n in rounds])
     mode = R.row_mode([F.col(f"{n}_coverage") for n in rounds])
     return out.withColumn("contact", seen).withColumn("contact_proportion", share).withColumn("coverage", mode)
+
+
+def reassess(summary: DataFrame, status: str = "visitation", area: str = "area_sqm", tracks: str = "track_count", coverage: str = "coverage") -> DataFrame:
+    """``review`` (maintain or reevaluate), and for visits to reevaluate, with too few track points for their area, the status back to not yet visited and
+    coverage and count back to 0. A null status, area or count is no visit to reevaluate."""
+    again = F.coalesce(R.needs_reassessment(F.col(status), F.col(area), F.col(tracks)), F.lit(False))
+    types = dict(summary.dtypes)
+    back = {c: F.when(again, F.lit(0)).otherwise(F.col(c)).cast(types[c]) for c in (coverage, tracks)}
+    return summary.withColumns({"review": F.when(again, "reevaluate").otherwise("maintain"), status: F.when(again, S.NOT_YET_VISITED).otherwise(F.col(status)), **back})

@@ -19,7 +19,6 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 CELLS = "source string, row long, cells map<string,string>"
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -220,15 +219,3 @@ def read_dataset(spark: SparkSession, path: str, sheet: str | None = None, colum
     if kind == "gpkg":
         return read_geopackage(spark, path)
     raise NotSupported(f"no reader for .{kind}")
-
-
-def ward_plan_tables(rows: DataFrame, source: str = "source", row: str = "row", first: str = "first_cell") -> DataFrame:
-    """Rows of stacked ward files with ``section``: settlement until the header of the special places, then special_place;
-    header rows go. ``first``: the text of a row's first cell."""
-    marker = F.max((F.lower(F.trim(first)) == "special place").cast("int")).over(
-        Window.partitionBy(source).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        rows.withColumn("section", F.when(F.coalesce(marker, F.lit(0)) == 1, "special_place").otherwise("settlement"))
-        .where(~F.coalesce(F.lower(F.trim(first)) == "special place", F.lit(False)))
-    )

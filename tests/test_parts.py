@@ -124,11 +124,6 @@ def test_geopackage_and_wkb(spark, tmp_path):
     assert (row.name, row.area) == ("A", 6.0)
 
 
-def test_ward_plan_tables(spark):
-    df = spark.createDataFrame([("f", 1, "LGA"), ("f", 2, "x"), ("f", 3, "Special Place"), ("f", 4, "Market")], "source string, row long, first_cell string")
-    assert [(r.row, r.section) for r in files.ward_plan_tables(df).orderBy("row").collect()] == [(1, "settlement"), (2, "settlement"), (4, "special_place")]
-
-
 def test_components_and_row_ids(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
@@ -185,7 +180,9 @@ def test_review_helpers(spark):
     numbers = spark.createDataFrame([(-5.0, "-5"), (0.0, "12a"), (None, None)], "set_population double, team_code string")
     got = listing.attribute_checks(numbers).collect()
     assert [(r.WE_set_population, r.WE_team_code) for r in got] == [(None, "Wrong Entry"), (None, None), (None, None)]
-    assert R.numeric_entry_flag(F.col("x"), allow_zero=True) is not None
+    texts = spark.createDataFrame([("12a",), ("-3",), ("x",), (None,)], "x string")
+    flags = lambda allow: [r.f for r in texts.select(R.numeric_entry_flag(F.col("x"), allow_zero=allow).alias("f")).collect()]
+    assert flags(False) == [None, "Wrong Entry", "Wrong Entry", None] and flags(True) == [None] * 4
 
 
 def test_listing_frames(spark):
@@ -208,10 +205,21 @@ def test_listing_frames(spark):
     assert [(r.team, r["Day 1"], r["Day 2"], r["Day 3"]) for r in got] == [("007", "Yes", None, "Yes"), ("008", "Yes", None, "Yes")]
 
 
-def test_circle():
-    from terraquill.functions import geometry as G
+def test_circle(spark):
+    ring, area = spark.range(1).select(G.circle(F.lit(1.0), F.lit(2.0), 5.0).alias("r"), G.area(G.circle(F.lit(1.0), F.lit(2.0), 5.0)).alias("a")).first()
+    assert len(ring) == 65 and ring[0] == ring[-1] and tuple(ring[0]) == pytest.approx((6.0, 2.0))
+    assert all(math.dist(p, (1.0, 2.0)) == pytest.approx(5.0) for p in ring)
+    assert area == pytest.approx(32 * 25 * math.sin(math.pi / 32))
+
+
+def test_one_state(spark):
+    from terraquill.plans import listing
 
-    assert G.circle(F.lit(1.0), F.lit(2.0), 5.0) is not None
+    df = spark.createDataFrame([(1, "Kano"), (2, "Kano"), (3, None)], "id int, state string")
+    assert listing.one_state(df).count() == 2
+    for bad in (df.where("id = 3"), df.union(spark.createDataFrame([(4, "Yobe")], "id int, state string"))):
+        with pytest.raises(roles.DataError):
+            listing.one_state(bad)
 
 
 def test_stream_equals_batch(spark, tmp_path):
