@@ -7,7 +7,7 @@
 3. Spark adds these up. A language keeps the terms of at least ``MIN_DOCS`` of its documents; there are V of them.
    Every group (lang, source), and the language, gives each kept term p = 1 + floor(10^9 (count + 5) / (N + 5 V)).
 4. ``pair``: the sum over kept terms of abs(p - q) for every two sources of a language. Terms are dealt into blocks of about ``BLOCK``
-   counts. In a block, sources by terms are a CSR matrix: values where a source has the term, its p at count 0 elsewhere.
+   counts, or as many as there are pairs of sources, if that is more. In a block, sources by terms are a CSR matrix: values where a source has the term, its p at count 0 elsewhere.
    One source's values are spread over the terms, and ``reduceat`` gives the differences from every other row at once.
 5. ``term``: per group the ``TOP`` terms with the largest p - q over the language's q; only these are ranked in a window.
 
@@ -36,7 +36,7 @@ SCALE = 1_000_000_000
 TOP = 50
 #: Bytes of text that are tokenized at once (a longer text is taken by itself), and counts in a block of terms.
 SLICE_BYTES = 8 << 20
-BLOCK = 400_000
+BLOCK = 20_000
 #: Rows of a table of groups or of kept terms that are broadcast; beyond it the tables are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -193,7 +193,7 @@ def divergence(
     groups = slim.groupBy("lang", "source").agg(F.count("*").alias("n_docs")).join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = scratch.save(groups.select("lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "n_terms", "v", "lang_total"))), "groups")
     # Blocks of a language: as many as its counts ask for.
-    blocks = groups.groupBy("lang").agg(F.ceil(F.sum("n_terms") / block).cast("int").alias("blocks")).where("blocks > 0")
+    blocks = groups.groupBy("lang").agg(F.ceil(F.sum("n_terms") / F.greatest(F.lit(block), F.count("*") * F.count("*"))).cast("int").alias("blocks")).where("blocks > 0")
     slots = groups.join(bounded_broadcast(blocks, BROADCAST_ROWS), "lang")
     heads = slots.select(
         "lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", F.lit(None).cast("string").alias("term"),
