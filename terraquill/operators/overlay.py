@@ -74,7 +74,9 @@ def union_pieces(polygons: DataFrame, key: list[str], rings: str, size: float) -
     schema = ", ".join(f"`{c}` {polygons.schema[c].dataType.simpleString()}" for c in key)
     # One name for each key, so that null keys meet too.
     columns, place = [*key, "_k"], ["_k", "_size", "tile_x", "tile_y"]
-    todo = tiled(polygons.withColumn("_k", F.to_json(F.struct(*key))), rings, size, columns).dropDuplicates([*place, "_rings"])
+    # Copies go before any corner is cut, so that they cost a partial aggregate only.
+    once = polygons.select(*key, F.to_json(F.struct(*key)).alias("_k"), F.col(rings).cast(RINGS).alias(rings)).dropDuplicates(["_k", rings])
+    todo = tiled(once, rings, size, columns).dropDuplicates([*place, "_rings"])
     solved: list[DataFrame] = []
     for k in range(SPLITS + 1):
         todo = rounds.save(todo, f"tiles{k}")
