@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from terraquill.functions import geometry as G
-from terraquill.operators import overlay
+from terraquill.functions import nearest
+from terraquill.operators import overlay, tessellation
 
 
 def test_copies_of_a_polygon_are_cut_once(spark, monkeypatch):
@@ -18,3 +20,27 @@ def test_copies_of_a_polygon_are_cut_once(spark, monkeypatch):
     got = {r.code: (r.n_parts, r.area) for r in overlay.dissolve(squares, ["code"], "ring", 8.0).collect()}
     assert got == {True: (500, 325.0), False: (500, 325.0)}
     assert seen == [8]
+
+
+def test_nearest_before_meets_few_pairs(monkeypatch):
+    """A crowd of 6,000 points within the radius: brute force, by pairs in proportion to the points (all pairs: 18 million)."""
+    rng = np.random.default_rng(5)
+    x, y, rank = rng.uniform(0, 60, 6000), rng.normal(30, 9, 6000), rng.permutation(6000)
+    x[:500], y[:500] = 7.0, 7.0
+    pairs = []
+    meet = nearest._meet
+    monkeypatch.setattr(nearest, "_meet", lambda *a: pairs.append(int(a[5].sum())) or meet(*a))
+    distance, before = nearest.nearest_before(x, y, rank, np.arange(6000), 66.0)
+    assert sum(pairs) < 100 * 6000
+    for k in range(6000):
+        d = np.where(rank < rank[k], np.sqrt((x[k] - x) * (x[k] - x) + (y[k] - y) * (y[k] - y)), np.inf)
+        best = min(np.flatnonzero(d == d.min()), key=lambda o: rank[o])
+        assert (distance[k], before[k]) == ((d[best], best) if d[best] < 66 else (np.inf, -1)), k
+
+
+def test_crowded_tiles_disperse_like_others(spark, monkeypatch):
+    s = spark.range(400).select(F.col("id").alias("key"), (F.col("id") * 37 % 20 * 47.0).alias("x"), (F.col("id") * 91 % 18 * 61.0).alias("y"))
+    s = s.unionByName(spark.range(500, 503).select(F.col("id").alias("key"), F.lit(None).cast("double").alias("x"), F.lit(1.0).alias("y")))
+    plain = {tuple(r) for r in tessellation.disperse(s, "key", rounds=3).collect()}
+    monkeypatch.setattr(tessellation, "CROWDED", 90)
+    assert {tuple(r) for r in tessellation.disperse(s, "key", rounds=3).collect()} == plain and len(plain) == 403
