@@ -206,13 +206,13 @@ f AS (SELECT *, least(i, j) > 0 AND greatest(i, j) < side - 1 AND greatest(x, y)
 
 
 def lattice(spark, sf_dir):
-    """(key, state, x, y, region): settlements on a lattice of their state; some without coordinates."""
+    """(key, state, x, y, region): settlements on a lattice of their state; some without coordinates. States lie 100 km apart, so that none reaches another one's wards."""
     s = settlements(spark, sf_dir)
     s = s.join(F.broadcast(table(spark, sf_dir, "region")), F.col("state") == F.col("r_name")).select("key", "state", F.col("r_regionkey").alias("region"))
     w = Window.partitionBy("state")
     n = s.where("key % 50 <> 7").withColumns({"i": F.row_number().over(w.orderBy("key")) - 1, "side": F.floor(F.sqrt(F.count("*").over(w))).cast("long")})
     i, j = F.expr("i % side"), F.expr("i div side % side")
-    on = n.select("key", "state", (10.0 + 40 * i + 10_000 * F.col("region")).alias("x"), (10.0 + 40 * j).alias("y"))
+    on = n.select("key", "state", (10.0 + 40 * i + 100_000 * F.col("region")).alias("x"), (10.0 + 40 * j).alias("y"))
     return on.unionByName(s.where("key % 50 = 7").select("key", "state"), allowMissingColumns=True)
 
 
@@ -220,7 +220,7 @@ def lattice_frames(spark, sf_dir, count: int, width: float):
     """``count`` x ``count`` places of ``width`` in each state: state, i, j, x, y."""
     cells = table(spark, sf_dir, "region").select(F.col("r_name").alias("state"), "r_regionkey", F.explode(F.sequence(F.lit(0), F.lit(count * count - 1))).alias("n"))
     i, j = F.floor(F.col("n") / count), F.col("n") % count
-    return cells.select("state", i.alias("i"), j.alias("j"), (i * width + 10_000.0 * F.col("r_regionkey")).alias("x"), (j * width).alias("y"))
+    return cells.select("state", i.alias("i"), j.alias("j"), (i * width + 100_000.0 * F.col("r_regionkey")).alias("x"), (j * width).alias("y"))
 
 
 def lattice_areas(spark, sf_dir):

@@ -62,13 +62,16 @@ def intersection(ring: Column, convex: Column) -> Column:
 FLAGGED = "array<struct<x:double,y:double,ok:boolean>>"
 
 
-def cut_flagged(seed: Point, others: list[Point], ring: list[tuple[float, float, bool]], same: float) -> list[tuple[float, float, bool]]:
+def cut_flagged(seed: Point, others: list[Point], ring: list[tuple[float, float, bool]], same: float, in_order: bool = False) -> list[tuple[float, float, bool]]:
     """A convex ring around a seed without what is nearer to one of the others. Corners that stay keep their flag, new ones have False; a
-    corner within ``same`` of a cut stays as it is."""
-    for o in sorted(others, key=lambda p: math.dist(seed, p)):
+    corner within ``same`` of a cut stays as it is. ``in_order``: the others come nearest first; none is looked at beyond twice the farthest corner's distance."""
+    reach = math.inf
+    for o in others if in_order else sorted(others, key=lambda p: math.dist(seed, p)):
         length = math.dist(seed, o)
         if not length:
             continue
+        if length > 2 * reach:
+            break
         a, b = (o[0] - seed[0]) / length, (o[1] - seed[1]) / length
         off = [a * (p[0] - seed[0]) + b * (p[1] - seed[1]) - length / 2 for p in ring]
         out = []
@@ -79,7 +82,9 @@ def cut_flagged(seed: Point, others: list[Point], ring: list[tuple[float, float,
             if (dp < -same and dq > same) or (dp > same and dq < -same):
                 t = dp / (dp - dq)
                 out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1]), False))
-        ring = out
+        if out != ring:
+            ring = out
+            reach = max((math.dist(seed, p[:2]) for p in ring), default=0.0)
     return ring
 
 

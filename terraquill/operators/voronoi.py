@@ -1,10 +1,13 @@
 """Voronoi cells by verified corners: no row ever holds more seeds than its cell has corners.
 
-Seeds are put into a tree of square nodes, each split into 8 x 8 children down to ``LEVELS``. The tree is one table: for every node its
-children that hold seeds, each with the outermost of them in eight directions and their number. A cell starts as the envelope, cut by the nearest seed in each of
+Most cells are cut at once, by the seeds in their square of a grid and in half a square around it; a corner whose circle through the seed lies in there is right. Squares
+that hold more than ``BLOCK`` seeds are split. What is left are cells at the envelope, beside empty land, or in the densest crowds.
+
+For them, seeds are put into a tree of square nodes, each split into 8 x 8 children down to ``LEVELS``. The tree is one table: for every node its
+children that hold seeds, each with the outermost of them in eight directions and their number. A cell of a crowd starts as the envelope, cut by the nearest seed in each of
 ``SECTORS`` directions among its own node's children. A corner of a cell is right if no seed is nearer to it than the cell's own seed. Each round
 asks this for all open corners at once: the (at most four) nodes that a corner's circle touches give at most 64 children each. A child's
-seed inside the circle cuts the corner off; a child that touches the circle, and holds more seeds, is asked in turn, ``DEPTH`` levels in one round. So dense places far away
+seed inside the circle cuts the corner off; where none does, a child that touches the circle, and holds more seeds, is asked in turn, ``DEPTH`` levels in one round. So dense places far away
 cost a sparse cell a few rows, and border cells are no special case.
 """
 
@@ -13,6 +16,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +30,8 @@ SECTORS = 16
 #: Seeds that a node should hold for the first cut.
 START = 8
 DEPTH = 3
+#: Seeds of a group to a square of the first grid, on average; seeds with which a square and its surroundings are solved in one task; how often squares are split into 4 x 4.
+SQUARE, BLOCK, SPLITS = 64, 1024, 4
 #: What is nearer than this share of the width of the seeds' square is the same place; of a corner's distance, what rounding may leave.
 SAME, ROUNDING = 1e-9, 2e-14
 #: A corner further away than so many widths counts as infinitely far.
@@ -98,48 +105,120 @@ def _met(frontier: DataFrame, tree: DataFrame) -> DataFrame:
     return met.select("_g", "_key", "vx", "vy", "r", "_x0", "_y0", "_w", "level", "kx", "ky", "near", (F.col("near.d") < least).alias("cuts"), ((F.col("n") > 1) & touch).alias("more")).where("cuts or more")
 
 
-def _deeper(met: DataFrame) -> DataFrame:
-    return met.where("more").select("_g", "_key", "vx", "vy", "r", "_x0", "_y0", "_w", (F.col("level") + 1).alias("level"), F.col("kx").alias("cx"), F.col("ky").alias("cy"))
+def _deeper(asked: DataFrame) -> DataFrame:
+    down = asked.where("b is null").select("_g", "_key", "vx", "vy", "r", "_x0", "_y0", "_w", F.inline("more"))
+    return down.select("_g", "_key", "vx", "vy", "r", "_x0", "_y0", "_w", (F.col("level") + 1).alias("level"), F.col("kx").alias("cx"), F.col("ky").alias("cy"))
 
 
 def _asked(frontier: DataFrame, tree: DataFrame) -> DataFrame:
-    """What ``DEPTH`` levels have to say to the corners; ``more`` is left to what is below them."""
+    """(_g, _key, vx, vy, r, _x0, _y0, _w, b, more): what ``DEPTH`` levels have to say to the corners, once for each corner: the seed ``b`` that cuts it off, or the children to ask
+    below these levels. A corner that is cut off asks no further, so that a far corner doesn't list all the seeds in its circle."""
     found = []
     for k in range(DEPTH):
         met = _met(frontier, tree)
-        found.append(met if k + 1 == DEPTH else met.where("cuts").withColumn("more", F.lit(False)))
-        frontier = _deeper(met)
+        best = F.min(F.when(F.col("cuts"), F.col("near"))).alias("b")
+        more = F.collect_list(F.when(F.col("more"), F.struct("level", "kx", "ky"))).alias("more")
+        asked = met.groupBy("_g", "_key", "vx", "vy", "r", "_x0", "_y0", "_w").agg(best, more)
+        found.append(asked if k + 1 == DEPTH else asked.where("b is not null"))
+        frontier = _deeper(asked)
     return reduce(DataFrame.unionByName, found)
 
 
+_FLAGGED = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64()), ("ok", pa.bool_())]))
+
+
+def _solve_square(table: pa.Table) -> pa.Table:
+    """The rings of a square's own seeds, cut by all seeds in it and around it, nearest first, as far as any can matter."""
+    own = np.flatnonzero(table.column("_own").to_numpy(zero_copy_only=False))
+    x, y = (table.column(c).to_numpy() for c in ("_x", "_y"))
+    head = table.slice(0, 1).to_pylist()[0]
+    x0, y0, w, side = head["_x0"], head["_y0"], head["_w"], head["_side"]
+    known = []
+    for low, k in ((x0, head["_cx"]), (y0, head["_cy"])):
+        first, last = (k - 0.5) * side, (k + 1.5) * side
+        known.append((low + first if first > 0 else -math.inf, low + last if last < w else math.inf))
+    (left, right), (down, up) = known
+    envelope = [(float(head[a]), float(head[b]), False) for a, b in (("_a", "_b"), ("_c", "_b"), ("_c", "_d"), ("_a", "_d"))]
+    rings = []
+    for k in own.tolist():
+        seed = (float(x[k]), float(y[k]))
+        away = np.hypot(x - x[k], y - y[k])
+        order = np.argsort(away, kind="stable")
+        ring = clip.cut_flagged(seed, list(zip(x[order].tolist(), y[order].tolist())), envelope, SAME * w, in_order=True)
+        out = []
+        for px, py, _ in ring:
+            r = math.hypot(px - seed[0], py - seed[1])
+            out.append({"x": px, "y": py, "ok": px - r >= left and px + r <= right and py - r >= down and py + r <= up})
+        rings.append(out)
+    kept = table.select(["_g", "_key", "_x", "_y", "_x0", "_y0", "_w"]).take(pa.array(own))
+    return kept.append_column("_ring", pa.array(rings, _FLAGGED))
+
+
+def _solved(seeds: DataFrame, rounds: Rounds, columns: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rings of the seeds in squares that can be solved in one task, and the seeds of crowds that are left (None: there are none)."""
+    at = lambda v, low, side, s=0.0: F.floor((F.col(v) - F.col(low)) / F.col(side) + s).cast("long")
+    near = lambda v, low: F.explode(F.sequence(at(v, low, "_side", -0.5), at(v, low, "_side", 0.5)))
+    own = (at("_x", "_x0", "_side") == F.col("_cx")) & (at("_y", "_y0", "_side") == F.col("_cy"))
+    place = ["_g", "_side", "_cx", "_cy"]
+    types = {f.name: f.dataType.simpleString() for f in seeds.schema}
+    schema = ", ".join(f"{c} {types[c]}" for c in columns) + f", _ring {clip.FLAGGED}"
+    kept = [*columns, "_a", "_b", "_c", "_d"]
+    sized = seeds.withColumn("_side", F.col("_w") * F.least(F.lit(1.0), F.sqrt(SQUARE / F.col("_n"))))
+    todo = sized.withColumn("_cx", near("_x", "_x0")).withColumn("_cy", near("_y", "_y0")).select(*kept, *place[1:], own.alias("_own"))
+    found = []
+    for k in range(SPLITS + 1):
+        counts = todo.groupBy(*place).agg(F.count("*").alias("_m"), F.bool_or("_own").alias("_any")).where("_any")
+        counts = rounds.save(counts.withColumn("_many", F.col("_m") > BLOCK).select(*place, "_many"), f"squares{k}")
+        found.append(todo.join(counts.where("not _many"), place, "left_semi").groupBy(*place).applyInArrow(_solve_square, schema))
+        if counts.where("_many").isEmpty():
+            return reduce(DataFrame.unionByName, found), None
+        crowds = todo.join(counts.where("_many"), place, "left_semi")
+        if k == SPLITS:
+            return reduce(DataFrame.unionByName, found), crowds.where("_own").select("_g", "_key")
+        split = crowds.withColumnsRenamed({"_cx": "_px", "_cy": "_py", "_own": "_mine"}).withColumn("_side", F.col("_side") / 4)
+        split = split.withColumn("_cx", near("_x", "_x0")).withColumn("_cy", near("_y", "_y0"))
+        split = split.where("_cx div 4 = _px and _cy div 4 = _py and _cx >= 0 and _cy >= 0")
+        todo = rounds.save(split.select(*kept, *place[1:], (F.col("_mine") & own).alias("_own")), f"crowds{k}")
+
+
 def cells_in(seeds: DataFrame, rounds: Rounds) -> DataFrame:
     """The cells of ``seeds``: _g (group), _key, _x, _y, and _a, _b, _c, _d (the group's envelope: x and y from, x and y to). Seeds of one
     group stand at distinct places. Gives _g, _key, _x, _y and _ring, with corners x, y in order."""
     x0, y0 = F.min("_x").alias("_x0"), F.min("_y").alias("_y0")
-    square = seeds.groupBy("_g").agg(x0, y0, F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y")).alias("_w"))
+    square = seeds.groupBy("_g").agg(x0, y0, F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y")).alias("_w"), F.count("*").alias("_n"))
     square = square.withColumn("_w", F.when(F.col("_w") > 0, F.col("_w") * (1 + 1e-9)).otherwise(1.0))
     unit = {"_u": (F.col("_x") - F.col("_x0")) / F.col("_w"), "_v": (F.col("_y") - F.col("_y0")) / F.col("_w")}
     seeds = rounds.save(seeds.join(square, "_g").withColumns(unit), "seeds")
-    tree = rounds.save(_tree(seeds), "tree")
-    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.lit(False).alias("ok"))
-    box = F.array(corner("_a", "_b"), corner("_c", "_b"), corner("_c", "_d"), corner("_a", "_d"))
-    none = F.array().cast(clip.RING)
     columns = ["_g", "_key", "_x", "_y", "_x0", "_y0", "_w"]
-    first = _first_rings(seeds, tree).withColumn("_ring", box)
-    cells = rounds.save(first.select(*columns, clip.cut_corners(F.col("_x"), F.col("_y"), F.coalesce("others", none), F.col("_ring"), SAME * F.col("_w")).alias("_ring")), "cells0")
+    none = F.array().cast(clip.RING)
+    cells, crowds = _solved(seeds, rounds, columns)
+    tree = None
+    if crowds is not None:
+        corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.lit(False).alias("ok"))
+        box = F.array(corner("_a", "_b"), corner("_c", "_b"), corner("_c", "_d"), corner("_a", "_d"))
+        tree = rounds.save(_tree(seeds), "tree")
+        first = _first_rings(seeds.join(crowds, ["_g", "_key"], "left_semi"), tree).withColumn("_ring", box)
+        cells = cells.unionByName(first.select(*columns, clip.cut_corners(F.col("_x"), F.col("_y"), F.coalesce("others", none), F.col("_ring"), SAME * F.col("_w")).alias("_ring")))
+    cells = rounds.save(cells, "cells0")
+    opened = F.exists("_ring", lambda p: ~p["ok"])
+    bare = F.transform("_ring", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    done = [cells.where(~opened).select("_g", "_key", "_x", "_y", "_ring")]
+    cells = cells.where(opened)
+    if cells.isEmpty():
+        rounds.drop("seeds")
+        return done[0].withColumn("_ring", bare)
+    tree = tree or rounds.save(_tree(seeds), "tree")
     frontier = _open_corners(cells)
-    done, n = [], 0
+    n = 0
     while True:
         asked = rounds.save(_asked(frontier, tree), f"asked{n}")
-        cut = asked.where("cuts").groupBy("_g", "_key", "vx", "vy").agg(F.min("near").alias("b"))
-        cut = cut.groupBy("_g", "_key").agg(F.collect_set(F.struct("b.x", "b.y")).alias("others"))
+        cut = asked.where("b is not null").groupBy("_g", "_key").agg(F.collect_set(F.struct("b.x", "b.y")).alias("others"))
         doubt = asked.groupBy("_g", "_key").agg(F.collect_set(F.struct(F.col("vx").alias("x"), F.col("vy").alias("y"))).alias("doubt"))
         state = cells.join(doubt, ["_g", "_key"], "left").join(cut, ["_g", "_key"], "left")
         known = F.transform("_ring", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), (p["ok"] | ~F.coalesce(F.array_contains("doubt", F.struct(p["x"].alias("x"), p["y"].alias("y"))), F.lit(False))).alias("ok")))
         state = state.withColumn("_ring", known)
         ring = F.when(F.col("others").isNull(), F.col("_ring")).otherwise(clip.cut_corners(F.col("_x"), F.col("_y"), F.coalesce("others", none), F.col("_ring"), SAME * F.col("_w")))
         state = rounds.save(state.select(*columns, ring.alias("_ring"), F.col("others").isNotNull().alias("cut")), f"state{n}")
-        opened = F.exists("_ring", lambda p: ~p["ok"])
         done.append(state.where(~opened).select("_g", "_key", "_x", "_y", "_ring"))
         cells = state.where(opened)
         if cells.isEmpty():
@@ -150,8 +229,8 @@ def cells_in(seeds: DataFrame, rounds: Rounds) -> DataFrame:
         if n:
             rounds.drop(f"asked{n - 1}")
         n += 1
-    rounds.drop("tree", "seeds", "cells0")
-    return reduce(DataFrame.unionByName, done).withColumn("_ring", F.transform("_ring", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
+    rounds.drop("tree", "seeds")
+    return reduce(DataFrame.unionByName, done).withColumn("_ring", bare)
 
 
 def _closed(ring: Column) -> Column:

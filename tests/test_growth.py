@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terraquill.functions import geometry as G
 from terraquill.functions import nearest
-from terraquill.operators import overlay, tessellation
+from terraquill.operators import overlay, tables, tessellation, voronoi
 
 
 def test_copies_of_a_polygon_are_cut_once(spark, monkeypatch):
@@ -44,3 +44,22 @@ def test_crowded_tiles_disperse_like_others(spark, monkeypatch):
     plain = {tuple(r) for r in tessellation.disperse(s, "key", rounds=3).collect()}
     monkeypatch.setattr(tessellation, "CROWDED", 90)
     assert {tuple(r) for r in tessellation.disperse(s, "key", rounds=3).collect()} == plain and len(plain) == 403
+
+
+def test_only_cells_at_the_envelope_ask_the_tree(spark, monkeypatch):
+    """A lattice of 40 x 40: inner cells are right at once, and a far corner asks for few nodes."""
+    asked = []
+    save = tables.Rounds.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        if name.startswith("asked"):
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(tables.Rounds, "save", counted)
+    points = spark.range(1600).select("id", F.lit("a").alias("g"), (F.col("id") % 40 * 40.0).alias("x"), (F.floor(F.col("id") / 40) * 40.0).alias("y"))
+    cells = voronoi.finite_cells(points, "id", "g").select("id", "x", "y", G.area(F.col("ring")).alias("area")).collect()
+    inner = [r for r in cells if 0 < r.x < 1560 and 0 < r.y < 1560]
+    assert len(inner) == 38 * 38 and all(abs(r.area - 1600) < 1e-6 for r in inner)
+    assert sum(asked) < 1600
