@@ -1,10 +1,13 @@
-"""Convex clipping and Voronoi cells: numpy-free loops over a few corners, run as Arrow UDFs on candidate pairs only."""
+"""Convex clipping and Voronoi cells, run as Arrow UDFs on candidate pairs only."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,13 +53,65 @@ def _ring(points: list[Point]) -> list[dict]:
     return [{"x": x, "y": y} for x, y in (points + points[:1] if len(points) > 2 else [])]
 
 
-def _intersections(ring: pd.Series, convex: pd.Series) -> pd.Series:
-    return pd.Series([_ring(clip_ring(_points(r), _points(c))) for r, c in zip(ring, convex)])
+def _flat(rings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, y and row of the corners of all rings, without the repeated first one."""
+    values, many = rings.flatten(), pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    x, y = (values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+    row, last = np.repeat(np.arange(len(many)), many), np.cumsum(many) - 1
+    some = many > 1
+    first, last = (last - many + 1)[some], last[some]
+    open_ = np.ones(len(x), bool)
+    open_[last] = (x[first] != x[last]) | (y[first] != y[last])
+    return x[open_], y[open_], row[open_]
+
+
+def _intersections(ring: pa.Array, convex: pa.Array) -> pa.Array:
+    """``clip_ring`` for all rows of a batch at once, side by side of the convex rings."""
+    n = len(ring)
+    x, y, row = _flat(ring)
+    cx, cy, crow = _flat(convex)
+    sides = np.bincount(crow, minlength=n)
+    start = np.cumsum(sides) - sides
+    after = np.arange(1, len(cx) + 1)
+    after[(start + sides - 1)[sides > 0]] = start[sides > 0]
+    sign = np.where(np.bincount(crow, cx * cy[after] - cx[after] * cy, n) > 0, 1.0, -1.0)
+    for k in range(int(sides.max(initial=0))):
+        a, b, c = np.zeros(n), np.zeros(n), np.zeros(n)
+        has = np.flatnonzero(sides > k)
+        p = start[has] + k
+        q = after[p]
+        a[has], b[has] = sign[has] * (cy[q] - cy[p]), -sign[has] * (cx[q] - cx[p])
+        c[has] = a[has] * cx[p] + b[has] * cy[p]
+        many = np.bincount(row, minlength=n)
+        first = np.cumsum(many) - many
+        nxt = np.arange(1, len(x) + 1)
+        nxt[(first + many - 1)[many > 0]] = first[many > 0]
+        d = a[row] * x + b[row] * y - c[row]
+        e = d[nxt]
+        keep, cross = d <= 0, ((d < 0) & (e > 0)) | ((e < 0) & (d > 0))
+        end = np.cumsum(keep.astype(np.int64) + cross)
+        new_x, new_y, new_row = (np.empty(end[-1] if len(end) else 0, v.dtype) for v in (x, y, row))
+        t = d[cross] / (d[cross] - e[cross])
+        new_x[end[cross] - 1] = x[cross] + t * (x[nxt[cross]] - x[cross])
+        new_y[end[cross] - 1] = y[cross] + t * (y[nxt[cross]] - y[cross])
+        new_row[end[cross] - 1] = row[cross]
+        at = (end - cross - 1)[keep]
+        new_x[at], new_y[at], new_row[at] = x[keep], y[keep], row[keep]
+        x, y, row = new_x, new_y, new_row
+    many = np.bincount(row, minlength=n)
+    kept = many[row] > 2
+    x, y, many = x[kept], y[kept], np.where(many > 2, many, 0)
+    # The first corner once more at the end of each ring.
+    ends = np.cumsum(many)[many > 0]
+    firsts = ends - many[many > 0]
+    x, y = np.insert(x, ends, x[firsts]), np.insert(y, ends, y[firsts])
+    offsets = np.concatenate([[0], np.cumsum(np.where(many > 0, many + 1, 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"]))
 
 
 def intersection(ring: Column, convex: Column) -> Column:
     """The part of a ring inside a convex ring; an empty array if there is none."""
-    return F.pandas_udf(_intersections, RING)(ring, convex)
+    return F.arrow_udf(_intersections, RING)(ring, convex)
 
 
 FLAGGED = "array<struct<x:double,y:double,ok:boolean>>"

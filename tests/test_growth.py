@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from terraquill.functions import clip
 from terraquill.functions import geometry as G
 from terraquill.functions import nearest
 from terraquill.operators import overlay, tables, tessellation, voronoi
@@ -63,3 +68,13 @@ def test_only_cells_at_the_envelope_ask_the_tree(spark, monkeypatch):
     inner = [r for r in cells if 0 < r.x < 1560 and 0 < r.y < 1560]
     assert len(inner) == 38 * 38 and all(abs(r.area - 1600) < 1e-6 for r in inner)
     assert sum(asked) < 1600
+
+
+def test_batches_are_clipped_like_single_rings():
+    rng = random.Random(6)
+    turn = lambda n, r, x, y: [(x + r * math.cos(k * 2 * math.pi / n), y + r * math.sin(k * 2 * math.pi / n)) for k in range(n)]
+    rows = [(turn(rng.randrange(3, 40), rng.uniform(1, 9), rng.uniform(0, 9), 5.0), turn(rng.randrange(3, 7), rng.uniform(1, 9), 5.0, 5.0)[:: rng.choice((1, -1))]) for _ in range(200)]
+    rows += [([], rows[0][1]), (rows[0][0], [(90.0, 90.0), (91.0, 90.0), (91.0, 91.0)]), (rows[1][0], [(0.0, 0.0), (9.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)])]
+    shape = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    got = clip._intersections(*(pa.array([clip._ring(r[i]) for r in rows], shape) for i in (0, 1)))
+    assert got.to_pylist() == [clip._ring(clip.clip_ring(a, b)) for a, b in rows]
