@@ -100,6 +100,10 @@ class Bags:
     def mean(self, table: np.ndarray) -> np.ndarray:
         return np.add.reduceat(table[self.bucket] * self.weight[:, None], self.starts[:-1])
 
+    def means(self, table: np.ndarray, rows: np.ndarray, at_once: int = BATCH) -> np.ndarray:
+        """``mean`` of some rows, few at a time, so that the driver never holds the embeddings of all their subwords."""
+        return np.concatenate([self.take(rows[k : k + at_once]).mean(table) for k in range(0, len(rows), at_once)])
+
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str | None], groups: list[int], seed: int = 5) -> Model:
     """``rows``: subword buckets of a text and their counts; ``labels``: None for text of no language; rows of a group (of one document) are
@@ -134,7 +138,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str | None], gro
             emb[used, k] -= rate * np.bincount(inverse, spread[:, k], len(used)).astype(np.float32)
     if not held.any():
         return Model(languages, emb @ top, bias)
-    temperature, least = calibrate(bags.take(np.flatnonzero(held)).mean(emb) @ top + bias, y[held])
+    temperature, least = calibrate(bags.means(emb, np.flatnonzero(held)) @ top + bias, y[held])
     return Model(languages, emb @ top, bias, temperature, least)
 
 
@@ -218,7 +222,7 @@ def train(
     found = sample.repartition(8).mapInArrow(_sample_bags, "lang string, key long, buckets binary, counts binary").collect()
     found = sorted((r["key"], r["lang"] or "", bytes(r["buckets"]), bytes(r["counts"]), r["lang"]) for r in found)
     group = {key: g for g, key in enumerate(sorted({r[0] for r in found}))}
-    bags = [(np.frombuffer(r[2], np.uint16).astype(np.int64), np.frombuffer(r[3], np.int32)) for r in found]
+    bags = [(np.frombuffer(r[2], np.uint16), np.frombuffer(r[3], np.int32)) for r in found]
     return fit(bags, [r[4] for r in found], [group[r[0]] for r in found])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from terraquill.functions import clip
 from terraquill.functions import geometry as G
 from terraquill.functions import nearest
+from terraquill.llm import language_id
 from terraquill.operators import overlay, tables, tessellation, voronoi
 
 
@@ -78,3 +80,15 @@ def test_batches_are_clipped_like_single_rings():
     shape = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
     got = clip._intersections(*(pa.array([clip._ring(r[i]) for r in rows], shape) for i in (0, 1)))
     assert got.to_pylist() == [clip._ring(clip.clip_ring(a, b)) for a, b in rows]
+
+
+def test_calibration_holds_few_texts_at_a_time():
+    """A thousand texts of 1,000 subwords: the embeddings of all would take 64 MB, and as much again for their shares."""
+    rng = np.random.default_rng(2)
+    bags = language_id.Bags.of([(rng.integers(0, language_id.BUCKETS, 1000).astype(np.uint16), np.ones(1000, np.int32)) for _ in range(1000)])
+    emb, rows = rng.normal(0, 1, (language_id.BUCKETS, language_id.WIDTH)).astype(np.float32), np.arange(0, 1000)
+    tracemalloc.start()
+    got = bags.means(emb, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000 and (got == bags.take(rows).mean(emb)).all()
