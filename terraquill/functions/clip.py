@@ -121,7 +121,7 @@ def cut_flagged(seed: Point, others: list[Point], ring: list[tuple[float, float,
     """A convex ring around a seed without what is nearer to one of the others. Corners that stay keep their flag, new ones have False; a
     corner within ``same`` of a cut stays as it is. ``in_order``: the others come nearest first; none is looked at beyond twice the farthest corner's distance."""
     reach = math.inf
-    for o in others if in_order else sorted(others, key=lambda p: math.dist(seed, p)):
+    for o in others if in_order else sorted(others, key=lambda p: (math.dist(seed, p), p)):
         length = math.dist(seed, o)
         if not length:
             continue

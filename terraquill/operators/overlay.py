@@ -122,13 +122,14 @@ def convex_pieces(polygons: DataFrame, rings: str, size: float, columns: list[st
     return whole.unionByName(cut).select(*columns, "tile_x", "tile_y", "piece", "full")
 
 
-def overlay(a: DataFrame, b: DataFrame, a_rings: str, b_rings: str, size: float) -> DataFrame:
+def overlay(a: DataFrame, b: DataFrame, a_rings: str, b_rings: str, size: float, shuffled: bool = False) -> DataFrame:
     """Pieces of polygons inside polygons, neither of which need be convex: both sides' other columns (with different names), ``piece`` (convex) and
-    ``piece_area`` (> 0). Pieces of one pair are disjoint, so their areas add up. Where one side fills the tile, the other side's piece is the result as it is."""
+    ``piece_area`` (> 0). Pieces of one pair are disjoint, so their areas add up. Where one side fills the tile, the other side's piece is the result as it is.
+    ``shuffled``: neither side is broadcast, however small its files are."""
     keep_a, keep_b = ([c for c in d.columns if c != r] for d, r in ((a, a_rings), (b, b_rings)))
     p = convex_pieces(a, a_rings, size, keep_a).withColumnsRenamed({"piece": "_p", "full": "_fp"})
     q = convex_pieces(b, b_rings, size, keep_b).withColumnsRenamed({"piece": "_q", "full": "_fq"})
-    met = p.join(q, ["tile_x", "tile_y"])
+    met = p.join(q.hint("merge") if shuffled else q, ["tile_x", "tile_y"])
     u, v = G.bounds(F.col("_p")), G.bounds(F.col("_q"))
     met = met.where((u[0] < v[2]) & (v[0] < u[2]) & (u[1] < v[3]) & (v[1] < u[3]))
     plain = met.where("_fp or _fq").withColumn("piece", F.when(F.col("_fq"), F.col("_p")).otherwise(F.col("_q")))

@@ -112,7 +112,12 @@ def places(points: DataFrame, x: str, y: str, n: str = "_n") -> DataFrame:
 
 def count_points(polygons: DataFrame, points: DataFrame, key: str, ring: str, x: str = "x", y: str = "y", size: float = 50.0, name: str = "n") -> DataFrame:
     """The polygons with the number of points inside, 0 where there is none."""
-    inside = points_in_polygons(places(points, x, y), polygons.select(key, ring), ring, x, y, size)
+    return count_places(polygons, places(points, x, y), key, ring, x, y, size, name)
+
+
+def count_places(polygons: DataFrame, at: DataFrame, key: str, ring: str, x: str = "x", y: str = "y", size: float = 50.0, name: str = "n") -> DataFrame:
+    """``count_points`` of points that are ``places`` already."""
+    inside = points_in_polygons(at, polygons.select(key, ring), ring, x, y, size)
     counts = inside.groupBy(key).agg(F.sum("_n").alias(name))
     return polygons.join(counts, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 

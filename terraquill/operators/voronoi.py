@@ -32,6 +32,8 @@ START = 8
 DEPTH = 3
 #: Seeds of a group to a square of the first grid, on average; seeds with which a square and its surroundings are solved in one task; how often squares are split into 4 x 4.
 SQUARE, BLOCK, SPLITS = 64, 1024, 4
+#: Questions of one level that are broadcast; the tree, of which a written megabyte may hold 200,000 rows, never is.
+ASKED = 100_000
 #: What is nearer than this share of the width of the seeds' square is the same place; of a corner's distance, what rounding may leave.
 SAME, ROUNDING = 1e-9, 2e-14
 #: A corner further away than so many widths counts as infinitely far.
@@ -63,8 +65,8 @@ def _first_rings(seeds: DataFrame, tree: DataFrame) -> DataFrame:
     counts = tree.groupBy("_g", "level", "cx", "cy").agg(F.sum("n").alias("n")).where((F.col("n") >= START) | (F.col("level") == 0))
     nodes = seeds.select("_g", "_key", "_x", "_y", "_u", "_v", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level"))
     nodes = nodes.withColumns({"cx": _index("_u", F.col("level")), "cy": _index("_v", F.col("level"))}).drop("_u", "_v")
-    own = nodes.join(counts.drop("n"), ["_g", "level", "cx", "cy"]).groupBy("_g", "_key").agg(F.max(F.struct("level", "cx", "cy", "_x", "_y")).alias("o"))
-    met = own.select("_g", "_key", "o.*").join(tree, ["_g", "level", "cx", "cy"]).select("_g", "_key", "_x", "_y", F.inline("reps"))
+    own = nodes.join(counts.drop("n").hint("merge"), ["_g", "level", "cx", "cy"]).groupBy("_g", "_key").agg(F.max(F.struct("level", "cx", "cy", "_x", "_y")).alias("o"))
+    met = own.select("_g", "_key", "o.*").join(tree.hint("merge"), ["_g", "level", "cx", "cy"]).select("_g", "_key", "_x", "_y", F.inline("reps"))
     met = met.withColumnsRenamed({"x": "rx", "y": "ry"}).where("rx != _x or ry != _y")
     dx, dy = F.col("rx") - F.col("_x"), F.col("ry") - F.col("_y")
     sector = F.floor(F.atan2(dy, dx) / (2 * math.pi / SECTORS))
@@ -110,18 +112,22 @@ def _deeper(asked: DataFrame) -> DataFrame:
     return down.select("_g", "_key", "vx", "vy", "r", "_x0", "_y0", "_w", (F.col("level") + 1).alias("level"), F.col("kx").alias("cx"), F.col("ky").alias("cy"))
 
 
-def _asked(frontier: DataFrame, tree: DataFrame) -> DataFrame:
+def _asked(frontier: DataFrame, tree: DataFrame, rounds: Rounds, name: str) -> tuple[DataFrame, list[str]]:
     """(_g, _key, vx, vy, r, _x0, _y0, _w, b, more): what ``DEPTH`` levels have to say to the corners, once for each corner: the seed ``b`` that cuts it off, or the children to ask
-    below these levels. A corner that is cut off asks no further, so that a far corner doesn't list all the seeds in its circle."""
-    found = []
+    below these levels. A corner that is cut off asks no further, so that a far corner doesn't list all the seeds in its circle. With the names of the tables of the levels."""
+    found, names = [], []
     for k in range(DEPTH):
-        met = _met(frontier, tree)
+        n = frontier.limit(ASKED + 1).count()
+        if k and not n:
+            break
+        met = _met(F.broadcast(frontier) if n <= ASKED else frontier.hint("merge"), tree)
         best = F.min(F.when(F.col("cuts"), F.col("near"))).alias("b")
         more = F.collect_list(F.when(F.col("more"), F.struct("level", "kx", "ky"))).alias("more")
-        asked = met.groupBy("_g", "_key", "vx", "vy", "r", "_x0", "_y0", "_w").agg(best, more)
+        names.append(f"{name}_{k}")
+        asked = rounds.save(met.groupBy("_g", "_key", "vx", "vy", "r", "_x0", "_y0", "_w").agg(best, more), names[-1])
         found.append(asked if k + 1 == DEPTH else asked.where("b is not null"))
         frontier = _deeper(asked)
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found), names
 
 
 _FLAGGED = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64()), ("ok", pa.bool_())]))
@@ -143,7 +149,7 @@ def _solve_square(table: pa.Table) -> pa.Table:
     for k in own.tolist():
         seed = (float(x[k]), float(y[k]))
         away = np.hypot(x - x[k], y - y[k])
-        order = np.argsort(away, kind="stable")
+        order = np.lexsort((y, x, away))
         ring = clip.cut_flagged(seed, list(zip(x[order].tolist(), y[order].tolist())), envelope, SAME * w, in_order=True)
         out = []
         for px, py, _ in ring:
@@ -209,9 +215,9 @@ def cells_in(seeds: DataFrame, rounds: Rounds) -> DataFrame:
         return done[0].withColumn("_ring", bare)
     tree = tree or rounds.save(_tree(seeds), "tree")
     frontier = _open_corners(cells)
-    n = 0
+    n, before = 0, []
     while True:
-        asked = rounds.save(_asked(frontier, tree), f"asked{n}")
+        asked, levels = _asked(frontier, tree, rounds, f"asked{n}")
         cut = asked.where("b is not null").groupBy("_g", "_key").agg(F.collect_set(F.struct("b.x", "b.y")).alias("others"))
         doubt = asked.groupBy("_g", "_key").agg(F.collect_set(F.struct(F.col("vx").alias("x"), F.col("vy").alias("y"))).alias("doubt"))
         state = cells.join(doubt, ["_g", "_key"], "left").join(cut, ["_g", "_key"], "left")
@@ -226,9 +232,8 @@ def cells_in(seeds: DataFrame, rounds: Rounds) -> DataFrame:
         again = _open_corners(cells.where("cut"))
         deeper = _deeper(asked.join(cells.where("not cut").select("_g", "_key"), ["_g", "_key"], "left_semi"))
         cells, frontier = cells.drop("cut"), again.unionByName(deeper.select(*again.columns))
-        if n:
-            rounds.drop(f"asked{n - 1}")
-        n += 1
+        rounds.drop(*before)
+        before, n = levels, n + 1
     rounds.drop("tree", "seeds")
     return reduce(DataFrame.unionByName, done).withColumn("_ring", bare)
 

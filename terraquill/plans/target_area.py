@@ -16,13 +16,15 @@ from terraquill.operators.voronoi import finite_cells
 
 #: States of fewer distinct places get circles instead of a tessellation.
 LEAST_PLACES = 4
+#: Pieces of cells that may be broadcast to the extents' tiles, and distinct places of buildings to the grid.
+PIECES, PLACES = 50_000, 200_000
 ADMIN = ("state", "lga", "ward")
 
 
 def located(settlements: DataFrame, wards: DataFrame, key: str, ring: str, size: float, x: str = "x", y: str = "y") -> DataFrame:
     """(key, at_state, at_lga, at_ward): the ward that a settlement's point lies in; the first by name if there are several."""
     held = wards.select(*(F.col(c).alias(f"at_{c}") for c in ADMIN), F.col(ring).alias("_ring"))
-    inside = spatial.points_in_polygons(settlements.select(key, x, y), held, "_ring", x, y, size)
+    inside = spatial.points_in_polygons(settlements.select(key, x, y).hint("merge"), held, "_ring", x, y, size)
     first = F.min(F.struct(*(f"at_{c}" for c in ADMIN))).alias("_at")
     return inside.groupBy(key).agg(first).select(key, "_at.*")
 
@@ -53,21 +55,23 @@ def target_areas(
     cells = cells.unionByName(own.where(F.col("_n") < LEAST_PLACES).select("_s", "_head", "_x", "_y", circle.alias("_ring")))
     at = located(heads, wards, "_head", ward_ring, size, "_x", "_y")
     cells = cells.join(at, "_head").select("_head", "_x", "_y", *(f"at_{c}" for c in ADMIN), F.array("_ring").alias("_rings"))
+    cells = rounds.save(cells, "cells")
     inner = wards.select(*(F.col(c).alias(f"in_{c}") for c in ADMIN), F.array(ward_ring).alias("_ward"))
     same = [F.col(f"at_{c}").eqNullSafe(F.col(f"in_{c}")) for c in ADMIN]
     clipped = O.overlay(cells, inner, "_rings", "_ward", size).where(same[0] & same[1] & same[2])
     clipped = rounds.save(clipped.select("_head", "_x", "_y", F.array("piece").alias("_rings")), "clipped")
     e = extents.select(F.monotonically_increasing_id().alias("_e"), F.col(kind).alias("_type"), F.col(extent_rings).alias("_extent"))
     e = rounds.save(e, "extents")
-    parts = rounds.save(O.overlay(clipped, e, "_rings", "_extent", size), "parts")
+    parts = rounds.save(O.overlay(clipped, e, "_rings", "_extent", size, shuffled=clipped.limit(PIECES + 1).count() > PIECES), "parts")
     # A part is what a cell has of one extent; the pieces that it was solved in stay together.
     hit = parts.groupBy("_head", "_e").agg(F.max(G.contains(F.col("piece"), F.col("_x"), F.col("_y"))).alias("_hit")).where("_hit").drop("_hit")
-    kept = parts.join(hit, ["_head", "_e"]).groupBy("_head", "_type").agg(F.collect_list("piece").alias("rings"), F.sum("piece_area").alias("area"))
+    kept = parts.join(hit.hint("merge"), ["_head", "_e"]).groupBy("_head", "_type").agg(F.collect_list("piece").alias("rings"), F.sum("piece_area").alias("area"))
     kept = rounds.save(kept.select("_head", F.lit("cell").alias("origin"), F.col("_type").alias("type"), "rings", "area"), "kept")
-    rest = heads.join(kept.select("_head").distinct(), "_head", "left_anti")
-    circles = rest.select("_head", F.lit("circle").alias("origin"), F.lit(None).cast("string").alias("type"), F.array(circle).alias("rings"), G.area(circle).alias("area"))
-    found = kept.unionByName(circles)
-    named = placed.join(heads, ["_s", "_x", "_y"]).select("_k", "_s", "_head").join(found, "_head").drop("_head")
+    # Written tables take far less than their rows do, and circles are made of two numbers each: by the sizes of files, all of these would be broadcast.
+    found = placed.join(heads.hint("merge"), ["_s", "_x", "_y"]).select("_k", "_s", "_x", "_y", "_head").join(kept.hint("merge"), "_head", "left")
+    bare = F.col("origin").isNull()
+    rings, area = F.when(bare, F.array(circle)).otherwise(F.col("rings")), F.when(bare, G.area(circle)).otherwise(F.col("area"))
+    named = found.select("_k", "_s", F.coalesce("origin", F.lit("circle")).alias("origin"), "type", rings.alias("rings"), area.alias("area"))
     none = s.where("_s is null or _x is null or _y is null").select("_k", "_s", F.lit("none").alias("origin"))
     out = named.unionByName(none, allowMissingColumns=True)
     return out.select(F.col("_k").alias(key), F.col("_s").alias("state"), "origin", "type", "rings", "area")
@@ -85,7 +89,7 @@ def gridded_target_areas(areas: DataFrame, buildings: DataFrame, key: str, x: st
     rounds = Rounds(areas.sparkSession, "gridded_areas")
     pieces = areas.select(key, "state", "type", grid_size(F.col("type")).alias("_size"), F.explode("rings").alias("_piece")).withColumn("_b", F.struct(*G.bounds(F.col("_piece"))))
     pieces = rounds.save(pieces, "pieces")
-    corner = pieces.groupBy("state", "_size").agg(F.min("_b.x_min").alias("_x0"), F.min("_b.y_min").alias("_y0"))
+    corner = rounds.save(pieces.groupBy("state", "_size").agg(F.min("_b.x_min").alias("_x0"), F.min("_b.y_min").alias("_y0")), "corners")
     p = pieces.join(corner, ["state", "_size"])
 
     def along(v: str) -> Column:
@@ -101,6 +105,8 @@ def gridded_target_areas(areas: DataFrame, buildings: DataFrame, key: str, x: st
     whole = cells.where(inside).select(*columns, F.col("_piece").alias("_ring"))
     cut = cells.where(~inside).select(*columns, clip.intersection(F.col("_piece"), box).alias("_ring")).where(F.size("_ring") > 0)
     cells = rounds.save(whole.unionByName(cut).withColumn("_a", G.area(F.col("_ring"))).where("_a > 0").withColumn("_id", F.monotonically_increasing_id()), "cells")
-    counted = spatial.count_points(cells, buildings.select(x, y), "_id", "_ring", x, y, S.GRID_SIZE_BUILT_UP, "_n")
+    at = rounds.save(spatial.places(buildings, x, y), "places")
+    at = F.broadcast(at) if at.limit(PLACES + 1).count() <= PLACES else at.hint("merge")
+    counted = spatial.count_places(cells, at, "_id", "_ring", x, y, S.GRID_SIZE_BUILT_UP, "_n")
     summed = counted.groupBy(*columns).agg(F.sum("_a").alias("area"), F.sum("_n").alias("buildings")).where(F.col("area") > S.AREA_LIMIT).drop("_size")
     return drop_unless_whole_group(summed, [key], F.col("buildings") <= S.BUILDING_LIMIT)

@@ -15,6 +15,7 @@ from terraquill.functions import geometry as G
 from terraquill.functions import nearest
 from terraquill.llm import language_id
 from terraquill.operators import overlay, tables, tessellation, voronoi
+from terraquill.plans import target_area
 
 
 def test_copies_of_a_polygon_are_cut_once(spark, monkeypatch):
@@ -72,6 +73,55 @@ def test_only_cells_at_the_envelope_ask_the_tree(spark, monkeypatch):
     assert sum(asked) < 1600
 
 
+def broadcasts(spark) -> list[tuple[int, int]]:
+    """The execution and the rows of each broadcast so far."""
+    store, found = spark._jsparkSession.sharedState().statusStore(), []
+    runs = store.executionsList()
+    for i in (runs.apply(k).executionId() for k in range(runs.size())):
+        nodes, values = store.planGraph(i).allNodes(), store.executionMetrics(i)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if node.name() == "BroadcastExchange":
+                metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                rows = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                found += [(i, int(v.get().replace(",", ""))) for v in rows if v.isDefined()]
+    return found
+
+
+def test_settlements_are_never_broadcast(spark, monkeypatch, tmp_path):
+    """3,600 settlements in small files: neither they nor their circles, their pieces, their grid or the tree of their places are broadcast by the sizes of files."""
+    monkeypatch.setattr(target_area, "PIECES", 100)
+    monkeypatch.setattr(target_area, "PLACES", 100)
+    x, y = F.col("id") % 60 * 40.0, F.floor(F.col("id") / 60) * 40.0
+    spark.range(3600).select(F.col("id").alias("key"), F.lit("s").alias("state"), x.alias("x"), y.alias("y")).write.parquet(f"{tmp_path}/settlements")
+    i, j = F.col("id") % 5 * 300.0, F.floor(F.col("id") / 5) * 300.0
+    wards = spark.range(25).select(F.lit("s").alias("state"), F.lit("l").alias("lga"), F.col("id").cast("string").alias("ward"), G.box(i, j, i + 300, j + 300).alias("ring"))
+    extents = spark.range(25).select(F.array(G.box(i, j, i + 250, j + 250)).alias("rings"), F.lit("Built-up Area").alias("type"))
+    known = {e for e, _ in broadcasts(spark)}
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "1")  # none by the size of what was shuffled
+    try:
+        areas = target_area.target_areas(spark.read.parquet(f"{tmp_path}/settlements"), wards, extents, "key", 500.0)
+        target_area.gridded_target_areas(areas, spark.range(400).select((F.col("id") % 20 * 9.0).alias("x"), (F.col("id") % 19 * 8.0).alias("y")), "key").collect()
+        got = {r.origin: (r.n, r.k) for r in areas.groupBy("origin").agg(F.count("*").alias("n"), F.countDistinct("key").alias("k")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert got["cell"][0] == got["cell"][1] and got["circle"][0] + got["cell"][0] == 3600 and got["cell"][0] > 900
+    rows = [n for e, n in broadcasts(spark) if e not in known]
+    assert rows and max(rows) < 1800
+
+
+def test_equally_near_seeds_are_cut_in_one_order():
+    """A lattice, whose cells' neighbours are equally near: the same corners, to the last digit, in whatever order the rows come."""
+    rng = random.Random(4)
+    at = [(float(k), 10.0 + 40 * (k % 9 + 75), 10.0 + 40 * (k // 9 + 31)) for k in range(81)]
+    far, found = 1e4 * 17_000, []
+    fixed = {"_g": "a", "_x0": 10.0, "_y0": 10.0, "_w": 17_000.0, "_side": 340.0, "_cx": 9, "_cy": 4, "_a": -far, "_b": -far, "_c": far, "_d": far, "_own": True}
+    for _ in range(4):
+        rng.shuffle(at)
+        rings = voronoi._solve_square(pa.Table.from_pylist([fixed | {"_key": k, "_x": x, "_y": y} for k, x, y in at]))
+        found.append({r["_key"]: r["_ring"] for r in rings.to_pylist()})
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) == 81
+
+
 def test_batches_are_clipped_like_single_rings():
     rng = random.Random(6)
     turn = lambda n, r, x, y: [(x + r * math.cos(k * 2 * math.pi / n), y + r * math.sin(k * 2 * math.pi / n)) for k in range(n)]
